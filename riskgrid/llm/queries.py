@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, mixing, quality, sharding, simhash
+from . import decontamination, langid, mixing, quality, secrets, sharding, simhash
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
@@ -45,5 +49,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op4_quality_classifier, op6_simhash_near_dedup, op8_mixing_to_target_weights, op9_language_id, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op4_quality_classifier, op6_simhash_near_dedup, op8_mixing_to_target_weights, op9_language_id, op10_sharding)}
 ORACLES: dict[str, str] = {}

@@ -49,7 +49,7 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     """Put whole documents into shards of nearly equal bytes, equal texts together (law bytes).
 
     docs: doc_id, text and any others; all are kept, and size (UTF-8 bytes of the text, none for null, plus 8),
-    text_crc32 (null for a null text), law, shard, slot (0, 1, ... within the shard) and grown_shard (null) are added,
+    text_crc32 (that of no bytes for a null text), law, shard, slot (0, 1, ... within the shard) and grown_shard (null) are added,
     in place of columns of those names. The order is that of the MD5 digest of the text; an atom is what falls into one
     of atoms equal ranges of it, so equal texts are never parted (null counts as the empty text here). The atoms' sizes,
     at most atoms numbers, go to the driver, which finds the smallest capacity that contiguous shards of whole atoms
@@ -63,7 +63,7 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     width = 5
     base = docs.drop(*mine).withColumns({
         "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD,
-        "text_crc32": F.crc32("text"),
+        "text_crc32": F.crc32(F.coalesce("text", F.lit(""))),
         "law": F.lit("bytes"),
         "_atom": F.floor(F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, width), 16, 10).cast("long") * atoms / (1 << 4 * width)).cast("int"),
         "_cell": F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(CELLS)).cast("int"),
