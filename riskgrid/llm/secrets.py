@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,23 @@ def spans(text: Column, pattern: str, hint: str, group: int, least: int, kind: s
     return F.when(text.rlike(hint), F.aggregate(triples, zero, step, lambda acc: acc["out"])).otherwise(empty)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, by the rational approximation 26.2.17 of Abramowitz and Stegun (error under 1e-7)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.greatest(F.exp(-z * z / 2) * 0.3989422804014327 * series, F.lit(1e-30))
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(t: Column) -> Column:
+        series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.greatest(F.exp(-z * z / 2) * 0.3989422804014327 * series, F.lit(1e-30))
+
+    return let(let(1 / (1 + 0.2316419 * F.abs(z)), tail), lambda p: F.when(z >= 0, p).otherwise(1 - p))
 
 
 def encoding_of(token: Column) -> Column:
@@ -74,33 +87,39 @@ def battery(token: Column, encoding: Column) -> Column:
     exact variance accounts for the length), runs above and below the middle, and lag-1 serial correlation
     (two-sided), joined by Fisher's method. Small: the token is structured, say text.
     """
-    alphabet = F.lit("")
-    for name, _, letters in ENCODINGS:
-        alphabet = F.when(encoding == name, F.lit(letters)).otherwise(alphabet)
-    width = F.length(alphabet).cast("double")
-    places = F.transform(F.filter(F.split(token, ""), lambda c: (c != "") & (c != "=")), lambda c: (F.call_function("instr", alphabet, c) - 1).cast("double"))
-
-    def tests(x: Column) -> Column:
-        n = F.size(x).cast("double")
-        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)))
-        uneven = (width / n * squares - n - (width - 1)) / F.sqrt(2 * (width - 1) * (n - 1) / n)
-        high = F.transform(x, lambda v: (v >= width / 2).cast("int"))
-        n1 = F.aggregate(high, F.lit(0), lambda a, v: a + v).cast("double")
-        n0 = n - n1
-        after, before = F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1)
-        turns = F.aggregate(F.zip_with(F.slice(high, 2, F.size(x) - 1), F.slice(high, 1, F.size(x) - 1), lambda a, b: F.abs(a - b)), F.lit(0), lambda a, v: a + v)
-        expected = 2 * n0 * n1 / n + 1
-        spread = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.25))
-        runs = (turns + 1 - expected) / F.sqrt(spread)
-        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        both = F.aggregate(F.zip_with(after, before, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
-        own = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-        serial = (both / F.greatest(own, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-        two = [F.least(2 * normal_tail(F.abs(z)), F.lit(1.0)) for z in (runs, serial)]
-        half = -(F.log(normal_tail(uneven)) + F.log(two[0]) + F.log(two[1]))
-        return F.exp(-half) * (1 + half + half * half / 2)
-
-    return F.element_at(F.transform(F.array(places), tests), 1)
+    letters = F.lit("")
+    for name, _, of in ENCODINGS:
+        letters = F.when(encoding == name, F.lit(of)).otherwise(letters)
+    solid = F.filter(F.split(token, ""), lambda c: (c != "") & (c != "="))
+
+    def places(alphabet: Column) -> Column:
+        return F.struct(F.length(alphabet).cast("double").alias("width"), F.transform(solid, lambda c: (F.call_function("instr", alphabet, c) - 1).cast("double")).alias("x"))
+
+    def uneven(x: Column, n: Column, width: Column) -> Column:
+        squares = total(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0))))
+        return (width / n * squares - n - (width - 1)) / F.sqrt(2 * (width - 1) * (n - 1) / n)
+
+    def runs(high: Column, n: Column) -> Column:
+        turns = total(F.zip_with(F.slice(high, 2, F.size(high) - 1), F.slice(high, 1, F.size(high) - 1), lambda a, b: F.abs(a - b)))
+        expected = let(total(high), lambda n1: 2 * (n - n1) * n1 / n + 1)
+        return let(expected, lambda e: (turns + 1 - e) / F.sqrt(F.greatest((e - 1) * (e - 2) / (n - 1), F.lit(0.25))))
+
+    def serial(x: Column, n: Column) -> Column:
+        off = let(total(x) / n, lambda mean: F.transform(x, lambda v: v - mean))
+        return let(
+            off,
+            lambda d: (total(F.zip_with(F.slice(d, 2, F.size(d) - 1), F.slice(d, 1, F.size(d) - 1), lambda a, b: a * b)) / F.greatest(total(F.transform(d, lambda v: v * v)), F.lit(1e-9)) + 1 / n) * F.sqrt(n),
+        )
+
+    def joined(p: Column) -> Column:
+        return let(-total(F.transform(p, F.ln)), lambda half: F.exp(-half) * (1 + half + half * half / 2))
+
+    def tests(x: Column, n: Column, width: Column) -> Column:
+        high = F.transform(x, lambda v: (v >= width / 2).cast("double"))
+        two = F.transform(F.array(let(high, lambda h: runs(h, n)), serial(x, n)), lambda z: F.least(2 * normal_tail(F.abs(z)), F.lit(1.0)))
+        return joined(F.concat(F.array(let(uneven(x, n, width), normal_tail)), two))
+
+    return let(let(letters, places), lambda of: let(F.size(of["x"]).cast("double"), lambda n: tests(of["x"], n, of["width"])))
 
 
 def rejected_above(tokens: DataFrame, rate: float) -> dict[str, float]:
@@ -134,11 +153,14 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     rows = docs.select("doc_id", F.array_sort(base).alias("base"), spans(text, TOKEN, TOKEN_HINT, 0, 20, "random", len(BASE)).alias("tokens"), text.alias("text"))
     beside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
 
+    def classed(t: Column, token: Column, encoding: Column) -> Column:
+        band = F.floor(2 * F.log2(F.length(token).cast("double"))).cast("string")
+        score = F.when(encoding.isNotNull(), -F.log10(F.greatest(battery(token, encoding), F.lit(1e-40))))
+        return F.struct(t.alias("span"), F.concat_ws("/", encoding, band).alias("class"), score.alias("score"))
+
     def tested(t: Column) -> Column:
         token = F.substring("text", t["start"] + 1, t["end"] - t["start"])
-        encoding = encoding_of(token)
-        band = F.floor(2 * F.log2((t["end"] - t["start"]).cast("double"))).cast("string")
-        return F.struct(t.alias("span"), F.concat_ws("/", encoding, band).alias("class"), F.when(encoding.isNotNull(), -F.log10(F.greatest(battery(token, encoding), F.lit(1e-40)))).alias("score"))
+        return let(token, lambda token: let(encoding_of(token), lambda encoding: classed(t, token, encoding)))
 
     tokens = F.when(F.size("tokens") > 0, F.filter(F.transform(beside, tested), lambda t: t["score"].isNotNull()))
     slim = checkpointed(rows.select("doc_id", "base", tokens.alias("tokens")))

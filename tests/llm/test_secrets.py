@@ -13,7 +13,7 @@ TEXTS = [
     "",
     "password=token=ABCDEFGHIJKLMNOP. apikey : \"0123456789abcdef0123\" " * 40,
     "plain text without anything " * 50,
-    "K9vQx2Lr8Zt4Wm1Pb7Yc3Nd6Hf5Gj0Sa and thisisjustalongwordwithoutdigits aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1B",
+    "K9vQx2Lr8Zt4Wm1Pb7Yc3Nd6Hf5Gj0Sa and thisisjustalongwordwithoutdigits zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1B",
     "🙂 secret=\"aaaaaaaaaaaaaaaa\"🙂token=bbbbbbbbbbbbbbbbbb",
 ]
 
