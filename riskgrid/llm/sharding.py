@@ -73,9 +73,12 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     firsts = [int(at[e]) for e in minimax_cuts(sizes, shards)[:-1]]
     number = F.size(F.filter(F.array(*[F.lit(x) for x in firsts]), lambda x: x <= F.col("_atom"))) if firsts else F.lit(0)
     base = base.withColumn("shard", number.cast("int"))
-    counts = base.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")  # shards * CELLS rows
+    counts = base.groupBy("shard", "_cell").count().collect()  # at most shards * CELLS rows
+    first, offsets = dict.fromkeys(range(shards), 0), []
+    for number, cell, n in sorted(map(tuple, counts)):
+        offsets.append((number, cell, first[number]))
+        first[number] += n
+    offsets = docs.sparkSession.createDataFrame(offsets, "shard int, _cell int, _first long")
     within = Window.partitionBy("shard", "_cell").orderBy("doc_id", "text_crc32", "size")
     out = base.join(F.broadcast(offsets), ["shard", "_cell"]).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
     kept = [c for c in docs.columns if c not in mine]
