@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Atoms are ranges of the digest of the text; a power of two.
@@ -45,6 +45,15 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
     return fits(upto, low, shards) or []
 
 
+def number_of(atom: Column, firsts: list[int], low: int = 0, high: int | None = None) -> Column:
+    """How many of the ascending firsts are at most atom, by halving."""
+    high = len(firsts) if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(atom < firsts[mid], number_of(atom, firsts, low, mid)).otherwise(number_of(atom, firsts, mid + 1, high))
+
+
 def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     """Put whole documents into shards of nearly equal bytes, equal texts together (law bytes).
 
@@ -71,8 +80,7 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     rows = base.groupBy("_atom").agg(F.sum("size").alias("s")).orderBy("_atom").collect()  # at most atoms rows
     at, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     firsts = [int(at[e]) for e in minimax_cuts(sizes, shards)[:-1]]
-    number = F.size(F.filter(F.array(*[F.lit(x) for x in firsts]), lambda x: x <= F.col("_atom"))) if firsts else F.lit(0)
-    base = base.withColumn("shard", number.cast("int"))
+    base = base.withColumn("shard", number_of(F.col("_atom"), firsts).cast("int"))
     counts = base.groupBy("shard", "_cell").count().collect()  # at most shards * CELLS rows
     first, offsets = dict.fromkeys(range(shards), 0), []
     for number, cell, n in sorted(map(tuple, counts)):
