@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, mixing, quality, secrets, sharding, simhash
+from . import decontamination, embeddings, langid, lines, mixing, quality, secrets, sharding, simhash
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
@@ -32,6 +36,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, scorer).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op4_quality_classifier, op6_simhash_near_dedup, op8_mixing_to_target_weights, op9_language_id, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_simhash_near_dedup, op8_mixing_to_target_weights, op9_language_id, op10_sharding)}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
