@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, langid, lines, mixing, quality, secrets, sharding, simhash
+from . import decontamination, embeddings, langid, lines, mixing, pages, quality, secrets, sharding, simhash
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -57,5 +61,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_simhash_near_dedup, op8_mixing_to_target_weights, op9_language_id, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_simhash_near_dedup, op7_html_extraction, op8_mixing_to_target_weights, op9_language_id, op10_sharding)}
 ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
