@@ -32,7 +32,7 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LABEL = re.compile(r'\bdata-label="(\d)"')
 
-PATH, WORDS, NUMBERS = 96, 32, 7
+PATH, WORDS, NUMBERS = 192, 32, 7
 WIDTH = PATH + WORDS + NUMBERS
 #: Leaves that one pass of the network holds; a longer page is read in parts of so many.
 LEAVES = 20_000
@@ -331,7 +331,7 @@ class Layouts:
 
 
 @lru_cache(2)
-def train(pages: int = 800, hidden: int = 20, epochs: int = 5, batch: int = 24, rate: float = 0.012, seed: int = 3) -> Labeller:
+def train(pages: int = 1200, hidden: int = 20, epochs: int = 6, batch: int = 24, rate: float = 0.012, seed: int = 3) -> Labeller:
     """Fit the network on made-up pages (`pages` of them: the bound of the sample), by Adam; the same in every run."""
     rng, layouts, vectors = np.random.default_rng(seed), Layouts(seed), Vectors()
     known = []
