@@ -43,7 +43,7 @@ def kruskal_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     raw = 12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
     spread = 1 - F.try_divide(F.col("_ties"), n * n * n - n)
     h = F.when((F.col("df") >= 1) & (spread > 0), F.try_divide(raw, spread))
-    return sums.select(*keys, h.alias("h"), "df").withColumn("p_value", chi2_sf(F.greatest("h", F.lit(0.0)), F.col("df")))
+    return sums.select(*keys, h.alias("h"), "df").withColumn("p_value", chi2_sf(F.when(F.col("h") < 0, 0.0).otherwise(F.col("h")), F.col("df")))
 
 
 def kruskal(df: DataFrame, variables: Sequence[str], target: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import association, binning, folds, logit, metrics, preparation
 from ..sources.loanbook import CATEGORICAL, CONTINUOUS, FOLDS, KEYS, lines, loan_book
 from .oracle import BOOK, CHI2, CURVE, KRUSKAL, SCORED, psi, stacked
 from .oracle import log10p as sql_log10p
+from .scorecard_pipeline import scorecard_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -621,3 +622,10 @@ def lm1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lm11_model_search", None)
 def lm11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logit.search(modalities(spark, sf_dir).withColumn("d3", scalar.as_modality(F.col("d3"))), ["q3", "d3", "seg3", "l_linestatus", "o_orderpriority"])
+
+
+@query("e2e_scorecard_pipeline", None)
+def e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = loan_book(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "emp_like", "rate_like", "l_extendedprice")})
+    made = scorecard_of(book, ["l_quantity", "rate_like", "l_extendedprice"], ["l_linestatus", "o_orderpriority"], KEYS, {"emp_like": 0.0}, ["rate_like"], IDS)
+    return made.classes
