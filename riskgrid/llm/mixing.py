@@ -11,6 +11,8 @@ from .common import checkpointed
 CELLS = 1024
 #: Up to so many sources, what is known of them is broadcast; more of them are joined.
 BROADCAST_SOURCES = 20_000
+#: Columns that mix() adds or uses.
+MINE = ["size", "source_size", "target", "copies", "taken", "_u", "_x", "_n", "_xs", "_whole", "_rest", "_rank", "_cut", "_source", "_cell"]
 #: A word is a run of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,9 +80,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     Word sums per source and cell of the order find the cell where a source's cut lies; only the documents of that
     cell are ranked one by one, so no task holds a whole source.
     """
-    mine = ["size", "source_size", "target", "copies", "taken", "_u", "_x", "_n", "_xs", "_whole", "_rest", "_rank", "_cut", "_source", "_cell"]
     one = F.lit(1.0) if inclusion is None else F.coalesce(F.when((F.col(inclusion) > 0) & (F.col(inclusion) < float("inf")), F.col(inclusion).cast("double")), F.lit(0.0))
-    base = docs.withColumns({"_x": one}).drop(*[c for c in mine if c != "_x"])
+    base = docs.withColumns({"_x": one}).drop(*[c for c in MINE if c != "_x"])
     base = base.withColumns({"size": word_count(F.col("text")), "_u": uniform(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), seed=seed)})
     slim = checkpointed(base.select("source", "size", "_u", "_x"))
 
@@ -112,10 +113,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     out = pareto_rank(with_facts(base, facts, few))
     out = out.withColumn("copies", F.col("_whole") + F.when(F.col("_rank") <= F.col("_cut"), 1).otherwise(0))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in docs.columns if c not in mine], "size", "source_size", "target", "copies", "taken")
+    return out.select(*[c for c in docs.columns if c not in MINE], "size", "source_size", "target", "copies", "taken")
 
 
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix() takes it, with the columns of docs."""
-    taken = mix(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: the rows of docs, each as often as mix() takes it, with the columns of docs as they are."""
+    held = {c: f"_held_{k}" for k, c in enumerate(docs.columns) if c in MINE}
+    taken = mix(docs.withColumnsRenamed(held), **options).where("copies > 0")
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    return taken.select("*", copies).select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])

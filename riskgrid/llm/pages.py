@@ -172,8 +172,8 @@ class Labeller:
         wx, wh, bias = self.weights[3 * side : 3 * side + 3]
         n = self.hidden
         put = x @ wx + bias
-        h = np.zeros((x.shape[1], n), np.float32)
-        c, states, tape = h.copy(), np.zeros((*x.shape[:2], n), np.float32), []
+        h = np.zeros((x.shape[1], n), wx.dtype)
+        c, states, tape = h.copy(), np.zeros((*x.shape[:2], n), wx.dtype), []
         for t in range(len(x)) if side == 0 else range(len(x) - 1, -1, -1):
             z = put[t] + h @ wh
             i, f, o, g = sigmoid(z[:, :n]), sigmoid(z[:, n : 2 * n]), sigmoid(z[:, 2 * n : 3 * n]), np.tanh(z[:, 3 * n :])
@@ -201,7 +201,7 @@ class Labeller:
             wh, out = self.weights[3 * side + 1], self.weights[6][side * n : side * n + n]
             grads[6][side * n : side * n + n] = np.einsum("tb,tbh->h", d, states)
             dh, dc = np.zeros_like(states[0]), np.zeros_like(states[0])
-            dz_all = np.zeros((*x.shape[:2], 4 * n), np.float32)
+            dz_all = np.zeros((*x.shape[:2], 4 * n), wh.dtype)
             for t, i, f, o, g, before, old, c in reversed(tape):
                 m = mask[t][:, None]
                 dh = dh + d[t][:, None] * out

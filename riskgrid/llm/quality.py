@@ -162,7 +162,7 @@ def train(docs: DataFrame, positive_ids: DataFrame, eligible: Column, positives:
     pool = docs.where(eligible)
     some = pool.where(u < share(pool.count(), unlabelled))
     x = [feature_rows(rows).limit(n).collect() for rows, n in ((pool.join(F.broadcast(few), "doc_id", "left_semi"), 2 * positives), (some, 2 * unlabelled))]
-    p, q = (np.array([row[0] for row in rows], np.float32).reshape(len(rows), -1) for rows in x)
+    p, q = (np.array([row[0] for row in rows], np.float32).reshape(len(rows), WIDTH) for rows in x)
     if min(len(p), len(q)) < 10:
         return None
     return fit(p, q, prior or estimate_prior(p, q))
