@@ -68,14 +68,18 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], rows: int = 20
         yield pd.concat(held, ignore_index=True)
 
 
-def tiled(rows: DataFrame, keys: list[str], member: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+def tiled(rows: DataFrame, keys: list[str], member: str, tile_rows: int = TILE_ROWS, broadcast_up_to: int = 0) -> DataFrame:
     """Deal the rows of each group of equal keys to tiles such that any two rows of a group meet in some tile.
 
     A group of up to tile_rows is one tile. A larger one is cut by a hash of member into parts of about tile_rows,
     and each pair of parts is a tile of its own, so that no task ever holds a whole large group. Adds the columns
-    part (of the row) and tile_lo, tile_hi (the pair of parts that meet).
+    part (of the row) and tile_lo, tile_hi (the pair of parts that meet). Where the groups are found to be at most
+    broadcast_up_to, their sizes are broadcast and the rows need no shuffle here; for wide rows of few groups.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if broadcast_up_to:
+        sizes = checkpointed(sizes)
+        sizes = F.broadcast(sizes) if sizes.count() <= broadcast_up_to else sizes
     parted = rows.join(sizes, keys).withColumn("_parts", F.ceil(F.col("_n") / tile_rows).cast("int"))
     parted = parted.withColumn("part", F.pmod(F.xxhash64(F.lit("tile"), F.col(member)), F.col("_parts")).cast("int"))
     return (

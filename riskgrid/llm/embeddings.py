@@ -15,6 +15,8 @@ from .common import checkpointed, components, roots, tiled, unit_hash, whole_gro
 
 #: Deepest tree: thresholds of 2 ** 18 nodes are 2 MB a tree. Leaves beyond it are compared in tiles.
 DEEPEST = 18
+#: Up to so many leaves (some 8 MB), their sizes are broadcast.
+BROADCAST_LEAVES = 100_000
 #: A node that fewer sampled vectors reach is cut at the median of its whole level.
 FEW = 8
 
@@ -178,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = 4,
     schema = f"label string, dim int, leaf long, leaves array<long>, node long, copies long, v {kind}"
     placed = placed.mapInPandas(lambda frames: leaf_rows(frames, sent.value), schema)
     names = ["label", "dim", "leaf", "tile_lo", "tile_hi"]
-    tiles = tiled(placed, ["label", "dim", "leaf"], "node").repartition(*names).sortWithinPartitions(*names)
+    tiles = tiled(placed, ["label", "dim", "leaf"], "node", broadcast_up_to=BROADCAST_LEAVES).repartition(*names).sortWithinPartitions(*names)
     found = checkpointed(tiles.mapInPandas(lambda frames: tile_links(frames, threshold), "a long, b long, links long"))
 
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

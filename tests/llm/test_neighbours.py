@@ -101,7 +101,7 @@ def vectors(n=700, dim=32, seed=2):
 
 @pytest.mark.parametrize(("leaf", "tile"), [(512, 1024), (32, 1024), (64, 24)])
 def test_embedding_links_match_brute_force(spark, monkeypatch, leaf, tile):
-    monkeypatch.setattr("riskgrid.llm.embeddings.tiled.__defaults__", (tile,))
+    monkeypatch.setattr("riskgrid.llm.embeddings.tiled.__defaults__", (tile, 0))
     x, label = vectors()
     x[300:340] = x[300]  # copies
     label[300:340] = label[300]
