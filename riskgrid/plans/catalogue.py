@@ -504,7 +504,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sc2_points", """
-SELECT * FROM (VALUES ('q3', '1', 0.0, 600.0), ('q3', '2', 0.55, 276.470588), ('q3', '3', 1.02, 0.0), ('d3', '1', 0.0, 282.352941), ('d3', '2', 0.31, 100.0), ('d3', '3', 0.48, 0.0),
+SELECT variable, modality, CAST(coefficient AS DOUBLE) AS coefficient, CAST(points AS DOUBLE) AS points FROM (VALUES ('q3', '1', 0.0, 600.0), ('q3', '2', 0.55, 276.470588), ('q3', '3', 1.02, 0.0), ('d3', '1', 0.0, 282.352941), ('d3', '2', 0.31, 100.0), ('d3', '3', 0.48, 0.0),
   ('l_linestatus', 'F', 0.0, 11.764706), ('l_linestatus', 'O', 0.02, 0.0), ('seg3', 'REST', 0.0, 41.176471), ('seg3', 'BUILDING', 0.07, 0.0), ('seg3', 'MACHINERY', -0.11, 105.882353)) AS t(variable, modality, coefficient, points)""")
 def sc2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.points_table(spark, MODEL).select("variable", "modality", "coefficient", "points")
