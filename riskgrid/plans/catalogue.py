@@ -11,6 +11,7 @@ from ..functions import scalar
 from ..operators import association, binning, folds, logit, metrics, preparation, scorecard, selection, stability, summaries, woe
 from ..sources.loanbook import CATEGORICAL, CONTINUOUS, FOLDS, KEYS, lines, loan_book
 from .oracle import BOOK, CHI2, CURVE, KRUSKAL, SCORED, psi, stacked
+from .oracle import chi2_sf as sql_chi2_sf
 from .oracle import log10p as sql_log10p
 from .scorecard_pipeline import scorecard_of
 
@@ -425,7 +426,8 @@ def vs2(spark: SparkSession, sf_dir: str) -> DataFrame:
 , rk AS (SELECT i, """ + ", ".join(f"rank() OVER (PARTITION BY i ORDER BY {v}) + (count(*) OVER (PARTITION BY i, {v}) - 1) / 2.0 AS {v}" for v in ("l_quantity", "q_tax", "q_noise")) + """ FROM mix),
 cs AS (SELECT i, corr(l_quantity, q_tax) AS c01, corr(l_quantity, q_noise) AS c02, corr(q_tax, q_noise) AS c12 FROM rk GROUP BY i),
 pr AS (SELECT i, 'l_quantity' AS a, 'q_tax' AS b FROM cs WHERE abs(c01) >= 0.7 UNION ALL SELECT i, 'l_quantity', 'q_noise' FROM cs WHERE abs(c02) >= 0.7 UNION ALL SELECT i, 'q_tax', 'q_noise' FROM cs WHERE abs(c12) >= 0.7),
-gone AS (SELECT CASE WHEN kb.h < ka.h THEN b ELSE a END AS v FROM pr JOIN kw ka ON ka.key = a || '/' || i JOIN kw kb ON kb.key = b || '/' || i)
+kp AS (SELECT key, """ + sql_chi2_sf("h", "df") + """ AS p FROM kw),
+gone AS (SELECT CASE WHEN kb.p > ka.p THEN b ELSE a END AS v FROM pr JOIN kp ka ON ka.key = a || '/' || i JOIN kp kb ON kb.key = b || '/' || i)
 SELECT variable, variable NOT IN (SELECT v FROM gone) AS kept FROM (VALUES ('l_quantity'), ('q_tax'), ('q_noise')) AS t(variable)""")
 def vs4(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = loan_book(spark, sf_dir).withColumns({"q_tax": F.col("l_quantity") + F.col("l_tax") * 50, "q_noise": F.col("l_quantity") * 2 + F.col("u") % 7})
