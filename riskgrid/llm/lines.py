@@ -7,15 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shuffles_removed, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Tokens are counted in so many buckets of their hash; the counts, a byte each, become one constant of the plan.
 BUCKETS = 1 << 16
-#: Lines of each prefix token that all its other lines are compared with first, before the rest is joined.
+#: Up to so many token sets that share a token, all their pairs are candidates at once.
+FEW_SETS = 16
+#: Of more, up to so many are compared with all others first, before the rest is joined.
 HEADS = 4
-#: Up to so many wanted lines (some 20 MB) are broadcast; more of them are joined by a shuffle.
-BROADCAST_LINES = 400_000
+#: Up to so many wanted lines (some 40 MB), or tokens that more than FEW_SETS share, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 SLACK = 1e-9
 
 
@@ -47,15 +49,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("did"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
 
 
-def can_match(x: str, y: str, threshold: float) -> Column:
-    """Length and positional filters for two postings of a token: what is left of both sets after it may suffice."""
-    nx, ny, ix, iy = (F.col(f"{side}.{name}") for name in ("n", "i") for side in (x, y))
-    lengths = F.least(nx, ny) >= threshold * F.greatest(nx, ny) - SLACK
-    return lengths & (F.least(nx - ix, ny - iy) >= threshold / (1 + threshold) * (nx + ny) - SLACK)
-
-
-def earlier(y: str, x: str) -> Column:
-    return F.struct(f"{y}.did", f"{y}.line") < F.struct(f"{x}.did", f"{x}.line")
+def can_match(x: Column, y: Column, threshold: float) -> Column:
+    """Length and positional filters for two postings (n, i) of a token: what is left of both sets after it may suffice."""
+    lengths = F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - SLACK
+    return lengths & (F.least(x["n"] - x["i"], y["n"] - y["i"]) >= threshold / (1 + threshold) * (x["n"] + y["n"]) - SLACK)
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
@@ -65,14 +62,51 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Colum
     """
     pairs = checkpointed(pairs)
     wanted = checkpointed(pairs.select(F.col("x").alias("d")).union(pairs.select("y")).distinct().join(firsts, "d"))
-    few = wanted.count() <= BROADCAST_LINES
+    few = wanted.count() <= BROADCAST_ROWS
     some = line_rows(docs).join(F.broadcast(wanted) if few else wanted, ["did", "line"])
-    sets = checkpointed(some.select("d", codes(F.col("text"), levels).alias("codes")).where(F.xxhash64("codes") == F.col("d")))
+    sets = written(some.select("d", codes(F.col("text"), levels).alias("codes")).where(F.xxhash64("codes") == F.col("d")))
     x, y = sets.select(F.col("d").alias("x"), F.col("codes").alias("cx")), sets.select(F.col("d").alias("y"), F.col("codes").alias("cy"))
     enough = F.size(F.array_intersect("cx", "cy")) * (1 + threshold) >= threshold * (F.size("cx") + F.size("cy")) - SLACK
     return checkpointed(pairs.join(x, "x").join(y, "y").where(enough).select(F.col("x").alias("d")).distinct())
 
 
+def searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(did, line, d) of each line with tokens, (d, did, line) of the first line of each token set, and the d similar to an earlier set."""
+    levels = rarity(docs)
+    ranked = line_rows(docs).select("did", "line", codes(F.col("text"), levels).alias("codes")).where(F.size("codes") > 0)
+    prefix = F.slice("codes", F.lit(1), (F.size("codes") - F.ceil(threshold * F.size("codes") - SLACK) + 1).cast("int"))
+    lines = written(ranked.select("did", "line", F.xxhash64("codes").alias("d"), F.size("codes").alias("n"), prefix.alias("prefix")))
+    first = lines.groupBy("d").agg(F.min(F.struct("did", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    first = written(first.select("d", "at.did", "at.line", "n", "prefix"))
+    firsts = first.select("d", "did", "line")
+
+    # sets that can match no other (a token apart is too much) need no search
+    able = first.where(F.floor(threshold * (F.col("n") + 1) + SLACK) <= F.col("n"))
+    postings = able.select("did", "line", "d", "n", F.posexplode("prefix").alias("i", "token"))
+    shared = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    few = postings.join(shared.where(F.col("sets") <= FEW_SETS), "token").groupBy("token").agg(F.collect_list(F.struct("did", "line", "d", "n", "i")).alias("of"))
+    each = few.select(F.explode("of").alias("x"), "of")
+    near_x = each.select("x", F.explode(F.filter("of", lambda y: (F.struct(y["did"], y["line"]) < F.struct("x.did", "x.line")) & can_match(F.col("x"), y, threshold))).alias("y"))
+    candidates = near_x.select(F.col("x.d").alias("x"), F.col("y.d").alias("y"))
+
+    many = shared.where(F.col("sets") > FEW_SETS).select("token")
+    wide = written(postings.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "token"))
+    slot = F.pmod(F.xxhash64("d", F.lit("head")), F.lit(HEADS))
+    heads = wide.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "d", "n", "i")).alias("h"))
+    heads = written(heads.select("token", "h.*"))
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        on = (F.col("x.token") == F.col("y.token")) & (F.struct("y.did", "y.line") < F.struct("x.did", "x.line"))
+        joined = x.alias("x").join(y.alias("y"), on & can_match(F.struct("x.n", "x.i"), F.struct("y.n", "y.i"), threshold))
+        return joined.select(F.col("x.d").alias("x"), F.col("y.d").alias("y"))
+
+    near = verified(candidates.union(pairs(wide, heads)).distinct(), firsts, docs, levels, threshold)
+    doubtful = wide.join(near, "d", "left_anti")
+    others = wide.join(heads.select("token", "d"), ["token", "d"], "left_anti")
+    near = near.union(verified(pairs(doubtful, others).distinct(), firsts, docs, levels, threshold))
+    return lines.select("did", "line", "d"), firsts, near
+
+
 def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Lines that repeat an earlier one: per document the numbers of its lines that go.
 
@@ -87,39 +121,16 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Tokens are ordered by rarity in the corpus (counted in buckets of their hash; any one order gives the same result), and
     lines that share a token in their prefixes, n - ceil(threshold n) + 1 long, are candidates if lengths and positions
-    allow. Every candidate is first compared with up to HEADS lines of the token, which removes most of a large group of near
-    copies without comparing all its pairs; lines still in doubt are then joined with all others, so the result is exact.
+    allow: all pairs of the up to FEW_SETS sets of a token. Where more share it, every set is first compared with up to HEADS of
+    them, which removes most of a large group of near copies without comparing all its pairs; sets still in doubt are then
+    joined with all others, so the result is exact.
     Tokens and token sets are told apart by 56 and 64 bits of a hash.
     """
-    levels = rarity(docs)
-    ranked = line_rows(docs).select("did", "line", codes(F.col("text"), levels).alias("codes")).where(F.size("codes") > 0)
-    prefix = F.slice("codes", F.lit(1), (F.size("codes") - F.ceil(threshold * F.size("codes") - SLACK) + 1).cast("int"))
-    lines = checkpointed(ranked.select("did", "line", F.xxhash64("codes").alias("d"), F.size("codes").alias("n"), prefix.alias("prefix")))
-    first = lines.groupBy("d").agg(F.min(F.struct("did", "line")).alias("at"))
-    firsts = checkpointed(first.select("d", "at.did", "at.line"))
-
-    # sets that can match no other (a token apart is too much) need no search
-    postings = lines.where(F.floor(threshold * (F.col("n") + 1) + SLACK) <= F.col("n")).select("d", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = postings.groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("token")
-    postings = postings.join(shared, "token", "left_semi").groupBy("token", "d").agg(F.min("n").alias("n"), F.min("i").alias("i"))
-    postings = checkpointed(postings.join(firsts, "d"))
-
-    slot = F.pmod(F.xxhash64("d", F.lit("head")), F.lit(HEADS))
-    heads = postings.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "d", "n", "i")).alias("h"))
-    heads = checkpointed(heads.select("token", "h.*"))
-
-    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        joined = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & earlier("y", "x") & can_match("x", "y", threshold))
-        return joined.select(F.col("x.d").alias("x"), F.col("y.d").alias("y")).distinct()
-
-    near = verified(pairs(postings, heads), firsts, docs, levels, threshold)
-    doubtful = postings.join(near, "d", "left_anti")
-    others = postings.join(heads.select("token", "d"), ["token", "d"], "left_anti")
-    near = near.union(verified(pairs(doubtful, others), firsts, docs, levels, threshold))
-
+    with shuffles_removed(docs.sparkSession):
+        lines, firsts, near = searched(docs, threshold)
     of = firsts.select("d", F.col("did").alias("first_did"), F.col("line").alias("first_line")).join(near.withColumn("near", F.lit(True)), "d", "left")
     again = (F.col("did") != F.col("first_did")) | (F.col("line") != F.col("first_line"))
-    gone = lines.select("did", "line", "d").join(of, "d").withColumn("again", again).where("again or near")
+    gone = lines.join(of, "d").withColumn("again", again).where("again or near")
     gone = gone.groupBy("did").agg(F.collect_set(F.when(F.col("again"), F.col("line"))).alias("same"), F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near"))  # of one document
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")

@@ -142,9 +142,10 @@ def removed_lines(docs, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("heads", [1, 4])
-def test_repeated_lines_match_brute_force(spark, monkeypatch, heads):
+@pytest.mark.parametrize(("heads", "few"), [(1, 2), (4, 16)])
+def test_repeated_lines_match_brute_force(spark, monkeypatch, heads, few):
     monkeypatch.setattr(lines, "HEADS", heads)
+    monkeypatch.setattr(lines, "FEW_SETS", few)
     rng = random.Random(5)
     base = [t.split(" ") for t in texts(25, 8)]
     rows = []
