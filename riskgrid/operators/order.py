@@ -24,7 +24,7 @@ def quantiles(long: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
 
     Null values don't count. Two passes: approximate quantiles bracket each rank; then the rows below each bracket are
     counted, and only the few values within brackets are grouped and ordered. keys should have few values (variables,
-    periods, samples): their brackets are joined, and broadcast if Spark finds them small.
+    periods, samples), as a row of brackets for each is broadcast.
     """
     long, keys = long.where("value is not null"), list(keys)
     p = [float(x) for x in probabilities]
@@ -38,12 +38,15 @@ def quantiles(long: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
     whole = whole.select(*keys, "n", "low", "high", lows.alias("_lows"), highs.alias("_highs"))
 
     def joined(rows: DataFrame) -> DataFrame:
-        return rows.join(whole, keys) if keys else rows.crossJoin(F.broadcast(whole))  # one row without keys
+        return rows.join(F.broadcast(whole), keys) if keys else rows.crossJoin(F.broadcast(whole))  # one row without keys
 
     rows = joined(long.select(*keys, "value"))
     below = rows.groupBy(*keys).agg(F.array(*[F.count(F.when(F.col("value") < F.col("_lows")[j], 1)) for j in range(len(p))]).alias("_below"))
     inside = F.filter(F.sequence(F.lit(0), F.lit(len(p) - 1)), lambda j: (F.col("value") >= F.get("_lows", j)) & (F.col("value") <= F.get("_highs", j)))
-    counts = rows.select(*keys, "value", F.explode(inside).alias("_j")).groupBy(*keys, "_j", "value").agg(F.count(F.lit(1)).alias("_c"))
+    bracketed = F.lit(False)
+    for j in range(len(p)):
+        bracketed = bracketed | F.col("value").between(F.col("_lows")[j], F.col("_highs")[j])
+    counts = rows.where(bracketed).select(*keys, "value", F.explode(inside).alias("_j")).groupBy(*keys, "_j", "value").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*keys, "_j").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_upto", F.sum("_c").over(upto))
     counts = counts.join(below, keys) if keys else counts.crossJoin(F.broadcast(below))
@@ -62,10 +65,13 @@ def quantiles(long: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
 
 
 def cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add _cell, which never falls as value rises within a key: its place among approximate quantiles of the key's rows."""
+    """Add _cell, which never falls as value rises within a key: its place among approximate quantiles of the key's rows.
+
+    keys should have few values (variables, samples, folds): a row of cuts for each is broadcast.
+    """
     n = 1 << CELL_BITS
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [k / n for k in range(1, n)], ACCURACY).alias("_cuts"))
-    out = (df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))).withColumn("_cell", F.lit(0))
+    out = (df.join(F.broadcast(cuts), list(keys)) if keys else df.crossJoin(F.broadcast(cuts))).withColumn("_cell", F.lit(0))
     for k in reversed(range(CELL_BITS)):
         step = 1 << k
         out = out.withColumn("_cell", F.col("_cell") + F.when(F.get("_cuts", F.col("_cell") + (step - 1)) < F.col(value), step).otherwise(0))
@@ -88,7 +94,7 @@ def running(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
     before = Window.partitionBy(*keys).orderBy(*way("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_cell", *[F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0)).alias(f"_b_{x}") for x in sums])
     within = Window.partitionBy(*keys, "_cell").orderBy(*way(value), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.withColumns({f"cum_{x}": F.sum(x).over(within) for x in sums}).join(totals, [*keys, "_cell"])
+    out = placed.withColumns({f"cum_{x}": F.sum(x).over(within) for x in sums}).join(F.broadcast(totals), [*keys, "_cell"])
     return out.withColumns({f"cum_{x}": F.col(f"cum_{x}") + F.col(f"_b_{x}") for x in sums}).drop("_cell", *[f"_b_{x}" for x in sums])
 
 

@@ -16,12 +16,14 @@ def pairs_of(samples: Sequence[object]) -> list[tuple[str, str]]:
     return [(str(a), str(b)) for a, b in zip(samples, samples[1:])]
 
 
-def bin_of(value: Column, edges: Column) -> Column:
-    """The number of the right-closed bin (a, b] between distinct ascending edges; null at or below the first and above the last.
+def bin_of(value: Column, edges: Column, most: int) -> Column:
+    """The number of the right-closed bin (a, b] between distinct ascending edges, at most `most` of them; null at or below the first and above the last.
 
     So the least value of the reference sample falls in no bin, as in the index that is reproduced here.
     """
-    above = F.size(F.filter(edges, lambda e: e < value))
+    above = F.lit(0)
+    for j in range(most):
+        above = above + F.when(F.get(edges, F.lit(j)) < value, 1).otherwise(0)
     return F.when((above >= 1) & (above < F.size(edges)), above)
 
 
@@ -52,8 +54,11 @@ def binned_shares(df: DataFrame, sample: str, pairs: Sequence[tuple[str, str]],
     """shares() of continuous variables in the quantile bins of each pair's reference sample."""
     rows = compared(df, sample, pairs, continuous, "double")
     keys = ["ref", "curr", "variable"]
-    edges = quantiles(rows.where("is_ref"), keys, [k / bins for k in range(bins + 1)]).select(*keys, F.array_distinct("q").alias("_edges"))
-    placed = rows.join(edges, keys).withColumn("bin", bin_of(F.col("value"), F.col("_edges")).cast("string")).where("bin is not null")
+    refs = sorted({a for a, _ in pairs})
+    long = melted(df.select(F.col(sample).cast("string").alias("ref"), *continuous).where(F.col("ref").isin(refs)), continuous, ["ref"])
+    own = quantiles(long, ["ref", "variable"], [k / bins for k in range(bins + 1)]).select("ref", "variable", F.array_distinct("q").alias("_edges"))
+    edges = own.join(F.broadcast(df.sparkSession.createDataFrame(pairs, "ref string, curr string")), "ref")  # a row per pair
+    placed = rows.join(F.broadcast(edges), keys).withColumn("bin", bin_of(F.col("value"), F.col("_edges"), bins + 1).cast("string")).where("bin is not null")
     known = edges.select(*keys, F.explode(F.sequence(F.lit(1), F.size("_edges") - 1).cast("array<string>")).alias("bin"))
     return known.join(shares(placed), [*keys, "bin"], "left").fillna(0.0, ["r", "c"])
 
