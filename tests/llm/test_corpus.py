@@ -79,6 +79,28 @@ def test_leaks_match_alignment_of_every_window(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in docs} - {r.doc_id for r in got} and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_leaks_of_excerpts_off_any_grid(spark):
+    rng = random.Random(11)
+    rule, items = decontamination.Rule(), [prose(rng, n) for n in (45, 60, 75, 90)]
+    docs = []
+    for item, text in enumerate(items):
+        for share in (0.5, 0.6, 0.7, 0.8):
+            n = max(int(share * len(text)), rule.window)
+            for start in (1, (len(text) - n) // 2, rng.randrange(len(text) - n)):
+                docs.append((len(docs), item, prose(rng, 30) + " " + text[start : start + n].strip() + " " + prose(rng, 30)))
+        for start in (rule.window // 2, rule.window + 40):  # one window, with all the edits it may have
+            part = text[start : start + rule.window].replace(" ", "a", 1)
+            for k in range(6, 6 + 12 * (rule.budget(rule.window) - 1), 12):
+                part = part[:k] + "z" + part[k + 1 :]
+            docs.append((len(docs), item, prose(rng, 30) + " " + part + " " + prose(rng, 30)))
+    want = {(d, item) for d, item, _ in docs}
+    assert all(min(least_edits(items[i][s : s + rule.window], t) for s in range(len(items[i]) - rule.window + 1)) <= rule.budget(rule.window) for _, i, t in docs[::5])
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, _, t in docs], DOCS)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, benchmark).collect()} == want
+    assert decontamination.without_leaks(df, benchmark).count() == 0
+
+
 def test_leaks_in_several_benchmark_blocks_and_of_nothing(spark):
     rng = random.Random(2)
     items = [prose(rng, 50) for _ in range(12)]
