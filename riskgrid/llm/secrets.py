@@ -17,7 +17,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]{14}", 0, 18),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}", r"(?<![0-9a-f])[0-9a-f]{16}", 0, 16),
 )
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: '=' is of a token only as padding at its end; between a name and a value it parts two tokens.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?+|[A-Za-z0-9+/_-]{1,19}+=++(?![A-Za-z0-9+/_-]))"
 TOKEN_HINT = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"
 #: Encodings, tried in this order: name, what a token of it matches, its alphabet.
 _UP, _LOW, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -143,7 +144,7 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     texts without spans have the digest of the empty string and empty spans. A null doc_id stays null. Spans are
     kind:start:end in code points, end exclusive, by start and then kind (assign, access, hex, random).
 
-    A token of 20 or more characters beside the base spans, whose characters fit an encoding (hexadecimal, base 32,
+    A token of 20 or more characters (padding by '=' at its end included) beside the base spans, whose characters fit an encoding (hexadecimal, base 32,
     36 or 64), is tested against that encoding's alphabet. Within each class of encoding and length (half powers of
     two, as the tests gain power with length) the false-discovery rate of calling random tokens structured is held to
     rate over the whole corpus; tokens that are not called so are reported as random.

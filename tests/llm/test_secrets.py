@@ -43,5 +43,15 @@ def test_random_tokens_are_added_and_structured_ones_are_not(spark):
     assert row.spans == "random:0:32" and row.n_random == 1
 
 
+def test_values_behind_an_equals_sign_are_tokens_of_their_own(spark):
+    value = "K9vQx2Lr8Zt4Wm1Pb7Yc3Nd6Hf5Gj0Sa"
+    texts = [
+        f"AWS_KEY={value}", f"https://a.example/p?sig={value}&x=1", f"SESSION={value}==\nPATH=/usr", f"a_rather_long_name_of_it={value}", f"{value[:18]}== end", f"{value}=", "k=" + value[:18],
+    ]
+    want = ["random:8:40", "random:24:56", "random:8:42", "random:25:57", "random:0:20", "random:0:33", ""]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.spans for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
 def test_no_rows(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
