@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
-SILENT = "script|style|title|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video"
-#: Comments, silent elements whole, tags (as far as a page that breaks off has them) and declarations.
+SILENT = "script|style|title|noscript|template|textarea|select|svg|iframe|object|canvas|audio|video"
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*"
+#: Comments, self-closed svg (the only silent element that can be), silent elements whole, tags (as far as a page that breaks off has them) and declarations.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[/!?a-z][^<>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:{ATTRIBUTES})(?<=/)>|<({SILENT})(?=[\s/>])(?:{ATTRIBUTES})>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>|<[/!?a-z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
 BLOCK = frozenset(
@@ -34,7 +35,7 @@ LABEL = re.compile(r'\bdata-label="(\d)"')
 
 PATH, WORDS, NUMBERS = 192, 32, 7
 WIDTH = PATH + WORDS + NUMBERS
-#: Leaves that one pass of the network holds; a longer page is read in parts of so many.
+#: Leaves that one pass of the network holds; a longer page is read in parts of so many, with the state carried on.
 LEAVES = 20_000
 
 Element = tuple[str, tuple[str, ...], str]
@@ -167,13 +168,13 @@ class Labeller:
             out += [rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, 4 * hidden)), rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden)), bias]
         return Labeller([w.astype(np.float32) for w in [*out, rng.normal(0, 0.2, 2 * hidden), np.zeros(1)]])
 
-    def scan(self, x: np.ndarray, mask: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    def scan(self, x: np.ndarray, mask: np.ndarray, side: int, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
         """Hidden states (time, batch, hidden) of one direction over x (time, batch, width), and what training needs."""
         wx, wh, bias = self.weights[3 * side : 3 * side + 3]
         n = self.hidden
         put = x @ wx + bias
-        h = np.zeros((x.shape[1], n), wx.dtype)
-        c, states, tape = h.copy(), np.zeros((*x.shape[:2], n), wx.dtype), []
+        h, c = state or (np.zeros((x.shape[1], n), wx.dtype),) * 2
+        states, tape = np.zeros((*x.shape[:2], n), wx.dtype), []
         for t in range(len(x)) if side == 0 else range(len(x) - 1, -1, -1):
             z = put[t] + h @ wh
             i, f, o, g = sigmoid(z[:, :n]), sigmoid(z[:, n : 2 * n]), sigmoid(z[:, 2 * n : 3 * n]), np.tanh(z[:, 3 * n :])
@@ -189,6 +190,19 @@ class Labeller:
         n = self.hidden
         return self.scan(x, mask, 0)[0] @ self.weights[6][:n] + self.scan(x, mask, 1)[0] @ self.weights[6][n:] + self.weights[7]
 
+    def margins_in_parts(self, x: np.ndarray) -> np.ndarray:
+        """Margins of one page's leaves, as of one pass, in parts of LEAVES."""
+        n, out = self.hidden, np.repeat(self.weights[7], len(x))
+        starts = range(0, len(x), LEAVES)
+        for side in (0, 1):
+            state = None
+            for s in starts if side == 0 else reversed(starts):
+                part = x[s : s + LEAVES, None]
+                states, tape = self.scan(part, np.ones(part.shape[:2], bool), side, state)
+                state = states[-1 if side == 0 else 0], tape[-1][-1]
+                out[s : s + LEAVES] += states[:, 0] @ self.weights[6][side * n : side * n + n]
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss over the leaves."""
         n = self.hidden
@@ -219,20 +233,15 @@ class Labeller:
 
     def predict(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Whether each leaf of each page is main text; pages of like length go through together."""
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        parts = [(k, s, x[s : s + LEAVES]) for k, x in enumerate(pages) for s in range(0, len(x), LEAVES)]
-        parts.sort(key=lambda p: (len(p[2]), p[0], p[1]))
-        found: dict[tuple[int, int], np.ndarray] = {}
-        while parts:
-            most = max(1, LEAVES // max(len(parts[-1][2]), 1))
-            batch, parts = parts[-most:], parts[:-most]
-            x, mask = padded([p[2] for p in batch])
+        out = [self.margins_in_parts(x) > 0 if len(x) > LEAVES else np.zeros(0, bool) for x in pages]
+        rest = sorted((k for k, x in enumerate(pages) if 0 < len(x) <= LEAVES), key=lambda k: (len(pages[k]), k))
+        while rest:
+            most = max(1, LEAVES // len(pages[rest[-1]]))
+            batch, rest = rest[-most:], rest[:-most]
+            x, mask = padded([pages[k] for k in batch])
             margin = self.margins(x, mask)
-            for j, (k, s, part) in enumerate(batch):
-                found[k, s] = margin[: len(part), j] > 0
-        for k, x in enumerate(pages):
-            if len(x):
-                out[k] = np.concatenate([found[k, s] for s in range(0, len(x), LEAVES)])
+            for j, k in enumerate(batch):
+                out[k] = margin[: len(pages[k]), j] > 0
         return out
 
 
@@ -370,7 +379,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     space of a block), character references are decoded, white space is made single, and the blocks that the labeller
     takes for main text are joined by \\n in page order. Scripts, styles, comments and other silent elements never are
     blocks. Pages are read whole in one pass without a shuffle; a page of more than LEAVES blocks goes through the
-    network in parts of so many.
+    network in parts of so many, with its state carried from part to part.
 
     The labeller is trained by train() on the driver, on made-up pages, where none is given.
     """

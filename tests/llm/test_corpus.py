@@ -274,6 +274,30 @@ def test_blocks_of_a_broken_page():
     assert [b[1] for b in pages.leaves("<p>a<!-- b -->c<script>x</p>")] == ["ac"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>one <svg class="i" /> two</p><p>three</p></article>', ["one two", "three"]),
+        ("<article><p>one <svg/>two<svg\n data-x='>'/></p><p>three</p></article>", ["one two", "three"]),
+        ("<title-card>a card</title-card><p>b</p><video-player src=x></video-player><p>c</p>", ["a card", "b", "c"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", ["let x=1 be"]),
+        ('<p>one<svg viewBox="0"><path d="M0"/><text>no</text></svg></p><title>no</title><script src=x/>no</script><p>two', ["one", "two"]),
+    ],
+)
+def test_silent_elements_take_no_text_beside_them(page, want):
+    assert [b[1] for b in pages.leaves(page)] == want
+
+
+def test_parts_of_a_long_page_are_labelled_as_one(monkeypatch):
+    net, rng = pages.Labeller.fresh(5, 1), np.random.default_rng(2)
+    long, short = rng.normal(size=(103, pages.WIDTH)).astype(np.float32), rng.normal(size=(7, pages.WIDTH)).astype(np.float32)
+    whole = net.predict([short, long, short[:0]])
+    x, mask = pages.padded([long])
+    monkeypatch.setattr(pages, "LEAVES", 10)
+    assert np.allclose(net.margins_in_parts(long), net.margins(x, mask)[:, 0], atol=1e-5)
+    assert [p.tolist() for p in net.predict([short, long, short[:0]])] == [p.tolist() for p in whole]
+
+
 def test_extraction_labels_blocks_of_unseen_layouts(spark):
     layouts, net, vectors = pages.Layouts(4711), pages.train(), pages.Vectors()
     wrong = total = 0
