@@ -7,104 +7,163 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffles_removed, written
-
-BLANKS = r"[\x20\x09-\x0D]+"
-#: Tokens are counted in so many buckets of their hash; the counts, a byte each, become one constant of the plan.
-BUCKETS = 1 << 16
-#: Up to so many token sets that share a token, all their pairs are candidates at once.
-FEW_SETS = 16
-#: Of more, up to so many are compared with all others first, before the rest is joined.
+from .common import shuffles_removed, written
+
+#: Blanks other than space between tokens.
+TABS = "\t\x0b\x0c\r"
+#: Tokens are counted in buckets of their hash, 2 ** BUCKET_BITS[0] to 2 ** BUCKET_BITS[1] of them, some eight a document; the counts' levels become one constant of the plan.
+BUCKET_BITS = (16, 20)
+#: Tokens that more sets have in their prefixes are hot: their sets are compared with HEADS of them first.
+HOT = 1024
 HEADS = 4
-#: Up to so many wanted lines (some 40 MB), or tokens that more than FEW_SETS share, are broadcast; more are joined by a shuffle.
+#: Prefix tokens are counted in so many buckets to find the hot ones.
+PREFIX_BUCKETS = 1 << 16
+#: Up to so many rows (some 40 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Sets of more tokens have more parity bits.
+FEW_TOKENS = 64
+#: A set of n tokens must share one token with another in their prefixes, and one more for each EACH of its tokens, with prefixes that much longer.
+EACH = 40
 SLACK = 1e-9
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(text, BLANKS), "")
+def shares(n: Column) -> Column:
+    """How many tokens the prefixes of similar sets share at least, if the smaller has n tokens."""
+    return (F.floor(n / EACH) + 1).cast("int")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The binary constant whose byte b + 1 grows with the logarithm of how often tokens of bucket b occur in all docs."""
-    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect()  # at most BUCKETS rows
-    levels = bytearray(BUCKETS)
-    for bucket, n in counts:
-        levels[bucket] = min(127, int(3 * math.log2(1 + n)))
-    return F.lit(levels)
+def small(df: DataFrame) -> DataFrame:
+    """A written table, with the hint to broadcast it if it is found to have at most BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def codes(line: Column, levels: Column) -> Column:
-    """The distinct tokens of a line as numbers in order of rarity: the level of the token above 56 bits of its hash."""
+def spaced() -> Column:
+    """The text with all blanks but line ends as spaces; empty for null."""
+    text = F.coalesce("text", F.lit(""))
+    tabbed = F.contains(text, F.lit(TABS[0]))
+    for c in TABS[1:]:
+        tabbed = tabbed | F.contains(text, F.lit(c))
+    return F.when(tabbed, F.translate(text, TABS, " " * len(TABS))).otherwise(text)
 
-    def code(h: Column) -> Column:
-        level = F.ascii(F.substring(levels, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), code))
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(did, line, text) of each line of docs, its blanks all spaces; documents without an id have none."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("did"), F.posexplode(F.split(spaced(), "\n")).alias("line", "text"))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(did, line, words) of each line of docs; documents without an id have none."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("did"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+def rarity(docs: DataFrame) -> tuple[Column, int]:
+    """The constant array whose entry b grows with the logarithm of how often tokens of bucket b occur in all docs; its length."""
+    buckets = 1 << min(max(math.ceil(math.log2(8 * docs.count() + 1)), BUCKET_BITS[0]), BUCKET_BITS[1])
+    counts = docs.select(F.explode(F.split(F.replace(spaced(), F.lit("\n"), F.lit(" ")), " ")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).count()
+    level = F.least(F.floor(1.5 * F.log2(F.col("count") + 1.0)), F.lit(63)).cast("int")  # six bits, so that codes stay above 0
+    # a row of text for each 4096 buckets goes to the driver
+    rows = counts.select((F.col("b") / 4096).cast("int").alias("part"), F.concat_ws(":", F.col("b"), level).alias("pair")).groupBy("part").agg(F.concat_ws(",", F.collect_list("pair")).alias("pairs"))
+    levels = [0] * buckets
+    for row in rows.collect():
+        for pair in row["pairs"].split(","):
+            b, _, n = pair.partition(":")
+            levels[int(b)] = int(n)
+    return F.from_json(F.lit(str(levels)), "array<bigint>"), buckets
+
+
+def codes(text: Column, levels: Column, buckets: int) -> Column:
+    """The distinct tokens of a line as numbers in order of rarity: the level of the token above 57 bits of its hash."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(text, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
-def can_match(x: Column, y: Column, threshold: float) -> Column:
-    """Length and positional filters for two postings (n, i) of a token: what is left of both sets after it may suffice."""
-    lengths = F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) - SLACK
-    return lengths & (F.least(x["n"] - x["i"], y["n"] - y["i"]) >= threshold / (1 + threshold) * (x["n"] + y["n"]) - SLACK)
+def parity(codes: Column, at: int) -> Column:
+    """64 bits, each the parity of how many of the codes name it by their six bits from `at` on: two sets that differ in k tokens differ in at most k bits."""
 
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(c, at) if at else c).bitwiseAND(63).cast("int"))
 
-def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """The distinct x of the pairs (x, y) of line digests whose sets have at least the Jaccard similarity threshold.
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
-    Sets are read again from the texts, for the wanted lines only.
+
+def pairs(x: DataFrame, y: DataFrame, threshold: float, *keys: str) -> DataFrame:
+    """(x_did, x_line, y_did, y_line, least) for each posting that sets of two lines share, y the earlier, which may have the similarity if they share `least`.
+
+    Filters: lengths; positions (what is left of both sets after the token, and what may be shared before it, may suffice); and the bits
+    of parity(), which bound how much the sets differ.
+    """
+    c = F.col
+    on = (c("x.token") == c("y.token")) & ((c("y.did") < c("x.did")) | ((c("y.did") == c("x.did")) & (c("y.line") < c("x.line"))))
+    for key in keys:
+        on = on & (c(f"x.{key}") == c(f"y.{key}"))
+    total, smaller = c("x.n") + c("y.n"), F.least("x.n", "y.n")
+    lengths = smaller >= threshold * F.greatest("x.n", "y.n") - SLACK
+    left = F.least(c("x.n") - c("x.i"), c("y.n") - c("y.i")) + shares(smaller) - 1 >= threshold / (1 + threshold) * total - SLACK
+    apart = (1 - threshold) / (1 + threshold) * total + SLACK
+    close = F.bit_count(c("x.bits").bitwiseXOR(c("y.bits"))) <= apart
+    closer = (smaller <= FEW_TOKENS) | (F.bit_count(c("x.more_bits").bitwiseXOR(c("y.more_bits"))) <= apart)
+    joined = x.alias("x").join(y.alias("y"), on & lengths & left & close & closer)
+    return joined.select(*[c(f"{side}.{part}").alias(f"{side}_{part}") for side in "xy" for part in ("did", "line")], shares(smaller).alias("least"))
+
+
+def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The (did, line) of each x of the pairs that share enough tokens and whose sets have at least the Jaccard similarity threshold.
+
+    Tokens are compared as text, read again for the wanted lines only.
     """
-    pairs = checkpointed(pairs)
-    wanted = checkpointed(pairs.select(F.col("x").alias("d")).union(pairs.select("y")).distinct().join(firsts, "d"))
-    few = wanted.count() <= BROADCAST_ROWS
-    some = line_rows(docs).join(F.broadcast(wanted) if few else wanted, ["did", "line"])
-    sets = written(some.select("d", codes(F.col("text"), levels).alias("codes")).where(F.xxhash64("codes") == F.col("d")))
-    x, y = sets.select(F.col("d").alias("x"), F.col("codes").alias("cx")), sets.select(F.col("d").alias("y"), F.col("codes").alias("cy"))
-    enough = F.size(F.array_intersect("cx", "cy")) * (1 + threshold) >= threshold * (F.size("cx") + F.size("cy")) - SLACK
-    return checkpointed(pairs.join(x, "x").join(y, "y").where(enough).select(F.col("x").alias("d")).distinct())
-
-
-def searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(did, line, d) of each line with tokens, (d, did, line) of the first line of each token set, and the d similar to an earlier set."""
-    levels = rarity(docs)
-    ranked = line_rows(docs).select("did", "line", codes(F.col("text"), levels).alias("codes")).where(F.size("codes") > 0)
-    prefix = F.slice("codes", F.lit(1), (F.size("codes") - F.ceil(threshold * F.size("codes") - SLACK) + 1).cast("int"))
-    lines = written(ranked.select("did", "line", F.xxhash64("codes").alias("d"), F.size("codes").alias("n"), prefix.alias("prefix")))
-    first = lines.groupBy("d").agg(F.min(F.struct("did", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    first = written(first.select("d", "at.did", "at.line", "n", "prefix"))
-    firsts = first.select("d", "did", "line")
-
-    # sets that can match no other (a token apart is too much) need no search
-    able = first.where(F.floor(threshold * (F.col("n") + 1) + SLACK) <= F.col("n"))
-    postings = able.select("did", "line", "d", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
-    few = postings.join(shared.where(F.col("sets") <= FEW_SETS), "token").groupBy("token").agg(F.collect_list(F.struct("did", "line", "d", "n", "i")).alias("of"))
-    each = few.select(F.explode("of").alias("x"), "of")
-    near_x = each.select("x", F.explode(F.filter("of", lambda y: (F.struct(y["did"], y["line"]) < F.struct("x.did", "x.line")) & can_match(F.col("x"), y, threshold))).alias("y"))
-    candidates = near_x.select(F.col("x.d").alias("x"), F.col("y.d").alias("y"))
-
-    many = shared.where(F.col("sets") > FEW_SETS).select("token")
-    wide = written(postings.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "token"))
-    slot = F.pmod(F.xxhash64("d", F.lit("head")), F.lit(HEADS))
-    heads = wide.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "d", "n", "i")).alias("h"))
-    heads = written(heads.select("token", "h.*"))
-
-    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        on = (F.col("x.token") == F.col("y.token")) & (F.struct("y.did", "y.line") < F.struct("x.did", "x.line"))
-        joined = x.alias("x").join(y.alias("y"), on & can_match(F.struct("x.n", "x.i"), F.struct("y.n", "y.i"), threshold))
-        return joined.select(F.col("x.d").alias("x"), F.col("y.d").alias("y"))
-
-    near = verified(candidates.union(pairs(wide, heads)).distinct(), firsts, docs, levels, threshold)
-    doubtful = wide.join(near, "d", "left_anti")
-    others = wide.join(heads.select("token", "d"), ["token", "d"], "left_anti")
-    near = near.union(verified(pairs(doubtful, others).distinct(), firsts, docs, levels, threshold))
-    return lines.select("did", "line", "d"), firsts, near
+    ids = ["x_did", "x_line", "y_did", "y_line"]
+    found = written(found.groupBy(*ids, "least").count().where("count >= least").select(*ids))
+    ends = [found.select(F.col(f"{side}_did").alias("did"), F.col(f"{side}_line").alias("line")) for side in "xy"]
+    wanted = written(ends[0].union(ends[1]).distinct())
+    some = line_rows(docs.join(small(wanted.select(F.col("did").alias("doc_id")).distinct()), "doc_id", "left_semi")).join(small(wanted), ["did", "line"])
+    sets = written(some.select("did", "line", F.array_remove(F.array_distinct(F.split("text", " ")), "").alias("words")))
+    for side in "xy":
+        found = found.join(sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns]), [f"{side}_did", f"{side}_line"])
+    enough = F.size(F.array_intersect("x_words", "y_words")) * (1 + threshold) >= threshold * (F.size("x_words") + F.size("y_words")) - SLACK
+    return written(found.where(enough).select(F.col("x_did").alias("did"), F.col("x_line").alias("line")).distinct())
+
+
+def hot_tokens(postings: DataFrame) -> DataFrame | None:
+    """(token) of those that more than HOT sets have in their prefixes, or None; counted one by one only in buckets that may hold one."""
+    bucket = F.col("token").bitwiseAND(PREFIX_BUCKETS - 1).cast("int")
+    full = {row[0] for row in postings.groupBy(bucket.alias("b")).count().where(F.col("count") > HOT).select("b").collect()}  # at most PREFIX_BUCKETS rows
+    if not full:
+        return None
+    chosen = F.from_json(F.lit(str([int(b in full) for b in range(PREFIX_BUCKETS)])), "array<int>")
+    hot = written(postings.where(F.get(chosen, bucket) == 1).groupBy("token").count().where(F.col("count") > HOT).select("token"))
+    return None if hot.isEmpty() else hot
+
+
+def searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(did, line, first) of each line with tokens, first where none of its token set is earlier; and (did, line) of the firsts similar to an earlier line."""
+    all_lines = line_rows(docs)
+    levels, buckets = rarity(docs)
+    ranked = all_lines.select("did", "line", codes(F.col("text"), levels, buckets).alias("codes"))
+    n = F.size("codes")
+    prefix = F.slice("codes", 1, (n - F.ceil(threshold * n - SLACK)).cast("int") + shares(n))
+    bits = [parity(F.col("codes"), 0).alias("bits"), F.when(n > FEW_TOKENS, parity(F.col("codes"), 6)).otherwise(0).alias("more_bits")]
+    digests = [F.xxhash64("codes").alias("d1"), F.xxhash64(F.lit(1), F.col("codes")).alias("d2")]
+    lines = written(ranked.select("did", "line", n.alias("n"), *digests, *bits, prefix.alias("prefix"))).where("n > 0")
+    # the place is one number, so that the least of a set needs no sort; the join back has a key of its own for each line, however often a set repeats
+    place = F.col("did").cast("decimal(38,0)") * (1 << 32) + F.col("line")
+    firsts = lines.groupBy("d1", "d2").agg(F.min(place.cast("decimal(38,0)")).alias("place")).select("place", "d1", F.lit(True).alias("first"))
+    lines = lines.withColumn("place", place.cast("decimal(38,0)")).join(firsts.hint("shuffle_hash"), ["place", "d1"], "left")
+    lines = written(lines.select("did", "line", "n", "bits", "more_bits", "prefix", F.coalesce("first", F.lit(False)).alias("first")))
+
+    # a set of n tokens is similar to another only if all of its tokens, and one more, would be
+    able = lines.where(F.col("first") & (F.col("n") >= threshold * (F.col("n") + 1) - SLACK))
+    postings = able.select("did", "line", "n", "bits", "more_bits", F.posexplode("prefix").alias("i", "token"))
+    hot = hot_tokens(able.select(F.explode("prefix").alias("token")))
+    if hot is None:
+        return lines, verified(pairs(postings, postings.hint("shuffle_hash"), threshold), docs, threshold)
+    hot = small(hot)
+    cool, wide = postings.join(hot, "token", "left_anti"), written(postings.join(hot, "token", "left_semi"))
+    slot = F.pmod(F.xxhash64("did", "line"), F.lit(HEADS))
+    heads = written(wide.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "n", "bits", "more_bits", "i")).alias("h")).select("token", "h.*"))
+    near = verified(pairs(cool, cool.hint("shuffle_hash"), threshold).union(pairs(wide, small(heads), threshold)), docs, threshold)
+    doubtful = wide.join(small(near), ["did", "line"], "left_anti")
+    others = wide.join(small(heads).select("token", "did", "line"), ["token", "did", "line"], "left_anti")
+    # by size as well, so that a hot token is many keys; a similar set's size is in the same band or one beside it
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + SLACK).cast("int")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    doubtful = doubtful.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).repartition(parts, "token", "band")
+    others = others.withColumn("band", band).repartition(parts, "token", "band")
+    return lines, near.union(verified(pairs(doubtful, others, threshold, "band"), docs, threshold))
 
 
 def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -120,21 +179,21 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     row reports the lines of all of them. An empty table gives no rows.
 
     Tokens are ordered by rarity in the corpus (counted in buckets of their hash; any one order gives the same result), and
-    lines that share a token in their prefixes, n - ceil(threshold n) + 1 long, are candidates if lengths and positions
-    allow: all pairs of the up to FEW_SETS sets of a token. Where more share it, every set is first compared with up to HEADS of
-    them, which removes most of a large group of near copies without comparing all its pairs; sets still in doubt are then
-    joined with all others, so the result is exact.
-    Tokens and token sets are told apart by 56 and 64 bits of a hash.
+    the first lines of two token sets that share a token in their prefixes, n - ceil(threshold n) + 1 long, are candidates if lengths, positions
+    and parity bits allow. The sets of a token that up to HOT share are all compared there. Where more share it, every set is first compared
+    with up to HEADS of them, which removes most of a large group of near copies without comparing all its pairs; sets
+    still in doubt are then joined with all others, so the result is exact. Candidates are verified on the tokens themselves.
+    Before that, token sets are told apart by 128 bits of a hash, and tokens by 57 besides their level.
     """
     with shuffles_removed(docs.sparkSession):
-        lines, firsts, near = searched(docs, threshold)
-    of = firsts.select("d", F.col("did").alias("first_did"), F.col("line").alias("first_line")).join(near.withColumn("near", F.lit(True)), "d", "left")
-    again = (F.col("did") != F.col("first_did")) | (F.col("line") != F.col("first_line"))
-    gone = lines.join(of, "d").withColumn("again", again).where("again or near")
-    gone = gone.groupBy("did").agg(F.collect_set(F.when(F.col("again"), F.col("line"))).alias("same"), F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near"))  # of one document
+        lines, near = searched(docs, threshold)
+    again = lines.where(~F.col("first")).select("did", "line", F.lit(True).alias("again"))
+    gone = again.union(near.select("did", "line", F.lit(False))).groupBy("did")
+    gone = gone.agg(F.collect_set(F.when(F.col("again"), F.col("line"))).alias("same"), F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near"))  # of one document
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    same, close = F.coalesce("same", none), F.coalesce("near", none)
+    same = F.coalesce("same", none)
+    close = F.array_except(F.coalesce("near", none), same)
     return base.join(gone, F.col("doc_id") == F.col("did"), "left").select(
         "doc_id",
         "n_lines",

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from riskgrid.llm import embeddings, lines, simhash
 from riskgrid.llm.common import components
 
@@ -142,10 +144,10 @@ def removed_lines(docs, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize(("heads", "few"), [(1, 2), (4, 16)])
+@pytest.mark.parametrize(("heads", "few"), [(1, 2), (4, 16), (4, 1024)])
 def test_repeated_lines_match_brute_force(spark, monkeypatch, heads, few):
     monkeypatch.setattr(lines, "HEADS", heads)
-    monkeypatch.setattr(lines, "FEW_SETS", few)
+    monkeypatch.setattr(lines, "HOT", few)
     rng = random.Random(5)
     base = [t.split(" ") for t in texts(25, 8)]
     rows = []
@@ -174,3 +176,31 @@ def test_repeated_rows_do_not_repeat_their_own_lines(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (2, "one two three four five\nnew words")], "doc_id long, text string")
     assert sorted((r.doc_id, r.removed) for r in lines.repeated_lines(docs).collect()) == [(1, ""), (1, ""), (2, "0")]
     assert lines.repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_codes_of_the_most_frequent_tokens_come_last(spark):
+    """Levels fill six bits at most: a code of bit 63 would sort before all."""
+    levels = F.from_json(F.lit(str([63] * (1 << 16))), "array<bigint>")
+    row = spark.createDataFrame([("a b c a  d",)], "text string").select(lines.codes(F.col("text"), levels, 1 << 16).alias("c")).first()
+    assert len(row.c) == 4 and min(row.c) >= 63 << 57 and row.c == sorted(row.c)
+
+
+def test_many_near_lines_of_one_hot_token(spark):
+    """A group of near copies beyond HOT, some near only to others than the first ones compared."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(12)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(9)}"
+        rows.append((i, " ".join(words), "d", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, did string, line int")
+    want = removed_lines(rows)
+    before = lines.HOT
+    lines.HOT = 8
+    try:
+        got = {r.doc_id: [int(k) for k in r.removed.split(",") if k] for r in lines.repeated_lines(docs).collect()}
+    finally:
+        lines.HOT = before
+    assert got == want
