@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,15 +19,18 @@ TILE_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, a temporary one is set."""
+    """The folder that spark.checkpoint.dir names, or that a checkpoint folder of the context lies in.
+
+    Where neither is set, a session of one machine gets a temporary one; on a cluster, whose executors could not see it, this raises.
+    """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="riskgrid-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared)
-    return shared
+    known = sc.getCheckpointDir()
+    if not (shared or known) and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not known:
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="riskgrid-"))
+    return shared or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from riskgrid.llm import embeddings, lines, simhash
-from riskgrid.llm.common import components
+from riskgrid.llm.common import components, shared_folder, written
 
 DOCS = "doc_id long, text string, lang string, fp long, size string"
 
@@ -204,3 +204,26 @@ def test_many_near_lines_of_one_hot_token(spark):
     finally:
         lines.HOT = before
     assert got == want
+
+
+def test_shared_folder_without_the_setting(spark, monkeypatch):
+    """A session of one machine gets a temporary folder and keeps it; a cluster must be told of one."""
+    assert spark.conf.get("spark.checkpoint.dir", None) is None or shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == shared_folder(spark) and spark.sparkContext.getCheckpointDir()
+    assert written(spark.range(3)).count() == 3
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
