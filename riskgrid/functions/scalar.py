@@ -27,10 +27,6 @@ def clip(column: Column, low: Column | float | None = None, high: Column | float
     return out
 
 
-def nan_to_null(column: Column) -> Column:
-    return F.when(~F.isnan(column), column)
-
-
 def mapped(column: Column, values: Mapping[object, object]) -> Column:
     """values[column], null where it has no such key."""
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[column]

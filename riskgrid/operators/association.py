@@ -8,8 +8,10 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import chi2_sf
+from ..functions.scalar import V_READINGS, chi2_sf, class_of, half_even
+from ..sources.files import once
 from .order import average_ranks, melted
+from .summaries import contingency
 
 
 def value_counts(df: DataFrame, variables: Sequence[str], target: str, keep: Sequence[str] = (), kind: str = "double") -> DataFrame:
@@ -105,19 +107,27 @@ def cramers_v_matrix(df: DataFrame, variables: Sequence[str], corrected: bool =
 
 
 def contingency_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, rows, columns, chi2, dof, p_value, v) of two variables."""
+    """(n, rows, columns, chi2, dof, p_value, v, reading) of two variables, where reading puts V in words."""
     rows = df.select(F.lit(f"{a} x {b}").alias("variable"), F.col(a).cast("string").alias("value"), F.col(b).cast("string").alias("level")).dropna()
     found = chi2_of(rows.groupBy("variable", "value", "level").agg(F.count(F.lit(1)).alias("n")), ["variable"])
-    return found.withColumn("v", cramers(found)).drop("variable")
+    return found.withColumn("v", cramers(found)).withColumn("reading", class_of(F.col("v"), V_READINGS)).drop("variable")
+
+
+def contingency_analysis(df: DataFrame, a: str, b: str, normalize: str = "index") -> tuple[DataFrame, DataFrame]:
+    """Of two variables: contingency_test(), and their table (a, b, n, value) of shares of rows ('index'), columns or all, rounded to 3 decimals, in percent."""
+    rows = df.dropna(subset=[a, b])
+    table = contingency(rows, a, b, normalize=normalize).withColumn("value", half_even(F.col("value"), 3) * 100)
+    return contingency_test(rows, a, b), table
 
 
 def ranked(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """df with each variable replaced by its average rank within keys."""
+    counts = melted(df, variables, keys).where("value is not null").groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = once(average_ranks(counts, [*keys, "variable"]).select(*keys, "variable", "value", "rank"))  # of all variables in one pass
     out = df
     for v in variables:
-        counts = df.where(F.col(v).isNotNull()).groupBy(*keys, F.col(v).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        ranks = average_ranks(counts, keys).select(*keys, F.col("value").alias(f"_v_{v}"), F.col("rank").alias(f"_r_{v}"))
-        out = out.withColumn(f"_v_{v}", F.col(v).cast("double")).join(ranks, [*keys, f"_v_{v}"], "left").withColumn(v, F.col(f"_r_{v}")).drop(f"_v_{v}", f"_r_{v}")
+        mine = ranks.where(F.col("variable") == v).select(*keys, F.col("value").alias(f"_v_{v}"), F.col("rank").alias(f"_r_{v}"))
+        out = out.withColumn(f"_v_{v}", F.col(v).cast("double")).join(mine, [*keys, f"_v_{v}"], "left").withColumn(v, F.col(f"_r_{v}")).drop(f"_v_{v}", f"_r_{v}")
     return out
 
 

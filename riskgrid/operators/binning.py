@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.scalar import interval_label
-from .order import melted, positions, quantiles
+from .order import cells, melted, positions, quantiles, running
 
 
 def edges_of(df: DataFrame, variables: Sequence[str], bins: int) -> dict[str, list[float]]:
@@ -119,15 +120,44 @@ def vingtile_edges(n: int, bins: int = 20) -> list[float]:
 def vingtiles(df: DataFrame, score: str, row_key: Sequence[str], bins: int = 20, out: str = "score_vingtile") -> DataFrame:
     """Add out: the bin of a row's rank by score, ties in the order of row_key; null for a null score.
 
-    Ranks are positions over the whole table, found without ordering it in one task.
+    One pass counts the rows of each score, which tells the score at each of the bins - 1 inner edges. Rows of other scores are binned by
+    comparing scores; only those of a score that an edge parts are ordered by row_key, in cells of its first column where that is a number.
     """
-    rated = df.where(F.col(score).isNotNull())
-    n = rated.count()
-    grid = 1 << 10
-    low, high = rated.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running(counts, [], "_s", ["_n"])
+    n = upto.agg(F.sum("_n")).first()[0]
     if not n:
         return df.withColumn(out, F.lit(None).cast("int"))
-    cell = F.floor((F.col(score) - low) / max(high - low, 1e-300) * grid).cast("long")
-    ranked = positions(rated.withColumns({"_cell": cell, "_all": F.lit(0)}), ["_all"], "_cell", [score, *row_key], "_position")
-    ranked = ranked.withColumn(out, place(F.col("_position").cast("double"), vingtile_edges(n, bins)))
-    return ranked.select(*df.columns, out).unionByName(df.where(F.col(score).isNull()).withColumn(out, F.lit(None).cast("int")))
+    edges = vingtile_edges(n, bins)
+    least = [F.min(F.when(F.col("cum__n") > e, F.struct("_s", (F.col("cum__n") - F.col("_n")).alias("before")))).alias(f"e{k}") for k, e in enumerate(edges[1:-1])]
+    at = [x for x in upto.agg(*least).first()]  # bins - 1 pairs: the least score with a rank above the edge, and the rows before it
+    value = F.col(score).cast("double")
+    inner = [(e, x["_s"], x["before"]) for e, x in zip(edges[1:-1], at) if x is not None]
+    parted = {s: before for e, s, before in inner if before + 1 <= e}
+    passed = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for e, s, _ in inner]), lambda x: (value > x["s"]) | ((value == x["s"]) & (F.col("_rank") > x["e"]))) if inner else F.array()
+    number = F.when(F.col(score).isNotNull(), 1 + F.size(passed)).cast("int")
+    split = F.coalesce(value.isin(list(parted)), F.lit(False)) if parted else F.lit(False)
+    plain = df.where(~split).withColumn("_rank", F.lit(n)).withColumn(out, number).drop("_rank")
+    if not parted:
+        return plain
+    rows = df.where(split).withColumn("_s", value)
+    numeric = isinstance(df.schema[row_key[0]].dataType, NumericType)
+    rows = cells(rows, ["_s"], row_key[0]) if numeric else rows.withColumn("_cell", F.lit(0))
+    before = F.create_map(*[F.lit(x) for pair in parted.items() for x in pair])
+    rows = positions(rows, ["_s"], "_cell", row_key, "_position").withColumn("_rank", F.col("_position") + before[F.col("_s")])
+    return plain.unionByName(rows.withColumn(out, number).select(*df.columns, out))
+
+
+def binned_rates(df: DataFrame, variable: str, bins: int, how: str = "quantile", target: str = "def", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., bin, n, default_rate in percent) of a variable in quantile bins ('quantile' raises on equal edges, 'distinct' drops them) or in bins of equal width ('width').
+
+    The rows behind charts of default rates by bin. Rows without a value have no bin and don't count.
+    """
+    if how == "width":
+        placed = equal_width_bins(df, variable, bins, "bin")
+    elif how in ("quantile", "distinct"):
+        placed = quantile_bins(df, variable, bins, "bin", duplicates="raise" if how == "quantile" else "drop")
+    else:
+        raise ValueError("how must be quantile, distinct or width")
+    rate = 100 * F.avg(F.col(target).cast("double"))
+    return placed.where("bin is not null").groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), rate.alias("default_rate"))

@@ -34,6 +34,18 @@ def stratified_folds(df: DataFrame, k: int, strata: Sequence[str], row_key: Sequ
     return placed.withColumn(out, ((F.col("position") - 1) % k + first).cast("int")).drop("position")
 
 
-def sampled(df: DataFrame, n: int, row_key: Sequence[str], seed: int = 42) -> DataFrame:
-    """A simple random sample of n rows: those of smallest hash of the key."""
-    return df.orderBy(F.xxhash64(*row_key, F.lit(seed)), *row_key).limit(n)
+def drawn(keys: Sequence[Column], seed: int) -> Column:
+    """A whole number below 2 ** 31 - 1 from whole numbers, by integer arithmetic that any SQL engine repeats."""
+    prime = (1 << 31) - 1
+    out = F.lit(seed).cast("long")
+    for key in keys:
+        out = (out * 48271 + F.pmod(key.cast("long"), F.lit(prime))) % prime
+    for _ in range(3):  # spreads small keys over the range
+        out = (out * 69621 + 12345) % prime
+    return out
+
+
+def sampled(df: DataFrame, n: int, row_key: Sequence[str], seed: int = 42, whole: Sequence[str] | None = None) -> DataFrame:
+    """A simple random sample of n rows: those of smallest hash of the key (of its columns `whole`, whole numbers, where given, else of all)."""
+    draw = F.xxhash64(*row_key, F.lit(seed)) if whole is None else drawn([F.col(c) for c in whole], seed)
+    return df.orderBy(draw, *row_key).limit(n)

@@ -183,8 +183,8 @@ def search(df: DataFrame, variables: Sequence[str], sizes: Sequence[int] | None
     One aggregate collapses the rows; the models are dealt out to tasks, each of which fits its share on the patterns.
     """
     references = reference_modalities(df.where("dataset = 'Train'"), variables, target)
-    found = patterns(df, variables, target).toPandas() if len(variables) < 12 else None
-    if found is None or len(found) > MOST_PATTERNS:
+    found = patterns(df, variables, target).limit(MOST_PATTERNS + 1).toPandas()  # no more than that go to the driver
+    if len(found) > MOST_PATTERNS:
         raise ValueError("too many patterns for an exhaustive search: select variables or group their modalities first")
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(found)  # at most MOST_PATTERNS rows

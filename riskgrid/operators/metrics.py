@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import once
 from .order import running
 
 
@@ -17,7 +18,7 @@ def score_counts(df: DataFrame, score: str, target: str, by: Sequence[str] = ())
 
 def curve(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., score, n, events, tp, fp, pos, neg) in falling order of score: counts at or above each score, and totals."""
-    by = list(by)
+    by, counts = list(by), once(counts)
     totals = counts.groupBy(*by).agg(F.sum("events").alias("pos"), F.sum(F.col("n") - F.col("events")).alias("neg"))
     ranked = running(counts.withColumn("others", F.col("n") - F.col("events")), by, "score", ["events", "others"], descending=True)
     ranked = ranked.select(*by, "score", "n", "events", F.col("cum_events").alias("tp"), F.col("cum_others").alias("fp"))
@@ -66,9 +67,3 @@ def pr_curve(df: DataFrame, score: str, target: str = "def", by: Sequence[str] =
     """(by..., threshold, precision, recall, step): step is the rise of recall against the next higher score."""
     c = curve(score_counts(df, score, target, by), by).select(*by, F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("pos")).alias("recall"), F.try_divide(F.col("events").cast("double"), F.col("pos")).alias("step"))
     return c
-
-
-def steps(values: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """Add change: value less the one before it in the group's order; the first one is its own. For small tables."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return values.withColumn("change", F.col(value) - F.coalesce(before, F.lit(0.0)))

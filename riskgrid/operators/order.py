@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import once
+
 #: Ranks that percentile_approx gives are off by at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
 #: Values of a key are dealt to 2 ** CELL_BITS cells of about equal weight.
@@ -22,11 +24,11 @@ def melted(df: DataFrame, variables: Sequence[str], keep: Sequence[str] = (), ki
 def quantiles(long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """(keys..., n, low, high, q): for each key the exact quantiles q of value, linear between neighbouring values.
 
-    Null values don't count. Two passes: approximate quantiles bracket each rank; then the rows below each bracket are
-    counted, and only the few values within brackets are grouped and ordered. keys should have few values (variables,
-    periods, samples), as a row of brackets for each is broadcast.
+    Null values don't count. Two passes over long: the first, run at once, takes approximate quantiles that bracket each rank; the second
+    counts the rows by their place among the brackets, and by value only within them, so that only few values are ordered. keys should
+    have few values (variables, periods, samples), as a row of brackets for each goes through the driver. probabilities ascend.
     """
-    long, keys = long.where("value is not null"), list(keys)
+    long, keys = long.where("value is not null").select(*keys, "value"), list(keys)
     p = [float(x) for x in probabilities]
     slack = 4 / ACCURACY
     around = [x for q in p for x in (max(0.0, q - slack), min(1.0, q + slack))]
@@ -36,23 +38,25 @@ def quantiles(long: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
     lows = F.array(*[F.col("low") if around[2 * j] == 0 else F.when(few, F.col("low")).otherwise(F.col("_around")[2 * j]) for j in range(len(p))])
     highs = F.array(*[F.col("high") if around[2 * j + 1] == 1 else F.when(few, F.col("high")).otherwise(F.col("_around")[2 * j + 1]) for j in range(len(p))])
     whole = whole.select(*keys, "n", "low", "high", lows.alias("_lows"), highs.alias("_highs"))
+    whole = long.sparkSession.createDataFrame(whole.collect(), whole.schema)  # a row per key
 
     def joined(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(whole), keys) if keys else rows.crossJoin(F.broadcast(whole))  # one row without keys
 
-    rows = joined(long.select(*keys, "value"))
-    below = rows.groupBy(*keys).agg(F.array(*[F.count(F.when(F.col("value") < F.col("_lows")[j], 1)) for j in range(len(p))]).alias("_below"))
-    inside = F.filter(F.sequence(F.lit(0), F.lit(len(p) - 1)), lambda j: (F.col("value") >= F.get("_lows", j)) & (F.col("value") <= F.get("_highs", j)))
-    bracketed = F.lit(False)
+    rows = joined(long)
+    bracketed, zone = F.lit(False), F.lit(0)
     for j in range(len(p)):
         bracketed = bracketed | F.col("value").between(F.col("_lows")[j], F.col("_highs")[j])
-    counts = rows.where(bracketed).select(*keys, "value", F.explode(inside).alias("_j")).groupBy(*keys, "_j", "value").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys, "_j").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_upto", F.sum("_c").over(upto))
-    counts = counts.join(below, keys) if keys else counts.crossJoin(F.broadcast(below))
-    counts = joined(counts)
+        zone = zone + F.when(F.col("value") >= F.col("_lows")[j], 1).otherwise(0)
+    placed = rows.select(*keys, zone.alias("_zone"), F.when(bracketed, F.col("value")).alias("value")).groupBy(*keys, "_zone", "value").agg(F.count(F.lit(1)).alias("_c"))
+    places = F.sequence(F.lit(0), F.lit(len(p) - 1))
+    # of each rank: the rows below its bracket count as one value below all, those within it each as its own
+    inside = F.filter(places, lambda j: (F.col("value") >= F.get("_lows", j)) & (F.col("value") <= F.get("_highs", j)))
+    kept = F.array_union(F.transform(F.filter(places, lambda j: F.col("_zone") <= j), lambda j: F.struct(j.alias("j"), F.lit(None).cast("double").alias("v"))), F.coalesce(F.transform(inside, lambda j: F.struct(j.alias("j"), F.col("value").cast("double").alias("v"))), F.array().cast("array<struct<j:int,v:double>>")))
+    counts = joined(placed).select(*keys, "n", "_c", F.explode(kept).alias("_e")).groupBy(*keys, "n", F.col("_e.j").alias("_j"), F.col("_e.v").alias("value")).agg(F.sum("_c").alias("_c"))
+    upto = Window.partitionBy(*keys, "_j").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = F.get(F.array(*[F.lit(x) for x in p]), F.col("_j")) * (F.col("n") - 1)
-    counts = counts.withColumns({"_rank": rank, "_upto": F.get("_below", F.col("_j")) + F.col("_upto")})
+    counts = counts.withColumns({"_upto": F.sum("_c").over(upto), "_rank": rank})
     at = counts.groupBy(*keys, "_j").agg(
         F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("value"))).alias("_a"),
         F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("value"))).alias("_b"),
@@ -60,8 +64,7 @@ def quantiles(long: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
     )
     at = at.withColumn("_v", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
     found = at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda s: s["_v"]).alias("q"))  # one entry a probability
-    out = joined(found) if keys else found.crossJoin(F.broadcast(whole))
-    return out.select(*keys, "n", "low", "high", "q")
+    return joined(found).select(*keys, "n", "low", "high", "q")
 
 
 def cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -82,10 +85,10 @@ def running(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
     """Add cum_<x> for each x of sums: its sum over the key's rows up to and with this one in the order of value, then ties.
 
     Rows are ordered within cells of a key, and the cells' totals (keys * 2 ** CELL_BITS rows) are summed up apart, so
-    no task orders all rows of a key.
+    no task orders all rows of a key. df is evaluated once, and written (see sources.files.once).
     """
     keys = list(keys)
-    placed = cells(df, keys, value)
+    placed = cells(once(df), keys, value)
 
     def way(*columns: str) -> list[Column]:
         return [F.desc(c) if descending else F.asc(c) for c in columns]

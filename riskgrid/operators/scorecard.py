@@ -12,13 +12,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import as_modality, interval_label, mapped, mapped_or_self, ratio, sigmoid
+from ..functions.scalar import as_modality, interval_label, mapped, ratio, sigmoid
 from ..sources.files import require
 from .binning import vingtiles
 
 Model = Mapping[str, object]
 #: Vingtiles of each risk class, from the riskiest: first vingtile, last vingtile, name.
-CLASSES = ((1, 3, "Very high risk"), (4, 6, "High risk"), (7, 8, "Elevated risk"), (9, 12, "Moderate risk"), (13, 17, "Low risk"), (18, 20, "Very low risk"))
+CLASSES = ((1, 3, "Very high risk"), (4, 6, "High risk"), (7, 8, "Medium-high risk"), (9, 12, "Medium risk"), (13, 17, "Low risk"), (18, 20, "Very low risk"))
+#: What the usual scorecard's variables and modalities are called in reports, for points_table().
+VARIABLE_LABELS = {"loan_int_rate_dis": "loan_int_rate", "loan_percent_income_dis": "loan_percent_income", "cb_person_default_on_file": "cb_person_default_on_file", "home_ownership_3": "home_ownership_3"}
+MODALITY_LABELS = {
+    "loan_int_rate_dis": {"1": "(12.21, 21.825]", "2": "(9.91, 12.21]", "3": "(5.419, 9.91]"},
+    "loan_percent_income_dis": {"1": "(0.2, 0.44]", "2": "(0.11, 0.2]", "3": "(-0.001, 0.11]"},
+    "cb_person_default_on_file": {"N": "N", "Y": "Y"},
+    "home_ownership_3": {"OWN": "OWN", "MORTGAGE": "MORTGAGE", "OTHER_RENT": "OTHER_RENT"},
+}
 LEAST_GAP, LEAST_SHARE, LEAST_DEFAULTS = 0.30, 0.01, 500
 
 
@@ -37,12 +45,11 @@ def modality_points(model: Model, scale: float = 1000.0) -> dict[str, dict[str,
     return {v: {m: scale * abs(x - max(c.values())) / whole for m, x in c.items()} for v, c in of.items()}
 
 
-def points_table(spark, model: Model, scale: float = 1000.0, variable_labels: Mapping[str, str] = {}, modality_labels: Mapping[str, str] = {}) -> DataFrame:
-    """(variable, variable_label, modality, modality_label, coefficient, points) of each modality."""
+def points_table(spark, model: Model, scale: float = 1000.0, variable_labels: Mapping[str, str] = VARIABLE_LABELS, modality_labels: Mapping[str, Mapping[str, str]] = MODALITY_LABELS) -> DataFrame:
+    """(variable, variable_label, modality, modality_label, coefficient, points) of each modality; what has no label is its own."""
     points, of = modality_points(model, scale), with_references(model)
-    rows = [(v, m, float(of[v][m]), float(p)) for v, c in points.items() for m, p in c.items()]
-    table = spark.createDataFrame(rows, "variable string, modality string, coefficient double, points double")
-    return table.select("variable", mapped_or_self(F.col("variable"), variable_labels).alias("variable_label"), "modality", mapped_or_self(F.col("modality"), modality_labels).alias("modality_label"), "coefficient", "points")
+    rows = [(v, variable_labels.get(v, v), m, modality_labels.get(v, {}).get(m, m), float(of[v][m]), float(p)) for v, c in points.items() for m, p in c.items()]
+    return spark.createDataFrame(rows, "variable string, variable_label string, modality string, modality_label string, coefficient double, points double")
 
 
 def score(df: DataFrame, model: Model, scale: float = 1000.0) -> DataFrame:

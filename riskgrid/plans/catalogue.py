@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import association, binning, folds, logit, metrics, preparation, scorecard, selection, stability, summaries, woe
+from ..sources import files
 from ..sources.loanbook import CATEGORICAL, CONTINUOUS, FOLDS, KEYS, lines, loan_book
 from .oracle import BOOK, CHI2, CURVE, KRUSKAL, SCORED, psi, stacked
 from .oracle import chi2_sf as sql_chi2_sf
@@ -272,6 +274,46 @@ def dp4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, *[c for c in out.columns if c.endswith("_missing")])
 
 
+for how, variable, bins, sql in (
+    ("quantile", "c_acctbal", 5, ", e AS (SELECT quantile_cont(c_acctbal, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM loans), b AS (SELECT *, " + case_edges("c_acctbal", 5) + " AS bin FROM loans, e)"),
+    ("distinct", "l_tax", 20, ", e AS (SELECT list_sort(list_distinct(quantile_cont(l_tax, [" + ", ".join(str(k / 20) for k in range(21)) + "]))) AS q FROM loans), b AS (SELECT *, greatest(len(list_filter(q, lambda x: x < l_tax)), 1) AS bin FROM loans, e)"),
+    ("width", "c_acctbal", 6, ", e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM loans), b AS (SELECT *, CASE " + " ".join(f"WHEN c_acctbal <= lo + (hi - lo) / 6 * {k} THEN {k}" for k in range(1, 6)) + " ELSE 6 END AS bin FROM loans, e)"),
+):
+    query(f"vz_rates_by_{how}_bin", BOOK + sql + " SELECT CAST(year AS BIGINT) AS year, CAST(bin AS BIGINT) AS bin, count(*) AS n, round(100 * avg(def), 6) AS default_rate FROM b GROUP BY 1, 2")(
+        lambda spark, sf_dir, how=how, variable=variable, bins=bins: binning.binned_rates(lines(spark, sf_dir), variable, bins, how, by=["year"])
+    )
+
+
+@query("pr1_period_chain", """
+WITH raw AS (SELECT c_custkey AS k, CAST(1 + c_custkey % 15 AS BIGINT) AS history, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS status, c_mktsegment FROM customer),
+p AS (SELECT *, CASE WHEN 2024 - history < 2013 THEN 2013 ELSE 2024 - history END AS year FROM raw)
+SELECT k, year, CAST(status AS BIGINT) AS def, CASE WHEN year <= 2021 THEN 'train' ELSE 'oot' END AS part FROM p WHERE year <= 2022""")
+def pr1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = customers.select(F.col("c_custkey").alias("k"), (1 + F.col("c_custkey") % 15).cast("int").alias("cb_person_cred_hist_length"), (F.col("c_acctbal") < 0).alias("loan_status"))
+    train, oot = files.cut_by_year(files.derive_period(raw), 2021, 2022)
+    return train.withColumn("part", F.lit("train")).unionByName(oot.withColumn("part", F.lit("oot"))).select("k", "year", "def", "part")
+
+
+@query("io8_folds_written_and_read", BOOK + "SELECT CAST(f AS BIGINT) AS fold, count(*) FILTER (WHERE fold <> f) AS n_train, CAST(sum(def) FILTER (WHERE fold <> f) AS BIGINT) AS d_train, count(*) FILTER (WHERE fold = f) AS n_valid, CAST(sum(def) FILTER (WHERE fold = f) AS BIGINT) AS d_valid FROM book, range(4) AS t(f) GROUP BY f")
+def io8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.scratch(spark, "folds")
+    files.save_folds(loan_book(spark, sf_dir).select("def", "fold"), folder)
+    out = []
+    for i, (train, valid) in files.load_folds(spark, folder).items():
+        sides = [side.agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum("def").alias(f"d_{name}")) for side, name in ((train, "train"), (valid, "valid"))]
+        out.append(sides[0].crossJoin(sides[1]).withColumn("fold", F.lit(i)))  # one row each
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("io1_csv_written_and_read", "SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+def io1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.scratch(spark, "csv")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    files.write_csv(customers, folder)
+    return files.read_csv(spark, folder, customers.schema)
+
+
 # --- association and stability ----------------------------------------------------------------------------------
 
 NUMERIC = ["l_quantity", "l_discount", "c_acctbal"]
@@ -321,9 +363,16 @@ def sa7_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.correlation_matrix(lines(spark, sf_dir), NUMERIC, "spearman")
 
 
-@query("sa8_contingency_test", BOOK + ", obs AS (SELECT 'x' AS key, c_mktsegment AS value, CAST(def AS VARCHAR) AS level FROM loans)" + CHI2 + f"SELECT CAST(n AS BIGINT) AS n, r AS rows, k AS columns, round(chi2, 6) AS chi2, dof, {sql_log10p('chi2', 'dof')} AS log10_p, round(v, 6) AS v FROM vs")
+@query("sa8_contingency_test", BOOK + ", obs AS (SELECT 'x' AS key, c_mktsegment AS value, CAST(def AS VARCHAR) AS level FROM loans)" + CHI2 + f"SELECT CAST(n AS BIGINT) AS n, r AS rows, k AS columns, round(chi2, 6) AS chi2, dof, {sql_log10p('chi2', 'dof')} AS log10_p, round(v, 6) AS v, CASE WHEN v < 0.1 THEN 'very weak' WHEN v < 0.2 THEN 'weak' WHEN v < 0.3 THEN 'moderate' ELSE 'strong' END AS reading FROM vs")
 def sa8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association.contingency_test(lines(spark, sf_dir), "c_mktsegment", "def").select("n", "rows", "columns", "chi2", "dof", log10p().alias("log10_p"), "v")
+    return association.contingency_test(lines(spark, sf_dir), "c_mktsegment", "def").select("n", "rows", "columns", "chi2", "dof", log10p().alias("log10_p"), "v", "reading")
+
+
+@query("sa8_contingency_analysis_table", BOOK + """
+, x AS (SELECT c_mktsegment AS a, l_linestatus AS b, count(*) AS n FROM loans GROUP BY 1, 2)
+SELECT a, b, n, round(round_even(n / sum(n) OVER (PARTITION BY a), 3) * 100, 6) AS value FROM x""")
+def sa8_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.contingency_analysis(lines(spark, sf_dir), "c_mktsegment", "l_linestatus")[1]
 
 
 @query("sa10_baseline_f1", BOOK + "SELECT round(2 * avg(def) / (avg(def) + 1), 6) AS f1 FROM loans")
@@ -331,7 +380,7 @@ def sa10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.baseline_f1(lines(spark, sf_dir))
 
 
-YEARS = [(str(y), str(y + 1)) for y in range(1995, 2001)]
+YEARS = stability.pairs_of(range(1995, 2002))
 SAMPLES = [("Train", "Test"), ("Train", "OOT"), ("Test", "OOT")]
 
 
@@ -398,9 +447,18 @@ for first in (0, 1):
     )
 
 
-@query("sm4_sample", None)
+def sql_drawn(columns: list[str], seed: int) -> str:
+    out = f"CAST({seed} AS BIGINT)"
+    for c in columns:
+        out = f"(({out} * 48271 + {c} % 2147483647) % 2147483647)"
+    for _ in range(3):
+        out = f"(({out} * 69621 + 12345) % 2147483647)"
+    return out
+
+
+@query("sm4_sample", BOOK + f"SELECT k1, k2, k3, k4, round(k5, 6) AS k5, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY {sql_drawn(KEYS[:4], 42)}, k1, k2, k3, k4, k5) AS r FROM loans) WHERE r <= 500")
 def sm4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.sampled(lines(spark, sf_dir), 500, KEYS)
+    return folds.sampled(lines(spark, sf_dir), 500, KEYS, whole=KEYS[:4]).select(*KEYS, "l_quantity")
 
 
 IDS = list(range(FOLDS))
@@ -560,14 +618,14 @@ c AS (SELECT score_class, min(st) AS a, max(st) AS b, count(*) AS n, sum(def) AS
 g AS (SELECT *, (lag(r) OVER (ORDER BY score_class) - r) / lag(r) OVER (ORDER BY score_class) AS gap FROM c)
 SELECT CAST(g.score_class AS BIGINT) AS score_class, round(a, 6) AS min_score, round(b, 6) AS max_score, printf('[%.2f ; %.2f]', a, b) AS score_interval, n, CAST(d AS BIGINT) AS n_def, round(r, 6) AS default_rate,
   round(lo, 6) AS least_rate, round(hi, 6) AS most_rate, round(hi - lo, 6) AS rate_range, round(share, 6) AS share, round(gap, 6) AS gap, coalesce(gap >= 0.3, true) AS gap_ok, share >= 0.01 AS share_ok, d >= 500 AS defaults_ok, share >= 0.01 OR d >= 500 AS size_ok
-FROM g JOIN vr ON g.score_class = vr.score_class""")
+FROM g JOIN vr ON g.score_class = vr.score_class""".replace("AS score_class, round(a, 6)", "AS score_class, CASE g.score_class WHEN 1 THEN 'Very high risk' WHEN 2 THEN 'High risk' WHEN 3 THEN 'Medium-high risk' WHEN 4 THEN 'Medium risk' WHEN 5 THEN 'Low risk' ELSE 'Very low risk' END AS risk_label, round(a, 6)"))
 def sc7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.class_table(classed(spark, sf_dir)).drop("risk_label")
+    return scorecard.class_table(classed(spark, sf_dir))
 
 
 @query("sc10_class_summary", MODAL + VINGTILE.format(score="st", rows="scored") + CLASS + """
 , c AS (SELECT score_class, min(st) AS a, max(st) AS b, avg(def) AS r, count(*) / (SELECT count(*) FROM scored) AS share FROM classed GROUP BY 1)
-SELECT CAST(score_class AS BIGINT) AS score_class, CASE score_class WHEN 1 THEN 'Very high risk' WHEN 2 THEN 'High risk' WHEN 3 THEN 'Elevated risk' WHEN 4 THEN 'Moderate risk' WHEN 5 THEN 'Low risk' ELSE 'Very low risk' END AS risk_label,
+SELECT CAST(score_class AS BIGINT) AS score_class, CASE score_class WHEN 1 THEN 'Very high risk' WHEN 2 THEN 'High risk' WHEN 3 THEN 'Medium-high risk' WHEN 4 THEN 'Medium risk' WHEN 5 THEN 'Low risk' ELSE 'Very low risk' END AS risk_label,
   printf('[%.2f ; %.2f]', a, b) AS score_interval, round(share, 6) AS share, round(r, 6) AS default_rate, round((lag(r) OVER (ORDER BY score_class) - r) / lag(r) OVER (ORDER BY score_class), 6) AS gap FROM c""")
 def sc10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.class_summary(scorecard.class_table(classed(spark, sf_dir)))

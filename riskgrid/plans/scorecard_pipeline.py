@@ -43,7 +43,7 @@ def scorecard_of(
     loans: the variables, target, period, dataset (Train, Test, OOT) and fold. Rows stay in Spark throughout; what comes to
     the driver are edges, medians, names and the patterns of the chosen variables.
     """
-    ready = preparation.winsorize(preparation.impute(loans, constants, medians), continuous)
+    ready = preparation.impute(preparation.winsorize(loans, continuous), constants, medians)  # outliers first: the medians are those of clipped values
     train = ready.where("dataset = 'Train'")
     kept = selection.keep_associated(train, continuous, target, folds).where("kept").orderBy("place")
     binned = discretized(ready, [r["variable"] for r in kept.collect()], target)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,21 @@ def cut_by_year(df: DataFrame, last_train: int, oot: int, year: str = "year") ->
     return df.where(F.col(year) <= last_train), df.where(F.col(year) == oot)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors share: below spark.checkpoint.dir where that is set, else (one machine) below a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='riskgrid-')}/{name}-{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, evaluated now and written to a folder of scratch(), for plans that read it in several places."""
+    folder = scratch(df.sparkSession, "once")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def save_folds(df: DataFrame, path: str, fold: str = "fold") -> None:
     """Write df once, a folder for each fold; training rows of fold i are those of all other folders."""
     df.write.mode("overwrite").partitionBy(fold).parquet(path)
