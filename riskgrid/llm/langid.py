@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import checkpointed, unit_hash
 
-#: A word holds one bit for each of at most 62 languages.
-MOST_LANGS = 62
+#: A mask word holds one bit for each of so many languages; further languages have words of their own.
+WORD_LANGS = 62
 PROBES = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter or a mark of one."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+
+
 def grams(text: str | None, n: int = 4) -> np.ndarray:
     """64-bit hashes of the n-grams of a whole text: lower case, each run of non-letters one blank, a blank at both ends."""
     points = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = (points - 97 < 26) | ((points >= 0xAA) & (points != 0xD7) & (points != 0xF7) & ((points < 0x2000) | (points >= 0x2C00)))
+    letter = letters()[points]
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]  # the first of a run of others stands for the run
@@ -49,7 +57,7 @@ def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """One Bloom filter for each language, bit-sliced: word s holds bit s of all of them."""
+    """One Bloom filter for each language, bit-sliced: words[j, s] holds bit s of the filters of languages WORD_LANGS * j and on."""
 
     langs: list[str]
     words: np.ndarray
@@ -57,7 +65,7 @@ class Filters:
     n: int
 
     def __post_init__(self) -> None:
-        fill = np.array([((self.words >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(self.langs))])
+        fill = np.array([((self.words[k // WORD_LANGS] >> np.uint64(k % WORD_LANGS)) & np.uint64(1)).mean() for k in range(len(self.langs))])
         self.false = fill**PROBES
 
     def counts(self, text: str | None) -> tuple[np.ndarray, int]:
@@ -66,11 +74,11 @@ class Filters:
         found = np.zeros(len(self.langs))
         for i in range(0, len(h), 1 << 16):
             first, *rest = slots(h[i : i + (1 << 16)], self.bits)
-            mask = self.words[first]
+            masks = self.words[:, first]
             for s in rest:
-                mask &= self.words[s]
+                masks &= self.words[:, s]
             for k in range(len(self.langs)):
-                found[k] += np.count_nonzero(mask & np.uint64(1 << k))
+                found[k] += np.count_nonzero(masks[k // WORD_LANGS] & np.uint64(1 << k % WORD_LANGS))
         # found = true + (total - true) * false
         return np.clip((found - len(h) * self.false) / np.maximum(1 - self.false, 1e-9), 0, len(h)), len(h)
 
@@ -89,11 +97,11 @@ def train(docs: DataFrame, eligible: Column, per_lang: int = 400, n: int = 4, bi
 
     A language's filter gets the n-grams that occur at least `least` times in its sample, at a rate of at least
     `spread` times the highest rate in any language. Null languages are not learnt. The n-gram counts are summed in
-    Spark, and so are the filter words, of which at most 2 ** bits go to the driver.
+    Spark, and so are the filter words, of which at most 2 ** bits for each 62 languages go to the driver.
     """
     u = unit_hash(F.col("doc_id"), 43)
     known = docs.where(eligible & F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row per language
     langs = sorted(row["lang"] for row in sizes)
     share = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], min(1.0, 1.2 * per_lang / row["count"]))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     index = {lang: k for k, lang in enumerate(langs)}
@@ -105,17 +113,18 @@ def train(docs: DataFrame, eligible: Column, per_lang: int = 400, n: int = 4, bi
                 h, c = np.unique(np.concatenate([grams(t, n) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True)
                 yield pd.DataFrame({"lang": index[lang], "h": h.view(np.int64), "c": c})
 
-    c = sample.mapInPandas(count, "lang int, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
+    c = checkpointed(sample.mapInPandas(count, "lang int, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c")))
     totals = {row["lang"]: row["t"] for row in c.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
     rate = F.create_map(*[F.lit(x) for k, t in totals.items() for x in (k, 1.0 / t)]) if totals else F.create_map(F.lit(0), F.lit(0.0))
     per_gram = c.withColumn("r", F.col("c") * rate[F.col("lang")]).groupBy("h").agg(F.collect_list(F.struct("lang", "c", "r")).alias("of"), F.max("r").alias("top"))  # one entry a language
-    bit = F.aggregate("of", F.lit(0).cast("long"), lambda m, x: F.when((x["c"] >= least) & (x["r"] >= spread * F.col("top")), m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"]))).otherwise(m))
+    strong = F.filter("of", lambda x: (x["c"] >= least) & (x["r"] >= spread * F.col("top")))
     spots = [F.shiftrightunsigned("h", 64 - bits * (k + 1)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(PROBES)]
-    filled = per_gram.select("h", bit.alias("m")).where("m <> 0").select(F.explode(F.array(*spots)).alias("s"), "m").groupBy("s").agg(F.bit_or("m").alias("m"))
-    words = np.zeros(1 << bits, np.uint64)
-    rows = filled.collect()
+    kept = per_gram.select("h", F.explode(strong).alias("x")).select("h", (F.col("x.lang") / WORD_LANGS).cast("int").alias("j"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("x.lang") % WORD_LANGS).cast("int")).alias("m"))
+    filled = kept.select("j", "m", F.explode(F.array(*spots)).alias("s")).groupBy("j", "s").agg(F.bit_or("m").alias("m"))
+    words = np.zeros((max(1, -(-len(langs) // WORD_LANGS)), 1 << bits), np.uint64)
+    rows = filled.collect()  # at most 2 ** bits for each word of languages
     if rows:
-        words[np.array([row["s"] for row in rows])] = np.array([row["m"] for row in rows], np.uint64)
+        words[np.array([row["j"] for row in rows]), np.array([row["s"] for row in rows])] = np.array([row["m"] for row in rows], np.uint64)
     return Filters(langs, words, bits, n)
 
 

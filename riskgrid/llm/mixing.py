@@ -64,6 +64,11 @@ def pareto_rank(facts_joined: DataFrame) -> DataFrame:
     return facts_joined.withColumn("_rank", F.coalesce(odds / (1 + odds), F.lit(1.0)))
 
 
+def root_size(text: Column) -> Column:
+    """The square root of a text's words, as a measure of inclusion: longer documents are likelier, but less than their length."""
+    return F.sqrt(word_count(text).cast("double"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, inclusion: str | None = None, seed: int = 7) -> DataFrame:
     """How many copies of each document a mix of the given source weights takes.
 
@@ -73,14 +78,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     and a rest takes c copies of every document for certain. The rest is a sample without replacement: a document of
     inclusion probability p and random number u ranks at (u / (1 - u)) / (p / (1 - p)), and the documents that rank
     first are taken until their words are as near to the rest as a cut in that order allows. p is in proportion to the
-    column inclusion where that is given (null, not above 0 or not finite: ranked last), else equal within the source.
+    column inclusion where that is given (null, not above 0 or not finite: ranked last), else to root_size() of the text.
     u comes from the digest of doc_id and text, so reruns agree; rows equal in both rank alike and are taken or left
     together. Null and empty texts have size 0 and add no words. An empty table gives no rows.
 
     Word sums per source and cell of the order find the cell where a source's cut lies; only the documents of that
     cell are ranked one by one, so no task holds a whole source.
     """
-    one = F.lit(1.0) if inclusion is None else F.coalesce(F.when((F.col(inclusion) > 0) & (F.col(inclusion) < float("inf")), F.col(inclusion).cast("double")), F.lit(0.0))
+    one = root_size(F.col("text")) if inclusion is None else F.coalesce(F.when((F.col(inclusion) > 0) & (F.col(inclusion) < float("inf")), F.col(inclusion).cast("double")), F.lit(0.0))
     base = docs.withColumns({"_x": one}).drop(*[c for c in MINE if c != "_x"])
     base = base.withColumns({"size": word_count(F.col("text")), "_u": uniform(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), seed=seed)})
     slim = checkpointed(base.select("source", "size", "_u", "_x"))

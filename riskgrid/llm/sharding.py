@@ -27,10 +27,40 @@ def fits(upto: np.ndarray, capacity: int, shards: int) -> list[int] | None:
     return ends
 
 
+def levelled(upto: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """The ends of as many shards as there are atoms for, up to shards, none above capacity, whose smallest sum is largest.
+
+    A binary search over that sum; for each, the ends that a number of shards can have are found one shard after the other.
+    """
+    n = len(upto) - 1
+    shards = min(shards, n)
+    first, before = np.searchsorted(upto, upto - capacity, side="left"), np.arange(n + 1) - 1
+
+    def reached(least: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+        last = np.minimum(np.searchsorted(upto, upto - least, side="right") - 1, before)
+        steps = [np.arange(n + 1) == 0]
+        for _ in range(shards):
+            count = np.concatenate(([0], np.cumsum(steps[-1])))
+            steps.append((last >= first) & (count[last + 1] > count[np.minimum(first, n)]))
+        return (steps, last) if steps[-1][n] else None
+
+    low, high = 0, int(upto[n]) // shards
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if reached(mid) else (low, mid - 1)
+    steps, last = reached(low)
+    ends = [n]
+    for left in range(shards - 1, 0, -1):
+        at = ends[-1]
+        could = first[at] + np.flatnonzero(steps[left][first[at] : last[at] + 1])
+        ends.append(int(could[np.abs(upto[could] - upto[at] * left / (left + 1)).argmin()]))  # nearest to an even share
+    return ends[::-1]
+
+
 def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
     """The ends of at most the given contiguous shards of the ordered sizes whose largest sum is least.
 
-    A binary search finds the smallest capacity that the greedy cut keeps to.
+    A binary search finds the smallest capacity that the greedy cut keeps to; under it, the shards are cut as even as they can be.
     """
     upto = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
     if not len(sizes):
@@ -42,7 +72,7 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
             low = mid + 1
         else:
             high = mid
-    return fits(upto, low, shards) or []
+    return levelled(upto, low, shards)
 
 
 def number_of(atom: Column, firsts: list[int], low: int = 0, high: int | None = None) -> Column:
@@ -62,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     in place of columns of those names. The order is that of the MD5 digest of the text; an atom is what falls into one
     of atoms equal ranges of it, so equal texts are never parted (null counts as the empty text here). The atoms' sizes,
     at most atoms numbers, go to the driver, which finds the smallest capacity that contiguous shards of whole atoms
-    need. A group of equal texts above the mean shard size is a shard of its own size, as no law that keeps it whole can
+    need, and cuts them under it as even as it can. A group of equal texts above the mean shard size is a shard of its own size, as no law that keeps it whole can
     split it. Rows of equal texts and ids, and those with a null id, are numbered one by one. An empty table gives no rows.
 
     Slots need no sort of a whole shard: rows are numbered within cells of a shard by a hash of doc_id, and the cells'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -170,6 +172,18 @@ def test_languages_are_told_apart_on_held_out_texts(spark):
     assert langid.identify(docs, none).first().lang_pred == "und" and langid.identify(docs.limit(0), none).count() == 0
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(14)
+    alphabets = {f"l{k:02d}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzéßñø", 7)) for k in range(70)}
+    rows = [(i, prose(rng, 60, alphabets[lang]), lang, "s", 1) for i, lang in enumerate(list(alphabets) * 12)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"h": F.lit(1), "c": F.lit("x")})
+    filters = langid.train(docs, ~held_out())
+    assert len(filters.langs) == 70 and filters.words.shape[0] == 2
+    rest = [r for r in langid.identify(docs, filters).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in rest]) > 0.95
+    assert len(langid.grams("«» ٣٤ 🙂 …")) == 0 and len(langid.grams("«abcdef»")) == len(langid.grams("abcdef"))
+
+
 def words(text):
     return len((text or "").replace("\x0b", " ").split())
 
@@ -224,6 +238,30 @@ def test_mix_by_inclusion_and_of_nothing(spark):
     assert [(r.size, r.taken) for r in mixing.mix(empty).collect()] == [(0, 0), (0, 0)]
 
 
+def test_the_sample_is_the_pareto_order_cut_at_the_rest(spark):
+    """Against a plain ordering of each source: whole copies, then documents by random odds over inclusion odds."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.randint(1, 60)), "en", rng.choice("aab"), 1) for i in range(400)]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    for source in "ab":
+        mine = [r for r in got.values() if r.source == source]
+        total, target = mine[0].source_size, mine[0].target
+        whole = int(target / total + 1e-12)
+        rest, scale = target - whole * total, sum(r.size**0.5 for r in mine)
+
+        def rank(r):
+            digest = hashlib.md5(f"{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}:7".encode()).hexdigest()
+            u = (int(digest[:12], 16) + 0.5) / (1 << 48)
+            p = min(rest / total * r.size**0.5 * len(mine) / scale, 1 - 1e-12)
+            return u / (1 - u) / (p / (1 - p))
+
+        order, upto, best = sorted(mine, key=rank), 0, (rest, 0)
+        for k, r in enumerate(order, 1):
+            upto += r.size
+            best = min(best, (abs(upto - rest), k))
+        assert [r.copies for r in order] == [whole + (k < best[1]) for k in range(len(order))]
+
+
 def test_minimax_cuts_match_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
@@ -238,7 +276,20 @@ def test_minimax_cuts_match_brute_force():
 
         ends = sharding.minimax_cuts(sizes, shards)
         parts = np.split(sizes, ends[:-1])
-        assert len(parts) <= shards and ends[-1] == len(sizes) and max(p.sum() for p in parts) == best(0, shards)
+        assert len(parts) == min(shards, len(sizes)) and ends[-1] == len(sizes) and max(p.sum() for p in parts) == best(0, shards)
+        assert all(len(p) for p in parts)
+        cuts = [np.split(sizes, c) for c in itertools.combinations(range(1, len(sizes)), len(parts) - 1)]
+        assert min(p.sum() for p in parts) == max(min(p.sum() for p in c) for c in cuts if max(p.sum() for p in c) == best(0, shards))
+
+
+def test_no_shard_is_left_half_empty():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        sizes = rng.integers(1, 400, 4000)
+        sizes[rng.integers(4000)] = 40_000  # one large atom, which sets the capacity
+        parts = [p.sum() for p in np.split(sizes, sharding.minimax_cuts(sizes, 24)[:-1])]
+        rest = sorted(parts)[:-1]
+        assert len(parts) == 24 and rest[0] > 0.6 * np.mean(rest)  # what lies before the large atom may not divide evenly
 
 
 def test_shards_are_even_whole_and_numbered(spark):
@@ -254,7 +305,7 @@ def test_shards_are_even_whole_and_numbered(spark):
         assert sorted(part["slot"]) == list(range(len(part)))
     assert got.assign(t=got["text"].fillna("")).groupby("t")["shard"].nunique().max() == 1
     by = got.groupby("shard")["size"].sum()
-    assert list(by.index) == list(range(24)) and by.max() < 1.25 * by.mean()
+    assert list(by.index) == list(range(24)) and by.max() < 1.25 * by.mean() and by.min() > 0.75 * by.mean()
     assert sharding.shard(docs.limit(0)).count() == 0 and sharding.shard(docs.limit(1)).first()["slot"] == 0
 
 
