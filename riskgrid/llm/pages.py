@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
 SILENT = "script|style|title|noscript|template|textarea|select|svg|iframe|object|canvas|audio|video"
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*"
+#: A quoted value ends at its quote, within so many characters and tags' length of sight; an unclosed quote is a character like any other.
+QUOTED = 4096
+ATTRIBUTES = rf"(?:[^>\"'<]|\"[^\"<]{{0,{QUOTED}}}\"|'[^'<]{{0,{QUOTED}}}'|\"(?=[^\"]{{0,{QUOTED}}}\")[^\"]*\"|'(?=[^']{{0,{QUOTED}}}')[^']*'|[\"'])*+"
 #: Comments, self-closed svg (the only silent element that can be), silent elements whole, tags (as far as a page that breaks off has them) and declarations.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:{ATTRIBUTES})(?<=/)>|<({SILENT})(?=[\s/>])(?:{ATTRIBUTES})>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>|<[/!?a-z][^<>]*(?:>|\Z)",
@@ -38,35 +40,57 @@ WIDTH = PATH + WORDS + NUMBERS
 #: Leaves that one pass of the network holds; a longer page is read in parts of so many, with the state carried on.
 LEAVES = 20_000
 
-Element = tuple[str, tuple[str, ...], str]
 
+@dataclass(eq=False)
+class Element:
+    """An open element: what it is in, its tag and names, the label it carries or is in, how many links it is in, and its path's vector once asked for."""
 
-def leaves(page: str) -> list[tuple[tuple[Element, ...], str, float]]:
-    """(path, text, share of it in links) of each block of text in page order; blanks of a text are single."""
-    out: list[tuple[tuple[Element, ...], str, float]] = []
+    parent: Element | None
+    tag: str
+    names: tuple[str, ...]
+    label: str = ""
+    links: int = 0
+    vector: np.ndarray | None = None
+
+
+PAGE = Element(None, "", ())
+Leaf = tuple[Element, str, float]
+
+
+def leaves(page: str) -> list[Leaf]:
+    """(innermost element, text, share of it in links) of each block of text in page order; blanks of a text are single."""
+    out: list[Leaf] = []
     stack: list[Element] = []
-    path: tuple[Element, ...] = ()
+    opened: dict[str, int] = {}
+    at_path = PAGE
     held: list[str] = []
+    blank = True
     linked, at = 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, blank
         raw = "".join(held)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            out.append((path, text, min(1.0, linked / max(len(raw), 1))))
+            out.append((at_path, text, min(1.0, linked / max(len(raw), 1))))
         held.clear()
-        linked = 0
+        linked, blank = 0, True
 
     def data(text: str) -> None:
-        nonlocal path, linked
+        nonlocal at_path, linked, blank
         if text:
-            if not held or not any(map(str.strip, held)):
-                path = tuple(stack)
+            inner = stack[-1] if stack else PAGE
+            if blank:
+                at_path, blank = inner, not text.strip()
             held.append(text)
-            if any(e[0] == "a" for e in stack):
+            if inner.links:
                 linked += len(text)
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     for m in TOKEN.finditer(page):
         data(page[at : m.start()])
         at = m.end()
@@ -79,21 +103,19 @@ def leaves(page: str) -> list[tuple[tuple[Element, ...], str, float]]:
         if name in BLOCK:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == name))
             continue
         if name in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in BLOCK:
-                    if stack[k][0] == "p" or stack[k][0] in CLOSES.get(name, ()):
-                        del stack[k:]
-                    break
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in BLOCK), None)
+            if k is not None and (stack[k].tag == "p" or stack[k].tag in CLOSES.get(name, ())):
+                close(k)
         if name not in VOID:
             names = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])) if m[4] else ""
             label = LABEL.search(m[4]) if m[4] else None
-            stack.append((name, tuple(w.lower() for w in PART.findall(names)), label[1] if label else ""))
+            inner = stack[-1] if stack else PAGE
+            stack.append(Element(inner, name, tuple(w.lower() for w in PART.findall(names)), label[1] if label else inner.label, inner.links + (name == "a")))
+            opened[name] = opened.get(name, 0) + 1
     data(page[at:])
     flush()
     return out
@@ -103,39 +125,46 @@ def spot(text: str, of: int, salt: int = 0) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"), salt) % of
 
 
+@lru_cache(100_000)
+def spots(token: str) -> tuple[int, int]:
+    return spot(token, PATH), spot(token, PATH, 1)
+
+
+def path_vector(element: Element) -> np.ndarray:
+    """Marks for the tags and names of an element and all it is in; each element's is made once, from that of its parent."""
+    missing = []
+    while element.vector is None and element.parent is not None:
+        missing.append(element)
+        element = element.parent
+    x = element.vector if element.vector is not None else np.zeros(PATH, np.float32)
+    for e in reversed(missing):
+        x = x.copy()
+        for token in (f"<{e.tag}>", *e.names):
+            x[list(spots(token))] = 1
+        e.vector = x
+    return x
+
+
 class Vectors:
     """Vectors of leaves: hashed tag path, hashed words, and a few numbers."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[Element, ...], np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: tuple[Element, ...]) -> np.ndarray:
-        key = tuple(e[:2] for e in path)
-        if (x := self.paths.get(key)) is None:
-            x = np.zeros(PATH, np.float32)
-            for tag, names, *_ in path:
-                for token in (f"<{tag}>", *names):
-                    x[spot(token, PATH)] = x[spot(token, PATH, 1)] = 1
-            if len(self.paths) > 100_000:
-                self.paths.clear()
-            self.paths[key] = x
-        return x
-
-    def of(self, blocks: list[tuple[tuple[Element, ...], str, float]]) -> np.ndarray:
+    def of(self, blocks: list[Leaf]) -> np.ndarray:
         x = np.zeros((len(blocks), WIDTH), np.float32)
         if len(self.words) > 500_000:
             self.words.clear()
         for i, (path, text, linked) in enumerate(blocks):
-            x[i, :PATH] = self.path(path)
+            x[i, :PATH] = path_vector(path)
             words = text.split(" ")
-            spots = []
+            places = []
             for w in words:
                 k = self.words.get(w)
                 if k is None:
                     k = self.words[w] = spot(w.lower().strip(".,;:!?()"), WORDS)
-                spots.append(k)
-            x[i, PATH : PATH + WORDS] = np.minimum(np.bincount(spots, minlength=WORDS) / np.sqrt(len(words)), 2)
+                places.append(k)
+            x[i, PATH : PATH + WORDS] = np.minimum(np.bincount(places, minlength=WORDS) / np.sqrt(len(words)), 2)
             ends = text.count(".") + text.count("!") + text.count("?")
             x[i, PATH + WORDS :] = (
                 np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, linked, min(ends / len(words), 1),
@@ -289,6 +318,8 @@ class Layouts:
     def other(self, k: int) -> str:
         tags, phrases, form = self.OTHER[k]
         opening = self.pick(tags)
+        if form in ("comments", "links", "mixed") and self.rng.random() < 0.12:
+            opening = self.unnamed()
         tag = re.match(r"<(\w+)", opening)[1]
         links = "".join(f'<li><a href="/{self.word()}">{self.words(1, 3, phrases)}</a></li>' for _ in range(int(self.rng.integers(2, 9))))
         links = links if tag in ("ul", "ol") else f"<ul>{links}</ul>"
@@ -304,8 +335,12 @@ class Layouts:
         }[form]
         return opening.format(' data-label="0"') + body + f"</{tag}>"
 
+    def unnamed(self) -> str:
+        """An opening tag that tells nothing of what is in it."""
+        return self.pick(("<div{}>", '<div class="' + self.word() + '"{}>', '<section id="' + self.word() + str(self.rng.integers(10)) + '"{}>', '<div class="' + self.word() + " " + self.word() + '"{}>'))
+
     def main(self) -> str:
-        opening = self.pick(self.MAIN)
+        opening = self.unnamed() if self.rng.random() < 0.2 else self.pick(self.MAIN)
         out = [f"<{h}>{self.words(2, 10)}</{h}>" if (h := self.pick(("h1", "h1", "h2"))) and self.rng.random() < 0.9 else ""]
         for _ in range(int(self.rng.integers(0, 12))):
             kind = self.rng.random()
@@ -327,7 +362,11 @@ class Layouts:
             elif kind < 0.96:
                 out.append(f"<pre>{text}</pre><div>{self.prose()}</div>")
             else:
-                out.append(self.other(int(self.pick((5, 5, 8, 3, 6)))))
+                out.append(self.other(int(self.pick((5, 5, 8, 3, 6, 0, 4, 7)))))
+        if self.rng.random() < 0.25:  # parts of the page's frame may stand inside the article, at its end as a rule
+            out += [self.other(k) for k in (7, 8, 4, 2) if self.rng.random() < 0.5]
+        if self.rng.random() < 0.1:
+            out.insert(0, self.other(int(self.pick((1, 0, 8, 4)))))
         return opening.format(' data-label="1"') + "".join(out) + f"</{re.match(r'<(\w+)', opening)[1]}>"
 
     def page(self) -> str:
@@ -340,14 +379,14 @@ class Layouts:
 
 
 @lru_cache(2)
-def train(pages: int = 1200, hidden: int = 20, epochs: int = 6, batch: int = 24, rate: float = 0.012, seed: int = 3) -> Labeller:
+def train(pages: int = 1800, hidden: int = 20, epochs: int = 6, batch: int = 24, rate: float = 0.012, seed: int = 3) -> Labeller:
     """Fit the network on made-up pages (`pages` of them: the bound of the sample), by Adam; the same in every run."""
     rng, layouts, vectors = np.random.default_rng(seed), Layouts(seed), Vectors()
     known = []
     for _ in range(pages):
         blocks = leaves(layouts.page())
         if blocks:
-            y = np.array([next((e[2] for e in reversed(path) if e[2]), "0") == "1" for path, *_ in blocks], np.float32)
+            y = np.array([e.label == "1" for e, *_ in blocks], np.float32)
             known.append((vectors.of(blocks), y))
     known.sort(key=lambda p: len(p[1]))
     batches = [known[i : i + batch] for i in range(0, len(known), batch)]
