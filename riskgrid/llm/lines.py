@@ -155,15 +155,17 @@ def searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     cool, wide = postings.join(hot, "token", "left_anti"), written(postings.join(hot, "token", "left_semi"))
     slot = F.pmod(F.xxhash64("did", "line"), F.lit(HEADS))
     heads = written(wide.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "n", "bits", "more_bits", "i")).alias("h")).select("token", "h.*"))
-    near = verified(pairs(cool, cool.hint("shuffle_hash"), threshold).union(pairs(wide, small(heads), threshold)), docs, threshold)
+    cool_pairs = written(pairs(cool, cool.hint("shuffle_hash"), threshold))
+    near = verified(cool_pairs.union(pairs(wide, small(heads), threshold)), docs, threshold)
     doubtful = wide.join(small(near), ["did", "line"], "left_anti")
-    others = wide.join(small(heads).select("token", "did", "line"), ["token", "did", "line"], "left_anti")
+    cool_pairs = cool_pairs.join(small(near.select(F.col("did").alias("x_did"), F.col("line").alias("x_line"))), ["x_did", "x_line"], "left_anti")
     # by size as well, so that a hot token is many keys; a similar set's size is in the same band or one beside it
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + SLACK).cast("int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     doubtful = doubtful.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).repartition(parts, "token", "band")
-    others = others.withColumn("band", band).repartition(parts, "token", "band")
-    return lines, near.union(verified(pairs(doubtful, others, threshold, "band"), docs, threshold))
+    others = wide.withColumn("band", band).repartition(parts, "token", "band")
+    # a pair may share both cool and hot tokens, so what it shares is counted over all
+    return lines, near.union(verified(cool_pairs.unionByName(pairs(doubtful, others, threshold, "band")), docs, threshold))
 
 
 def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -206,6 +206,19 @@ def test_many_near_lines_of_one_hot_token(spark):
     assert got == want
 
 
+def test_lines_that_share_one_hot_and_one_other_token_of_their_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 8)
+    monkeypatch.setattr(lines, "HEADS", 1)
+    common = [f"c{k}" for k in range(38)]
+    rows = [(i, " ".join(["hot", *common[3 * i : 3 * i + 4]]), "d", 1) for i in range(12)]
+    rows += [(20 + i, "\n".join(" ".join(common[k : k + 7]) for k in range(0, 38, 7)), "d", 1) for i in range(40)]
+    rows += [(70, " ".join(["cool", "hot", *common]), "d", 1), (71, " ".join([f"u{k}" for k in range(10)] + ["cool", "hot", *common]), "d", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, did string, line int")
+    got = {r.doc_id: [int(k) for k in r.removed.split(",") if k] for r in lines.repeated_lines(docs).collect()}
+    assert got == removed_lines(rows)
+    assert got[70] == [] and got[71] == [0]
+
+
 def test_shared_folder_without_the_setting(spark, monkeypatch):
     """A session of one machine gets a temporary folder and keeps it; a cluster must be told of one."""
     assert spark.conf.get("spark.checkpoint.dir", None) is None or shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
