@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BROADCAST_ROWS = 1_000_000
 FEW_TOKENS = 64
 #: A set of n tokens must share one token with another in their prefixes, and one more for each EACH of its tokens, with prefixes that much longer.
 EACH = 40
+#: Prefix tokens are joined in so many turns, by their last bits, so that the shuffles of one turn only are on disk at a time.
+TURNS = 2
 SLACK = 1e-9
 
 
@@ -81,24 +84,42 @@ def parity(codes: Column, at: int) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
 
-def pairs(x: DataFrame, y: DataFrame, threshold: float, *keys: str) -> DataFrame:
+def pairs(x: DataFrame, y: DataFrame, threshold: float, *keys: str, sized: bool = False) -> DataFrame:
     """(x_did, x_line, y_did, y_line, least) for each posting that sets of two lines share, y the earlier, which may have the similarity if they share `least`.
 
     Filters: lengths; positions (what is left of both sets after the token, and what may be shared before it, may suffice); and the bits
-    of parity(), which bound how much the sets differ.
+    of parity(), which bound how much the sets differ. Pairs are taken with the later line of x; or, if sized, with the larger
+    set of x (of equal ones the later) and the smaller of y, whose prefixes may then be short.
     """
     c = F.col
-    on = (c("x.token") == c("y.token")) & ((c("y.did") < c("x.did")) | ((c("y.did") == c("x.did")) & (c("y.line") < c("x.line"))))
+    before = (c("y.did") < c("x.did")) | ((c("y.did") == c("x.did")) & (c("y.line") < c("x.line")))
+    same = (c("y.did") == c("x.did")) & (c("y.line") == c("x.line"))
+    on = (c("x.token") == c("y.token")) & (((c("x.n") > c("y.n")) & ~same | (c("x.n") == c("y.n")) & before) if sized else before)
     for key in keys:
         on = on & (c(f"x.{key}") == c(f"y.{key}"))
-    total, smaller = c("x.n") + c("y.n"), F.least("x.n", "y.n")
-    lengths = smaller >= threshold * F.greatest("x.n", "y.n") - SLACK
+    total, smaller = c("x.n") + c("y.n"), c("y.n") if sized else F.least("x.n", "y.n")
+    lengths = smaller >= threshold * (c("x.n") if sized else F.greatest("x.n", "y.n")) - SLACK
     left = F.least(c("x.n") - c("x.i"), c("y.n") - c("y.i")) + shares(smaller) - 1 >= threshold / (1 + threshold) * total - SLACK
     apart = (1 - threshold) / (1 + threshold) * total + SLACK
     close = F.bit_count(c("x.bits").bitwiseXOR(c("y.bits"))) <= apart
     closer = (smaller <= FEW_TOKENS) | (F.bit_count(c("x.more_bits").bitwiseXOR(c("y.more_bits"))) <= apart)
     joined = x.alias("x").join(y.alias("y"), on & lengths & left & close & closer)
-    return joined.select(*[c(f"{side}.{part}").alias(f"{side}_{part}") for side in "xy" for part in ("did", "line")], shares(smaller).alias("least"))
+    ends = {f"{side}_{part}": (c(f"{side}.{part}"), c(f"{other}.{part}")) for side, other in ("xy", "yx") for part in ("did", "line")}
+    return joined.select(*[(F.when(before, a).otherwise(b) if sized else a).alias(name) for name, (a, b) in ends.items()], shares(smaller).alias("least"))
+
+
+def pairs_of_all(postings: DataFrame, threshold: float) -> DataFrame:
+    """The pairs within postings, written; a larger set's whole prefix against a smaller one's short prefix, some of the tokens at a time.
+
+    As the larger set has at least as many tokens, a pair shares 2 t / (1 + t) of the smaller one, whose prefix is the shorter for it.
+    """
+    n = F.col("n")
+    short = n - F.ceil(2 * threshold / (1 + threshold) * n - SLACK) + shares(n)
+    found = []
+    for turn in range(TURNS):
+        some = postings.where(F.col("token").bitwiseAND(TURNS - 1) == turn)
+        found.append(written(pairs(some, some.where(F.col("i") < short).hint("shuffle_hash"), threshold, sized=True)))
+    return reduce(DataFrame.union, found)
 
 
 def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -150,12 +171,12 @@ def searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     postings = able.select("did", "line", "n", "bits", "more_bits", F.posexplode("prefix").alias("i", "token"))
     hot = hot_tokens(able.select(F.explode("prefix").alias("token")))
     if hot is None:
-        return lines, verified(pairs(postings, postings.hint("shuffle_hash"), threshold), docs, threshold)
+        return lines, verified(pairs_of_all(postings, threshold), docs, threshold)
     hot = small(hot)
     cool, wide = postings.join(hot, "token", "left_anti"), written(postings.join(hot, "token", "left_semi"))
     slot = F.pmod(F.xxhash64("did", "line"), F.lit(HEADS))
     heads = written(wide.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "n", "bits", "more_bits", "i")).alias("h")).select("token", "h.*"))
-    cool_pairs = written(pairs(cool, cool.hint("shuffle_hash"), threshold))
+    cool_pairs = pairs_of_all(cool, threshold)
     near = verified(cool_pairs.union(pairs(wide, small(heads), threshold)), docs, threshold)
     doubtful = wide.join(small(near), ["did", "line"], "left_anti")
     cool_pairs = cool_pairs.join(small(near.select(F.col("did").alias("x_did"), F.col("line").alias("x_line"))), ["x_did", "x_line"], "left_anti")
@@ -181,8 +202,9 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     row reports the lines of all of them. An empty table gives no rows.
 
     Tokens are ordered by rarity in the corpus (counted in buckets of their hash; any one order gives the same result), and
-    the first lines of two token sets that share a token in their prefixes, n - ceil(threshold n) + 1 long, are candidates if lengths, positions
-    and parity bits allow. The sets of a token that up to HOT share are all compared there. Where more share it, every set is first compared
+    the first lines of two token sets that share a token in their prefixes are candidates if lengths, positions
+    and parity bits allow. The prefix of the larger set of n tokens is n - ceil(t n) + 1 long, that of the smaller n - ceil(2 t n / (1 + t)) + 1,
+    for the threshold t, both by one longer for each further token that is asked for. The sets of a token that up to HOT share are all compared there. Where more share it, every set is first compared
     with up to HEADS of them, which removes most of a large group of near copies without comparing all its pairs; sets
     still in doubt are then joined with all others, so the result is exact. Candidates are verified on the tokens themselves.
     Before that, token sets are told apart by 128 bits of a hash, and tokens by 57 besides their level.
