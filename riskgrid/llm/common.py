@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rows of one side that a single comparison task holds at most, on average.
 TILE_ROWS = 1024
+#: Keys of more rows than this are joined by broadcast, up to so many of them (some 40 MB).
+HOT_ROWS = 10_000
+HOT_KEYS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -115,6 +118,18 @@ def tiled(rows: DataFrame, keys: list[str], member: str, tile_rows: int = TILE_R
     )
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, hot: int = HOT_ROWS, broadcast_up_to: int = HOT_KEYS) -> DataFrame:
+    """rows joined with the one row of table for their key, where table.copies says how many rows of rows have it.
+
+    The rows of keys with more than hot copies stay where they are and meet a broadcast table; there are at most rows /
+    hot such keys, and the others' groups are small. Should even those be more than broadcast_up_to, hot is doubled until they are not.
+    """
+    while table.where(F.col("copies") > hot).count() > broadcast_up_to:
+        hot *= 2
+    few = F.broadcast(table.where(F.col("copies") > hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.where(F.col("copies") <= hot), key))
+
+
 def roots(links: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix, the smallest index that each row reaches."""
     n = len(links)

@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, roots, tiled, whole_groups
+from .common import checkpointed, components, join_counted, roots, tiled, whole_groups
 
 #: A-Z to a-z; no other byte changes, those of other letters included.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -23,17 +23,25 @@ BLOCK = 1 << 14
 BROADCAST_IDS = 1_000_000
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The signed 64-bit fingerprint of a whole text; 0 for null and for texts without words."""
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split() cuts at \x20 and \x09-\x0D
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-cased words of a whole text; none for null."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split() cuts at \x20 and \x09-\x0D
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> list[int]:
+    """XXH64 of each shingle of that many words, repeats included; fewer words are one shingle."""
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist())]
+    return [digest(joined[s:e], 42) for s, e in zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def majority(hashes: list[int]) -> int:
+    """The signed 64-bit fingerprint of some hashes: a bit is 1 if over half of them have it; 0 for none."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), BLOCK):
         block = np.array(hashes[i : i + BLOCK], dtype=">u8")
@@ -41,6 +49,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The signed 64-bit fingerprint of a whole text; 0 for null and for texts without words."""
+    return majority(shingle_hashes(words_of(text), words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of each row of docs."""
 
@@ -129,8 +142,8 @@ def plan(n: int, both: np.ndarray, radius: int = 3, choices: tuple[int, ...] = (
     return best[1]
 
 
-def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part_no, key, fp, own): the key of each fingerprint in each probed part, and all keys within the threshold.
+def probes(fps: DataFrame, parts: list[tuple[list[int], int]], *others: str) -> DataFrame:
+    """(part_no, key, own, fp, others): the key of each fingerprint in each probed part, and all keys within the threshold.
 
     own marks the fingerprint's own key; two fingerprints are compared where at least one has its own.
     """
@@ -141,7 +154,7 @@ def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
         return F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.struct(F.lit(k).alias("part_no"), own.bitwiseXOR(x).alias("key"), (x == 0).alias("own")))
 
     keys = F.concat(*[of(k, bits, t) for k, (bits, t) in enumerate(parts) if t >= 0])
-    return fps.select("fp", F.explode(keys).alias("k")).select("k.part_no", "k.key", "fp", "k.own")
+    return fps.select("fp", *others, F.explode(keys).alias("k")).select("k.part_no", "k.key", "k.own", "fp", *others)
 
 
 def signed(x: int) -> int:
@@ -192,44 +205,49 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, choices: t
     whole fingerprints within tiles of bounded size, and joins links by distributed star contraction.
     """
     fps = checkpointed(fingerprints(docs, words))
-    return fps.join(classes(fps, radius, choices), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_counted(fps, classes(fps, radius, choices), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def classes(fps: DataFrame, radius: int, choices: tuple[int, ...]) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of fps (doc_id, fp)."""
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    """(fp, component_id, copies) of each distinct fingerprint of fps (doc_id, fp); copies counts its rows."""
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     n, both = bit_moments(distinct)
     if n < 2:
-        return distinct.select("fp", F.col("least_id").alias("component_id"))
+        return distinct.select("fp", F.col("least_id").alias("component_id"), "copies")
     names = ["part_no", "key", "tile_lo", "tile_hi"]
     tiles = tiled(probes(distinct, plan(n, both, radius, choices)), ["part_no", "key"], "fp").repartition(*names).sortWithinPartitions(*names)
     edges = tiles.select(*names, "fp", "own").mapInPandas(lambda frames: tile_links(frames, radius), "a long, b long")
     linked = components(edges)
-    of = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("class"))
+    of = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least_id", "copies", F.coalesce("component", "fp").alias("class"))
     of = checkpointed(of)
-    return of.join(of.groupBy("class").agg(F.min("least_id").alias("component_id")), "class").select("fp", "component_id")
+    return checkpointed(of.join(of.groupBy("class").agg(F.min("least_id").alias("component_id")), "class").select("fp", "component_id", "copies"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, words: int = 3, choices: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """The rows of docs that stand for their class of near_duplicates; see representatives."""
+    return representatives(docs, near_duplicates(docs, radius, words, choices))
+
+
+def representatives(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that stand for their class: those whose doc_id is its component_id.
 
-    Of rows that share that doc_id one stays, the first by text digest. A row without a doc_id can't be told from
-    others by it and stays.
+    members: (doc_id, component_id) of every row of docs. Of rows that share such a doc_id one stays, the first by text
+    digest. A row without a doc_id can't be told from others by it and stays.
 
     Texts are not shuffled while the ids to remove are at most BROADCAST_IDS (they are broadcast then; beyond that, an
-    anti join hashed on doc_id removes them); only the rows of repeated doc_ids, if any, are grouped.
+    anti join hashed on doc_id removes them); only the rows of repeated doc_ids, if any, are grouped, by a minimum.
     """
-    fps = checkpointed(fingerprints(docs, words))
-    removed = checkpointed(fps.join(classes(fps, radius, choices), "fp").where("doc_id <> component_id").select("doc_id"))
-    again = checkpointed(fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").join(removed, "doc_id", "left_anti"))
+    members = checkpointed(members.where("doc_id is not null").select("doc_id", "component_id"))
+    removed = members.where("doc_id <> component_id").select("doc_id").distinct()
+    again = checkpointed(members.groupBy("doc_id").count().where("count > 1").select("doc_id").join(removed, "doc_id", "left_anti"))
     out = without(docs, removed.union(again))
     if again.isEmpty():
         return out
-    first = Window.partitionBy("doc_id").orderBy(F.md5("text"))
-    repeated = docs.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return out.unionByName(repeated.select(*docs.columns))
+    first = F.min_by(F.struct(*docs.columns), F.coalesce(F.md5("text"), F.lit("")))
+    repeated = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return out.unionByName(repeated)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.distinct()
+    ids = checkpointed(ids.distinct())
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)

@@ -12,8 +12,8 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from riskgrid.llm import embeddings, lines, simhash
-from riskgrid.llm.common import components, shared_folder, written
+from riskgrid.llm import copies, embeddings, lines, simhash
+from riskgrid.llm.common import components, join_counted, shared_folder, written
 
 DOCS = "doc_id long, text string, lang string, fp long, size string"
 
@@ -77,6 +77,52 @@ def test_simhash_of_no_rows(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def shingles(text):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return frozenset(tuple(parts[i : i + 5]) for i in range(max(len(parts) - 4, 1))) if parts else frozenset()
+
+
+@pytest.mark.parametrize("dense", (4, 0))  # 0: every tile is linked in two turns
+def test_near_copies_against_all_pairs(spark, dense, monkeypatch):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+    texts = []
+    for _ in range(40):
+        words = rng.choices(vocab, k=rng.randint(60, 300))
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            changed = list(words)
+            for k in rng.sample(range(len(words)), max(1, len(words) // rng.choice((25, 60, 100)))):
+                changed[k] = rng.choice(vocab)
+            texts.append(" ".join(changed))
+    texts += [texts[0].upper(), texts[5], "", None, " \n", "one two three", "One two  three", "one two", "x " * 20_000]
+    docs = spark.createDataFrame([(i + 3, t, "en", 1, "n") for i, t in enumerate(texts)], DOCS)
+    monkeypatch.setattr(copies, "DENSE", dense)
+    got = {r.doc_id: r.component_id for r in copies.classes(docs, radius=12, choices=(5,)).collect()}
+    sets = {i + 3: shingles(t) for i, t in enumerate(texts)}
+    alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+    assert got == classes(list(sets), alike)
+    assert len(set(got.values())) < len(texts) - 20
+
+
+def test_near_copies_of_repeated_rows_null_ids_and_no_rows(spark):
+    rows = [(7, "same text here for all", "en", 1, "a"), (7, "same text here for all", "en", 1, "b"), (3, "same text here for all", "en", 1, "c"), (None, "same text here for all", "en", 1, "d"), (9, None, "en", 1, "e"), (9, None, None, 1, "e")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id or -1, r.component_id) for r in copies.classes(docs).collect()) == [(-1, 3), (3, 3), (7, 3), (7, 3), (9, 9), (9, 9)]
+    kept = copies.one_of_each(docs.withColumn("digest", F.lit(1)).withColumn("u", F.lit(1)).withColumn("copies", F.lit(1)))
+    assert kept.columns == [*docs.columns, "digest", "u", "copies"] and sorted(r.size for r in kept.collect()) == ["c", "d", "e"]
+    empty = spark.createDataFrame([], DOCS)
+    assert copies.classes(empty).count() == 0 and copies.one_of_each(empty).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 9), (3, 10), (3, 11)], "k long, x long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.max("x").alias("m"))
+    want = [(1, i, 8) for i in range(9)] + [(2, 9, 9), (3, 10, 11), (3, 11, 11)]
+    for hot, most in ((1, 9), (1, 1), (100, 9), (1, 0)):
+        assert sorted((r.k, r.x, r.m) for r in join_counted(rows, table, "k", hot, most).collect()) == want
+
+
 def test_plan_thresholds_cover_the_radius():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (500, 64)).astype(float)
