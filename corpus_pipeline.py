@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgrid.llm import decontamination, mixing, quality, sharding, simhash
+from riskgrid.llm import copies, decontamination, mixing, quality, sharding
 from riskgrid.llm.common import held_out, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of SimHash near-duplicates the document of smallest doc_id; of repeated rows of it one."""
-    return simhash.one_of_each(docs)
+    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the document of smallest doc_id; of repeated rows of it one."""
+    return copies.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
