@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import components, join_counted, tiled, whole_groups, written
 from .simhash import bit_moments, majority, plan, probes, representatives, shingle_hashes, words_of
 
-#: Bits of a shingle set's parity sketch; each shingle flips one.
-SKETCH = 1024
 #: Tiles with more candidate pairs than this for each row are linked by a few of them first.
 DENSE = 4
 #: Up to so many groups of equal keys are counted in a broadcast table.
@@ -33,8 +31,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, digest, fp, n, sketch) of each row: of its shingle set the 128-bit digest, the size and the parity
-    sketch; fp is the fingerprint of its set of words."""
+    """(doc_id, digest, fp, fine, n) of each row: of its shingle set the 128-bit digest, the fingerprint fine and the
+    size n; fp is the fingerprint of its set of words."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -42,25 +40,27 @@ def described(docs: DataFrame, words: int) -> DataFrame:
             for text in frame["text"]:
                 parts = words_of(text)
                 shingles = np.unique(np.array(shingle_hashes(parts, words), np.uint64))
-                odd = np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
                 fp = majority([xxhash.xxh64_intdigest(w, 42) for w in set(parts)])
-                out.append((xxhash.xxh3_128_digest(shingles.tobytes()), fp, len(shingles), np.packbits(odd.astype(np.uint8)).tobytes()))
-            rows = pd.DataFrame(out, columns=["digest", "fp", "n", "sketch"])
+                out.append((xxhash.xxh3_128_digest(shingles.tobytes()), fp, majority(shingles.tolist()), len(shingles)))
+            rows = pd.DataFrame(out, columns=["digest", "fp", "fine", "n"])
             rows.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
             yield rows
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(of, "doc_id long, digest binary, fp long, n int, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(of, "doc_id long, digest binary, fp long, fine long, n int")
 
 
-def tile_candidates(frames: Iterator[pd.DataFrame], radius: int, ratio: float, whole: bool) -> Iterator[pd.DataFrame]:
-    """Pairs of each tile within radius bits, in different components so far, and near enough in size.
+def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, whole: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of each tile within radius bits and fine_radius bits of fine, in different components so far, and near enough in size.
 
+    A pair comes from the first part that holds it only, and there from the own key of its smaller unit only.
     Unless whole is set, a tile with more than DENSE pairs for each row gives the first and the last partner of each row only, and
     its pairs are marked dense.
     """
+    masks = [(np.uint64(sum(1 << (63 - b) for b in bits)), t) for bits, t in parts]
     for block in whole_groups(frames, TILE):
         fp, own = block["fp"].to_numpy().view(np.uint64), block["own"].to_numpy()
-        u, n, comp = block["u"].to_numpy(), block["n"].to_numpy().astype(np.float64), block["comp"].to_numpy()
+        u, n, fine = block["u"].to_numpy(), block["n"].to_numpy().astype(np.float64), block["fine"].to_numpy().view(np.uint64)
+        comp, part = (block["comp"].to_numpy() if whole else u), block["part_no"].to_numpy()
         change = np.zeros(len(block), bool)
         change[0] = True
         for name in TILE:
@@ -74,7 +74,10 @@ def tile_candidates(frames: Iterator[pd.DataFrame], radius: int, ratio: float, w
                 continue
             i, j = np.nonzero(np.bitwise_count(fp[mine][:, None] ^ fp[None, s:e]) <= radius)
             i, j = mine[i], s + j
-            good = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
+            good = (u[i] < u[j]) & (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
+            good &= np.bitwise_count(fine[i] ^ fine[j]) <= fine_radius
+            for mask, t in masks[: part[s]]:
+                good &= np.bitwise_count((fp[i] ^ fp[j]) & mask).astype(np.int64) > t
             i, j = i[good], j[good]
             dense = not whole and len(i) > DENSE * (e - s)
             if dense:  # i ascends, so that these are the first and the last partner of each j
@@ -85,37 +88,23 @@ def tile_candidates(frames: Iterator[pd.DataFrame], radius: int, ratio: float, w
             marks.append(np.full(len(i), dense))
         if left and sum(map(len, left)):
             i, j = np.concatenate(left), np.concatenate(right)
-            yield pd.DataFrame({"part_no": block["part_no"].to_numpy()[i], "key": block["key"].to_numpy()[i], "a": np.minimum(u[i], u[j]), "b": np.maximum(u[i], u[j]), "dense": np.concatenate(marks)})
+            yield pd.DataFrame({"part_no": part[i], "key": block["key"].to_numpy()[i], "a": np.minimum(u[i], u[j]), "b": np.maximum(u[i], u[j]), "dense": np.concatenate(marks)})
 
 
-def candidates(keys: DataFrame, radius: int, ratio: float, whole: bool) -> DataFrame:
-    """(part_no, key, a, b, dense) from probed units (part_no, key, own, fp, u, n, comp)."""
-    tiles = tiled(keys, ["part_no", "key"], "u", broadcast_up_to=BROADCAST_GROUPS).select(*TILE, "own", "fp", "u", "n", "comp")
+def candidates(units: DataFrame, parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, among: DataFrame | None = None) -> DataFrame:
+    """(part_no, key, a, b, dense) from units (u, fp, fine, n); with among (part_no, key), from these groups only and whole, and units have comp."""
+    others = ["fine", "u", "n", *(["comp"] if among is not None else [])]
+    keys = probes(units, parts, *others)
+    if among is not None:
+        keys = keys.join(among, ["part_no", "key"], "left_semi")
+    tiles = tiled(keys, ["part_no", "key"], "u", broadcast_up_to=BROADCAST_GROUPS).select(*TILE, "own", "fp", *others)
     tiles = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
-    return written(tiles.mapInPandas(lambda frames: tile_candidates(frames, radius, ratio, whole), "part_no int, key long, a long, b long, dense boolean"))
-
-
-def both_ends(pairs: DataFrame, of: DataFrame, *values: str) -> DataFrame:
-    """Pairs (a, b) with the values of both units, as a_value and b_value."""
-    for end in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("u").alias(end), *[F.col(v).alias(f"{end}_{v}") for v in values]), end)
-    return pairs
+    whole = among is not None
+    return written(tiles.mapInPandas(lambda frames: tile_candidates(frames, parts, radius, fine_radius, ratio, whole), "part_no int, key long, a long, b long, dense boolean"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of units whose shingle sets have at least the Jaccard similarity.
-
-    Sets of sizes m and n that do have it differ in at most (m + n)(1 - s) / (1 + s) shingles, and the parity
-    sketches of two sets in no more bits than the sets in shingles. Pairs that pass this bound are compared whole.
-    """
-    apart = (1 - similarity) / (1 + similarity)
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                x, y = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), -1) for c in ("a_sketch", "b_sketch"))
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield frame.loc[differ <= (frame["a_n"] + frame["b_n"]).to_numpy() * apart + 1e-9, ["a", "b"]]
+    """The pairs (a, b) of units whose shingle sets have at least the Jaccard similarity."""
 
     def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -131,21 +120,23 @@ def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int, si
             found = [shingle_set(t, words).tobytes() for t in frame["text"]]
             yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(x) for x in found], "shingles": found})
 
-    left = written(both_ends(pairs, units, "n", "sketch").mapInPandas(near, "a long, b long"))
-    needed = written(units.join(left.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi").select("u", "digest", "least_id"))
+    needed = written(units.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi").select("u", "digest", "least_id"))
     holders = needed.select(F.col("least_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     known = texts.select("text").mapInPandas(sets, "digest binary, shingles binary").join(needed, "digest").dropDuplicates(["u"])
-    return written(both_ends(left, written(known.select("u", "shingles")), "shingles").mapInPandas(alike, "a long, b long"))
+    known = written(known.select("u", "shingles"))
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("u").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
+    return written(pairs.mapInPandas(alike, "a long, b long"))
 
 
-def classes(docs: DataFrame, radius: int = 8, words: int = 5, similarity: float = 0.8, choices: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int = 5, similarity: float = 0.8, choices: tuple[int, ...] = (4,)) -> DataFrame:
     """Class every document with those that verified links reach: (doc_id, component_id), one row per input row.
 
     docs: doc_id, text and any others, which are ignored. Texts of equal shingle sets are one unit (texts of fewer
     words than a shingle are one shingle, texts without words, null ones included, one unit). Units link where their
-    word fingerprints are within radius bits and the Jaccard similarity of their shingle sets is at least similarity;
+    word fingerprints are within radius bits, their shingle fingerprints within fine_radius bits and the Jaccard similarity of their shingle sets is at least similarity;
     none below it link. component_id is the smallest doc_id of the class; a null doc_id stays null and is a
     component_id only of a class that has no other. An empty table gives no rows.
 
@@ -153,29 +144,28 @@ def classes(docs: DataFrame, radius: int = 8, words: int = 5, similarity: float
     these links leave apart meet all others of their tile. So the result is the same as from all pairs.
     """
     rows = written(described(docs, words))
-    ones = rows.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "n", "sketch")])
+    ones = rows.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "fine", "n")])
     units = written(ones.withColumn("u", F.monotonically_increasing_id()))
     least = math.ceil(similarity / (1 - similarity) - 1e-9)  # smaller sets are similar to equal ones only
-    search = units.where(F.col("n") >= least).select("u", "fp", "n")
+    search = units.where(F.col("n") >= least).select("u", "fp", "fine", "n")
     total, both = bit_moments(search)
     reached = units.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
     if total > 1:
         parts = plan(total, both, radius, choices)
-        some = candidates(probes(search.withColumn("comp", F.col("u")), parts, "u", "n", "comp"), radius, similarity, False)
+        some = candidates(search, parts, radius, fine_radius, similarity)
         links = verified(some.select("a", "b").distinct(), docs, units, words, similarity)
         reached = components(links)
         dense = some.where("dense").select("part_no", "key").distinct()
         if not dense.isEmpty():
             reached = written(reached)
             apart = search.join(reached.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("component", "u"))
-            keys = probes(apart, parts, "u", "n", "comp").join(dense, ["part_no", "key"], "left_semi")
-            rest = candidates(keys, radius, similarity, True).select("a", "b").distinct()
+            rest = candidates(apart.drop("component"), parts, radius, fine_radius, similarity, dense).select("a", "b").distinct()
             reached = components(links.union(verified(rest, docs, units, words, similarity)))
     of = written(units.join(reached.withColumnRenamed("node", "u"), "u", "left").select("digest", "copies", "least_id", F.coalesce("component", "u").alias("class")))
     named = of.join(of.groupBy("class").agg(F.min("least_id").alias("component_id")), "class").select("digest", "copies", "component_id")
     return join_counted(rows.select("doc_id", "digest"), written(named), "digest").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 8, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with their columns, that stand for their class of near copies; see simhash.representatives."""
-    return representatives(docs, classes(docs, radius, words, similarity))
+    return representatives(docs, classes(docs, radius, fine_radius, words, similarity))

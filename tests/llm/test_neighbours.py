@@ -98,7 +98,7 @@ def test_near_copies_against_all_pairs(spark, dense, monkeypatch):
     texts += [texts[0].upper(), texts[5], "", None, " \n", "one two three", "One two  three", "one two", "x " * 20_000]
     docs = spark.createDataFrame([(i + 3, t, "en", 1, "n") for i, t in enumerate(texts)], DOCS)
     monkeypatch.setattr(copies, "DENSE", dense)
-    got = {r.doc_id: r.component_id for r in copies.classes(docs, radius=12, choices=(5,)).collect()}
+    got = {r.doc_id: r.component_id for r in copies.classes(docs, radius=12, fine_radius=26, choices=(5,)).collect()}
     sets = {i + 3: shingles(t) for i, t in enumerate(texts)}
     alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
     assert got == classes(list(sets), alike)
