@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, langid, lines, mixing, pages, quality, secrets, sharding, simhash, spelling
+from . import conversations, decontamination, embeddings, langid, lines, mixing, pages, quality, rules, secrets, sharding, simhash, spelling
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,5 +65,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_simhash_near_dedup, op7_html_extraction, op8_mixing_to_target_weights, op9_language_id, op10_sharding, op11_spelling_variants)}
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op11_spelling_variants": spelling.ORACLE}
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scans, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_simhash_near_dedup, op7_html_extraction, op8_mixing_to_target_weights, op9_language_id, op10_sharding, op11_spelling_variants, op12_quality_rules, op13_conversation_trie)}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op13_conversation_trie": conversations.ORACLE}
