@@ -30,8 +30,13 @@ def metrics(df: DataFrame, score: str, target: str = "def", by: Sequence[str] =
 
     auc counts ties half; pr_auc is the average precision; recall and f1 call scores of at least threshold positive.
     """
+    return measured(score_counts(df, score, target, by), by, threshold)
+
+
+def measured(counts: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """metrics() from counts by score (by..., score, n, events)."""
     by = list(by)
-    c = curve(score_counts(df, score, target, by), by)
+    c = curve(counts, by)
     others, pos, neg = F.col("n") - F.col("events"), F.col("pos").cast("double"), F.col("neg").cast("double")
     won = F.sum(others * (F.col("tp") - F.col("events") + F.col("events") / 2))  # pairs whose positive ranks higher
     hit = F.sum(F.when(F.col("score") >= threshold, F.col("events")).otherwise(0)).cast("double")

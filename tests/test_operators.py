@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.operators import association, binning, folds, logit, metrics, order, preparation, scorecard, stability, summaries, woe
+from riskgrid.operators import association, binning, folds, logit, metrics, models, order, preparation, scorecard, stability, summaries, woe
 from riskgrid.plans.catalogue import MODEL
 
 
@@ -224,3 +224,68 @@ def test_separation_is_an_error_not_a_crash(spark):
     assert row["error"] and row["gini_penalised"] is None
     with pytest.raises(ValueError, match="no model"):
         logit.best(logit.search(df, ["a"]))
+
+
+def searchable(n, variables, seed):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({v: rng.choice(list("abc"[: 2 + k % 2]), n) for k, v in enumerate(variables)})
+    p = 1 / (1 + np.exp(1 - 0.9 * (pdf[variables[0]] == "b") - 0.5 * (pdf[variables[1]] == "c")))
+    pdf["def"], pdf["dataset"], pdf["fold"] = (rng.random(n) < p).astype(int), rng.choice(["Train", "Test", "OOT"], n, p=[0.6, 0.2, 0.2]), rng.integers(0, 4, n)
+    return pdf
+
+
+def same(a, b):
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return a == b or (isinstance(a, float) and isinstance(b, float) and a == pytest.approx(b, rel=1e-8, abs=1e-8))
+
+
+def test_models_of_many_patterns_are_fitted_by_sums(spark, monkeypatch):
+    variables = ["v1", "v2", "v3"]
+    pdf = searchable(3000, variables, 6)
+    pdf.loc[pdf["v3"] == "b", "v3"] = None
+    df = spark.createDataFrame(pdf)
+    want = {r["formula"]: r.asDict(True) for r in logit.search(df, variables).collect()}
+    monkeypatch.setattr(logit, "MOST_PATTERNS", 20)
+    got = {r["formula"]: r.asDict(True) for r in logit.search(df, variables).collect()}
+    assert got.keys() == want.keys() and len(got) == 7
+    for formula in want:
+        for column in want[formula]:
+            assert same(want[formula][column], got[formula][column]), (formula, column)
+
+
+def test_errors_of_models_fitted_by_sums(spark, monkeypatch):
+    monkeypatch.setattr(logit, "MOST_PATTERNS", 0)
+    rows = [("1", 0), ("1", 1), ("2", 1), ("2", 1)] * 20
+    df = spark.createDataFrame(rows, "a string, def int").withColumns({"dataset": F.lit("Train"), "fold": (F.monotonically_increasing_id() % 4).cast("int")})
+    assert "singular" in logit.search(df, ["a"]).first()["error"]
+    assert logit.search(df.where("def = 1"), ["a"]).first()["error"] == "one class only"
+
+
+def test_a_search_over_many_variables_sends_no_large_table(spark):
+    variables = [f"v{k}" for k in range(12)]
+    found = logit.search(spark.createDataFrame(searchable(1500, variables, 7)), variables, [1, 2, 3])
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    got = logit.ordered(found).collect()
+    assert len(got) == 12 + 66 + 220 and {r["k"] for r in got if r["place"] == 1} == {1, 2, 3}
+    for k in (1, 2, 3):
+        keys = [[r[c] if r[c] is not None else -1 for c in logit.ORDER] for r in sorted(got, key=lambda r: r["place"]) if r["k"] == k]
+        assert keys == sorted(keys, reverse=True)
+
+
+def test_models_saved_and_scored_together(spark, tmp_path):
+    variables = ["v1", "v2", "v3"]
+    df = spark.createDataFrame(searchable(800, variables, 8)).withColumn("row", F.monotonically_increasing_id())
+    refs = logit.reference_modalities(df.where("dataset = 'Train'"), variables)
+    models.save_models(models.found_models(logit.search(df, variables), refs), str(tmp_path / "m"))
+    known = models.load_models(spark, str(tmp_path / "m"))
+    assert known.count() == 7
+    odd = df.withColumn("v1", F.when(F.col("row") % 50 == 0, "unknown").otherwise(F.col("v1")))
+    for name in ("v1+v3", "v2"):
+        model = models.model_named(known, name)
+        want = {r["row"]: (r["score_total"], r["missing_any"], r["p"]) for r in scorecard.probability(scorecard.score(odd, model), model, "p").collect()}
+        got = {r["row"]: (r["score_total"], r["missing_any"], r["probability"]) for r in models.score_all(odd, known).where(F.col("model") == name).collect()}
+        assert got.keys() == want.keys() and all(same(a, b) for k in want for a, b in zip(want[k], got[k]))
+    with pytest.raises(ValueError, match="no model"):
+        models.model_named(known, "v9")
+    assert models.score_all(odd, known.limit(0)).count() == 0
