@@ -121,14 +121,15 @@ def contingency_analysis(df: DataFrame, a: str, b: str, normalize: str = "index"
 
 
 def ranked(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """df with each variable replaced by its average rank within keys."""
-    counts = melted(df, variables, keys).where("value is not null").groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = once(average_ranks(counts, [*keys, "variable"]).select(*keys, "variable", "value", "rank"))  # of all variables in one pass
-    out = df
-    for v in variables:
-        mine = ranks.where(F.col("variable") == v).select(*keys, F.col("value").alias(f"_v_{v}"), F.col("rank").alias(f"_r_{v}"))
-        out = out.withColumn(f"_v_{v}", F.col(v).cast("double")).join(mine, [*keys, f"_v_{v}"], "left").withColumn(v, F.col(f"_r_{v}")).drop(f"_v_{v}", f"_r_{v}")
-    return out
+    """(keys..., variables...): each variable replaced by its average rank within keys. Rows without any value are left out.
+
+    All variables are ranked, and joined with their ranks, as one table of (row, variable, value).
+    """
+    rows = once(df.select(*keys, *variables).withColumn("_row", F.monotonically_increasing_id()))  # a row keeps its number
+    long = melted(rows, variables, [*keys, "_row"]).where("value is not null")
+    ranks = average_ranks(long.groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n")), [*keys, "variable"]).select(*keys, "variable", "value", "rank")
+    back = long.join(ranks, [*keys, "variable", "value"]).groupBy(*keys, "_row")
+    return back.agg(*[F.max(F.when(F.col("variable") == v, F.col("rank"))).alias(v) for v in variables]).drop("_row")
 
 
 def correlation_matrix(df: DataFrame, variables: Sequence[str], method: str = "pearson", by: Sequence[str] = (), percent: bool = False) -> DataFrame:

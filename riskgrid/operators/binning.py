@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from ..functions.scalar import interval_label
+from ..sources.files import once
 from .order import cells, melted, positions, quantiles, running
 
 
@@ -94,6 +95,36 @@ def displayed_edges(edges: Sequence[float], precision: int = 3) -> list[float]:
     return [out[0] - 10.0**-p, *out[1:]]
 
 
+def interval(text: Column) -> Column:
+    """The struct (lo, hi) of an interval's text (a, b]; null if it is none. inf and -inf are numbers."""
+    found = [F.regexp_extract(text, r"^\s*\(\s*([^,\s]+)\s*,\s*([^,\s\]]+)\s*\]\s*$", k) for k in (1, 2)]
+    lo, hi = (F.when(F.lower(x).isin("inf", "+inf", "infinity"), F.lit(float("inf"))).when(F.lower(x).isin("-inf", "-infinity"), F.lit(float("-inf"))).otherwise(x.try_cast("double")) for x in found)
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def interval_text(ends: Column) -> Column:
+    """The text (a, b] of a struct (lo, hi)."""
+    return F.concat(F.lit("("), ends["lo"].cast("string"), F.lit(", "), ends["hi"].cast("string"), F.lit("]"))
+
+
+def uppers_of(table: DataFrame, variable: str, column: str = "interval") -> list[float]:
+    """The ascending upper ends of a variable's intervals in a saved table (variable, interval), as structs (lo, hi) or as text (a, b].
+
+    For apply_cutoffs(). ValueError without intervals, with text that is none, or if they leave a gap or overlap.
+    """
+    rows = table.where((F.col("variable") == variable) & F.col(column).isNotNull())
+    of = interval(F.col(column)) if isinstance(table.schema[column].dataType, StringType) else F.col(column)
+    ends = [r["i"] for r in rows.select(of.alias("i")).distinct().collect()]  # a row a bin
+    if not ends:
+        raise ValueError(f"no cutoff for {variable}")
+    if any(e is None for e in ends):
+        raise ValueError(f"a cutoff of {variable} is no interval (a, b]")
+    ends = sorted((e["lo"], e["hi"]) for e in ends)
+    if any(a[1] != b[0] for a, b in zip(ends, ends[1:])) or any(lo >= hi for lo, hi in ends):
+        raise ValueError(f"the intervals of {variable} are not side by side")
+    return [hi for _, hi in ends]
+
+
 def apply_cutoffs(df: DataFrame, variable: str, uppers: Sequence[float], out: str, labels: Sequence[object] | None = None) -> DataFrame:
     """Add out, the right-closed bin of variable between ascending upper cutoffs; the outer bins are unbounded.
 
@@ -117,35 +148,48 @@ def vingtile_edges(n: int, bins: int = 20) -> list[float]:
     return out
 
 
+def keys_at(rows: DataFrame, row_key: Sequence[str], wanted: Sequence[tuple[float, int]]) -> dict[tuple[float, int], tuple]:
+    """For each (score, place) the row_key of the row at that place, from 1, among the rows of that score (_s) in the order of row_key.
+
+    Rows are counted in cells of the first key column where that is a number, and only the cells that hold a wanted place are ordered.
+    """
+    rows = rows.where(F.col("_s").isin(sorted({s for s, _ in wanted})))
+    numeric = isinstance(rows.schema[row_key[0]].dataType, NumericType)
+    placed = cells(rows, ["_s"], row_key[0]) if numeric else rows.withColumn("_cell", F.lit(0))
+    before = Window.partitionBy("_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = placed.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(before))  # cells, not rows
+    places = F.broadcast(rows.sparkSession.createDataFrame(wanted, "_s double, _place long"))
+    at = counts.join(places, "_s").where("_place <= _upto and _place > _upto - _c").select("_s", "_cell", "_place", (F.col("_upto") - F.col("_c")).alias("_before"))
+    within = Window.partitionBy("_s", "_cell", "_place").orderBy(*row_key)
+    found = placed.join(F.broadcast(at), ["_s", "_cell"]).withColumn("_n", F.row_number().over(within) + F.col("_before")).where("_n = _place")
+    return {(r["_s"], r["_place"]): tuple(r["_k"]) for r in found.select("_s", "_place", F.struct(*row_key).alias("_k")).collect()}  # a row a place
+
+
 def vingtiles(df: DataFrame, score: str, row_key: Sequence[str], bins: int = 20, out: str = "score_vingtile") -> DataFrame:
     """Add out: the bin of a row's rank by score, ties in the order of row_key; null for a null score.
 
-    One pass counts the rows of each score, which tells the score at each of the bins - 1 inner edges. Rows of other scores are binned by
-    comparing scores; only those of a score that an edge parts are ordered by row_key, in cells of its first column where that is a number.
+    df is evaluated once and written (select what is needed before). Counts by score tell the score at each of the
+    bins - 1 inner edges, and of a score that an edge parts, the row_key at the edge is looked up; every row is then binned by
+    comparing its score and row_key with at most bins - 1 of them. Rows that are equal in both share a bin.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running(counts, [], "_s", ["_n"])
-    n = upto.agg(F.sum("_n")).first()[0]
-    if not n:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    edges = vingtile_edges(n, bins)
-    least = [F.min(F.when(F.col("cum__n") > e, F.struct("_s", (F.col("cum__n") - F.col("_n")).alias("before")))).alias(f"e{k}") for k, e in enumerate(edges[1:-1])]
-    at = [x for x in upto.agg(*least).first()]  # bins - 1 pairs: the least score with a rank above the edge, and the rows before it
+    df = once(df)
     value = F.col(score).cast("double")
-    inner = [(e, x["_s"], x["before"]) for e, x in zip(edges[1:-1], at) if x is not None]
-    parted = {s: before for e, s, before in inner if before + 1 <= e}
-    passed = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for e, s, _ in inner]), lambda x: (value > x["s"]) | ((value == x["s"]) & (F.col("_rank") > x["e"]))) if inner else F.array()
-    number = F.when(F.col(score).isNotNull(), 1 + F.size(passed)).cast("int")
-    split = F.coalesce(value.isin(list(parted)), F.lit(False)) if parted else F.lit(False)
-    plain = df.where(~split).withColumn("_rank", F.lit(n)).withColumn(out, number).drop("_rank")
-    if not parted:
-        return plain
-    rows = df.where(split).withColumn("_s", value)
-    numeric = isinstance(df.schema[row_key[0]].dataType, NumericType)
-    rows = cells(rows, ["_s"], row_key[0]) if numeric else rows.withColumn("_cell", F.lit(0))
-    before = F.create_map(*[F.lit(x) for pair in parted.items() for x in pair])
-    rows = positions(rows, ["_s"], "_cell", row_key, "_position").withColumn("_rank", F.col("_position") + before[F.col("_s")])
-    return plain.unionByName(rows.withColumn(out, number).select(*df.columns, out))
+    slim = df.where(F.col(score).isNotNull()).select(value.alias("_s"), *row_key)
+    upto = running(slim.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")), [], "_s", ["_n"])
+    edges = vingtile_edges(upto.agg(F.sum("_n")).first()[0] or 0, bins)[1:-1]
+    least = [F.min(F.when(F.col("cum__n") > e, F.struct("_s", (F.col("cum__n") - F.col("_n")).alias("before")))).alias(f"e{k}") for k, e in enumerate(edges)]
+    at = [(e, *x) for e, x in zip(edges, upto.agg(*least).first()) if x is not None]  # of each edge the least score with a rank above it, and the rows before that score
+    parted = {e: (s, math.floor(e) - before) for e, s, before in at if before + 1 <= e}
+    keys = keys_at(slim, row_key, sorted(set(parted.values()))) if parted else {}
+    fields = [(c, df.schema[c].dataType) for c in row_key]
+
+    def edge(e: float, s: float) -> Column:
+        of = keys[parted[e]] if e in parted else [None] * len(fields)
+        return F.struct(F.lit(s).alias("s"), F.lit(e in parted).alias("parted"), F.struct(*[F.lit(x).cast(kind).alias(c) for (c, kind), x in zip(fields, of)]).alias("key"))
+
+    passed = F.filter(F.array(*[edge(e, s) for e, s, _ in at]), lambda x: (value > x["s"]) | ((value == x["s"]) & (~x["parted"] | (F.struct(*row_key) > x["key"])))) if at else F.array()
+    number = 1 + F.size(passed)
+    return df.withColumn(out, F.when(F.col(score).isNotNull(), number).cast("int"))
 
 
 def binned_rates(df: DataFrame, variable: str, bins: int, how: str = "quantile", target: str = "def", by: Sequence[str] = ()) -> DataFrame:

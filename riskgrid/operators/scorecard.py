@@ -6,7 +6,6 @@ number, the reference left out).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import as_modality, interval_label, mapped, ratio, sigmoid
 from ..sources.files import require
 from .binning import vingtiles
+from .distributions import density
 
 Model = Mapping[str, object]
 #: Vingtiles of each risk class, from the riskiest: first vingtile, last vingtile, name.
@@ -165,16 +165,5 @@ def stability_matrix(table: DataFrame, value: str, classes: int = len(CLASSES))
 
 
 def densities(df: DataFrame, score: str = "score_total", target: str = "def", by: str = "dataset", points: int = 300, low: float = 0.0, high: float = 1000.0) -> DataFrame:
-    """(by, def, x, density): a Gaussian kernel estimate of the score per sample and target on an even grid.
-
-    Bandwidth: standard deviation times n to the power -1/5. Fewer than two rows, or equal scores, give 0. Only distinct
-    scores meet the grid, and the sums are partial before any shuffle.
-    """
-    counts = df.where(F.col(score).isNotNull()).groupBy(by, target, F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    sums = df.where(F.col(score).isNotNull()).groupBy(by, target).agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp(F.col(score).cast("double")).alias("sd"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: low + k * (high - low) / (points - 1))
-    width = F.col("sd") * F.pow("n", F.lit(-0.2))
-    z = (F.col("x") - F.col("s")) / F.col("width")
-    joined = counts.join(sums.withColumn("width", width), [by, target]).withColumn("x", F.explode(grid))
-    kernel = F.when(F.col("width") > 0, F.col("c") * F.exp(-z * z / 2) / (F.col("n") * F.col("width") * math.sqrt(2 * math.pi))).otherwise(0.0)
-    return joined.groupBy(by, target, "x").agg(F.sum(F.coalesce(kernel, F.lit(0.0))).alias("density"))
+    """(by, def, x, density): density() of the score per sample and target on an even grid from low to high."""
+    return density(df, score, [by, target], points, low, high)

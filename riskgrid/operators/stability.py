@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import PSI_CLASSES, class_of, half_even
+from ..sources.files import once
 from .order import melted, quantiles
 
 
@@ -68,6 +69,7 @@ def psi(df: DataFrame, sample: str, pairs: Sequence[tuple[str, str]], continuous
 
     on_empty: what an empty bin of either sample does: 'null' (the index is null) or 'raise' (ValueError naming the bins).
     """
+    df = once(df.select(sample, *continuous, *qualitative))
     tables = []
     if continuous:
         tables.append(binned_shares(df, sample, pairs, continuous, bins))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, ratio
-from ..sources.files import require
+from ..sources.files import once, require
 from .order import melted, quantiles, running
 
 SORT_KEYS = ("count", "defaults", "prop", "default_rate", "category")
@@ -18,20 +19,30 @@ def counted(target: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n_def")]
 
 
-def default_summary(df: DataFrame, category: str, target: str = "def", sort_by: str = "count", ascending: bool = False, include_missing: bool = False) -> DataFrame:
+def default_summary(df: DataFrame, category: str, target: str = "def", sort_by: str = "count", ascending: bool = False, include_missing: bool = False, declared: Sequence[str] | None = None) -> DataFrame:
     """(row, category, n, prop, n_def, default_rate): a row per category in the wanted order, and a Total row last.
 
-    A missing category is left out, or counts as 'Missing'. Ties are ordered by category.
+    A missing category is left out, or counts as 'Missing'. Ties are ordered by category. declared: the categories of an ordered domain; each
+    has a row, of count 0 and without a rate where none of it is there, category order (of sort_by and of ties) is theirs, and any other category
+    is missing.
     """
     require(df, [category, target])
     if sort_by not in SORT_KEYS:
         raise ValueError(f"sort_by must be one of {SORT_KEYS}")
     value = F.col(category).cast("string")
+    if declared is not None:
+        value = F.when(value.isin(list(declared)), value)
     rows = df.select(F.coalesce(value, F.lit("Missing")) if include_missing else value, F.col(target).cast("long")).toDF("category", target).where("category is not null")
     table = rows.rollup("category").agg(*counted(target), F.grouping("category").alias("total"))
-    table = table.where("n > 0").withColumns({"prop": ratio(F.col("n"), F.sum(F.when(F.col("total") == 1, F.col("n"))).over(Window.partitionBy())), "default_rate": ratio(F.col("n_def"), F.col("n"))})
-    key = {"count": "n", "defaults": "n_def"}.get(sort_by, sort_by)
-    order = Window.orderBy("total", F.asc(key) if ascending else F.desc(key), "category")  # a row per category
+    table = table.where("n > 0")
+    place = F.col("category")
+    if declared is not None:
+        domain = df.sparkSession.createDataFrame([(c, k) for k, c in enumerate(declared)], "category string, place int")  # a row a category
+        table = table.join(domain.drop("place"), "category", "full").fillna(0, ["n", "n_def", "total"]).join(domain, "category", "left")
+        place = F.coalesce("place", F.lit(len(declared)))
+    table = table.withColumns({"prop": ratio(F.col("n"), F.sum(F.when(F.col("total") == 1, F.col("n"))).over(Window.partitionBy())), "default_rate": ratio(F.col("n_def"), F.col("n"))})
+    key = {"count": F.col("n"), "defaults": F.col("n_def"), "category": place}.get(sort_by, F.col(sort_by))
+    order = Window.orderBy("total", key.asc_nulls_last() if ascending else key.desc_nulls_last(), place)  # a row per category
     return table.withColumn("row", F.row_number().over(order)).select("row", F.when(F.col("total") == 1, "Total").otherwise(F.col("category")).alias("category"), "n", "prop", "n_def", "default_rate")
 
 
@@ -85,7 +96,10 @@ def contingency_margins(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def rare_level_variables(df: DataFrame, variables: Sequence[str], threshold: float = 0.05) -> DataFrame:
-    """(variable, n_levels, least_share) of the variables with a level whose share is at most threshold; unknown ones are skipped."""
+    """(variable, n_levels, least_share) of the variables with a level whose share is at most threshold; unknown ones are skipped with a warning."""
+    unknown = [v for v in variables if v not in df.columns]
+    if unknown:
+        warnings.warn(f"no such columns: {', '.join(unknown)}", stacklevel=2)
     counts = melted(df, [v for v in variables if v in df.columns], kind="string").where("value is not null").groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("variable")))
     return shares.groupBy("variable").agg(F.count(F.lit(1)).alias("n_levels"), F.min("share").alias("least_share")).where(F.col("least_share") <= threshold)
@@ -105,7 +119,7 @@ def relative_gaps(df: DataFrame, category: str, target: str = "def") -> DataFram
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., variable, n, mean, sd, min, q1, median, q3, max) of each column; exact quartiles, missing values don't count."""
     keys = [*by, "variable"]
-    long = melted(df, columns, by)
+    long = melted(once(df.select(*by, *columns)), columns, by)
     moments = long.where("value is not null").groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     found = quantiles(long, keys, (0.25, 0.5, 0.75)).join(moments, keys)
     return found.select(*keys, "n", "mean", "sd", F.col("low").alias("min"), *[F.col("q")[j].alias(name) for j, name in enumerate(("q1", "median", "q3"))], F.col("high").alias("max"))

@@ -71,3 +71,22 @@ def information_values(table: DataFrame) -> DataFrame:
 def cutoffs(table: DataFrame, variable: str) -> list[float]:
     """The displayed upper edges of a variable's bins, ascending, for binning.apply_cutoffs()."""
     return [r["upper"] for r in table.where((F.col("variable") == variable) & F.col("upper").isNotNull()).orderBy("cutoff").collect()]
+
+
+def intervals(table: DataFrame) -> DataFrame:
+    """(variable, bin, interval) of the binned variables of woe_table(): struct (lo, hi), the outer ones unbounded; to be saved, and read by binning.uppers_of()."""
+    of = Window.partitionBy("variable").orderBy("cutoff")  # a row a bin
+    rows = table.where("upper is not null").select("variable", F.col("cutoff").cast("int").alias("bin"), F.lag("upper").over(of).alias("lo"), F.col("upper").alias("hi"), F.lead("upper").over(of).alias("next"))
+    lo, hi = F.coalesce("lo", F.lit(float("-inf"))), F.when(F.col("next").isNotNull(), F.col("hi")).otherwise(F.lit(float("inf")))
+    return rows.select("variable", "bin", F.struct(lo.alias("lo"), hi.alias("hi")).alias("interval"))
+
+
+def label_directions(table: DataFrame) -> DataFrame:
+    """(variable, slope, direction) of the binned variables of woe_table(): the slope of the event rate over the bins' numbers, weighed by rows.
+
+    The bins are to be named so that label 1 is the riskiest end: 'up' (1, 2, ... with the value) where the rate falls, 'down' where it rises.
+    """
+    k, n, e = F.col("cutoff").cast("double"), F.col("n").cast("double"), F.col("events").cast("double")
+    sums = table.where("upper is not null").groupBy("variable").agg(F.sum(n).alias("n"), F.sum(n * k).alias("k"), F.sum(n * k * k).alias("kk"), F.sum(e).alias("e"), F.sum(e * k).alias("ek"))
+    slope = F.try_divide(F.col("ek") - F.col("e") * F.col("k") / F.col("n"), F.col("kk") - F.col("k") * F.col("k") / F.col("n"))
+    return sums.select("variable", slope.alias("slope"), F.when(slope > 0, "down").otherwise("up").alias("direction"))

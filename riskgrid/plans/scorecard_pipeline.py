@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import as_modality
 from ..operators import binning, logit, preparation, scorecard, selection, woe
+from ..sources.files import once
 
 
 @dataclass
@@ -24,13 +25,15 @@ class Scorecard:
 
 
 def discretized(loans: DataFrame, continuous: Sequence[str], target: str = "def", bins: int = 3) -> DataFrame:
-    """loans with <v>_dis for each continuous variable: its bin between the displayed cutoffs fitted on the training sample."""
-    table = woe.woe_table(loans.where("dataset = 'Train'"), continuous, target, bins)
+    """loans with <v>_dis for each continuous variable: its bin between the displayed cutoffs fitted on the training sample, 1 at the riskiest end."""
+    table = once(woe.woe_table(loans.where("dataset = 'Train'"), continuous, target, bins))  # a row a bin
+    way = {r["variable"]: r["direction"] for r in woe.label_directions(table).collect()}
     out = loans
     for v in continuous:
         edges = woe.cutoffs(table, v)
         if edges:
-            out = binning.apply_cutoffs(out, v, edges, f"{v}_dis", [str(k + 1) for k in range(len(edges))])
+            labels = [str(k + 1) for k in range(len(edges))]
+            out = binning.apply_cutoffs(out, v, edges, f"{v}_dis", labels[::-1] if way[v] == "down" else labels)
     return out
 
 
