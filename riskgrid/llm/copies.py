@@ -16,13 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, tiled, whole_groups, written
+from .common import components, join_counted, shuffles_removed, tiled, whole_groups, written
 from .simhash import bit_moments, majority, plan, probes, representatives, shingle_hashes, words_of
 
 #: Tiles with more candidate pairs than this for each row are linked by a few of them first.
 DENSE = 4
 #: Up to so many groups of equal keys are counted in a broadcast table.
 BROADCAST_GROUPS = 1_000_000
+#: Fingerprints of so many bits are compared before whole sets are.
+WIDE = 512
+FACTORS = np.random.default_rng(8).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 TILE = ["part_no", "key", "tile_lo", "tile_hi"]
 
 
@@ -103,46 +107,88 @@ def candidates(units: DataFrame, parts: list[tuple[list[int], int]], radius: int
     return written(tiles.mapInPandas(lambda frames: tile_candidates(frames, parts, radius, fine_radius, ratio, whole), "part_no int, key long, a long, b long, dense boolean"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of units whose shingle sets have at least the Jaccard similarity."""
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """WIDE bits of a shingle set: a bit is 1 if over half of the shingles' hashes, mixed anew for each 64 bits, have it."""
+    out = []
+    with np.errstate(over="ignore"):
+        for factor in FACTORS:
+            h = shingles * factor
+            h ^= h >> np.uint64(29)
+            out.append(majority(h * MIXER))
+    return np.array(out, np.int64).tobytes()
 
-    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep = []
-            for x, y in zip(frame["a_shingles"], frame["b_shingles"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield frame.loc[np.array(keep, bool), ["a", "b"]]
+
+def needed_sets(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
+    """(u, wide, shingles) of each unit of the pairs (a, b), from the text of one of its documents."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [shingle_set(t, words).tobytes() for t in frame["text"]]
-            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(x) for x in found], "shingles": found})
+            found = [shingle_set(t, words) for t in frame["text"]]
+            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "wide": [wide_fingerprint(x) for x in found], "shingles": [x.tobytes() for x in found]})
 
     needed = written(units.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi").select("u", "digest", "least_id"))
     holders = needed.select(F.col("least_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    known = texts.select("text").mapInPandas(sets, "digest binary, shingles binary").join(needed, "digest").dropDuplicates(["u"])
-    known = written(known.select("u", "shingles"))
+    known = texts.select("text").mapInPandas(sets, "digest binary, wide binary, shingles binary").join(needed.select("u", "digest"), "digest")
+    return written(known.dropDuplicates(["digest"]).select("u", "wide", "shingles"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int, similarity: float, wide_radius: int) -> DataFrame:
+    """The pairs (a, b) of units whose shingle sets have at least the Jaccard similarity.
+
+    First the pairs meet fingerprints of WIDE bits, and those that differ in more than wide_radius go. For the others, the set of b
+    is sent once a pair, and that of a once for all its pairs.
+    """
+    known = needed_sets(pairs, docs, units, words)
+    near = pairs
     for end in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("u").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
-    return written(pairs.mapInPandas(alike, "a long, b long"))
+        near = near.join(known.select(F.col("u").alias(end), F.col("wide").alias(f"{end}_wide")), end)
+
+    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x, y = (np.frombuffer(b"".join(frame[c]), np.uint64).reshape(len(frame), -1) for c in ("a_wide", "b_wide"))
+            yield frame.loc[np.bitwise_count(x ^ y).sum(axis=1) <= wide_radius, ["a", "b"]]
+
+    near = written(near.mapInPandas(close, "a long, b long"))
+
+    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, own = None, np.zeros(0, np.uint64)
+        for frame in frames:
+            keep = []
+            for u, b, raw in zip(frame["a"], frame["b"].isna(), frame["shingles"]):
+                x = np.frombuffer(raw, np.uint64)
+                if b:  # the set of a comes before its partners
+                    a, own = u, x
+                shared = len(np.intersect1d(own, x, assume_unique=True)) if u == a and not b else -1
+                keep.append(shared >= similarity * (len(x) + len(own) - shared) - 1e-9)
+            yield frame.loc[np.array(keep, bool), ["a", "b"]]
+
+    firsts = near.select("a").distinct().join(known.select(F.col("u").alias("a"), "shingles"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
+    seconds = near.join(known.select(F.col("u").alias("b"), "shingles"), "b").select("a", "b", "shingles")
+    both = firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return written(both.mapInPandas(alike, "a long, b long"))
 
 
-def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int = 5, similarity: float = 0.8, choices: tuple[int, ...] = (4,)) -> DataFrame:
+def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int = 5, similarity: float = 0.8, choices: tuple[int, ...] = (4,), wide_radius: int = 125) -> DataFrame:
     """Class every document with those that verified links reach: (doc_id, component_id), one row per input row.
 
     docs: doc_id, text and any others, which are ignored. Texts of equal shingle sets are one unit (texts of fewer
     words than a shingle are one shingle, texts without words, null ones included, one unit). Units link where their
-    word fingerprints are within radius bits, their shingle fingerprints within fine_radius bits and the Jaccard similarity of their shingle sets is at least similarity;
+    word fingerprints are within radius bits, their shingle fingerprints within fine_radius of 64 and wide_radius of WIDE bits (at a similarity of 0.8 some 77 of 512
+    differ, and 125 is six deviations away) and the Jaccard similarity of their shingle sets is at least similarity;
     none below it link. component_id is the smallest doc_id of the class; a null doc_id stays null and is a
     component_id only of a class that has no other. An empty table gives no rows.
 
     Candidates of large groups are not all paired at once: in a tile of many pairs each unit meets two partners first, and only units that
     these links leave apart meet all others of their tile. So the result is the same as from all pairs.
     """
+    with shuffles_removed(docs.sparkSession):
+        return found_classes(docs, radius, fine_radius, words, similarity, choices, wide_radius)
+
+
+def found_classes(docs: DataFrame, radius: int, fine_radius: int, words: int, similarity: float, choices: tuple[int, ...], wide_radius: int) -> DataFrame:
+    """What classes() says."""
     rows = written(described(docs, words))
     ones = rows.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("fp", "fine", "n")])
     units = written(ones.withColumn("u", F.monotonically_increasing_id()))
@@ -153,14 +199,14 @@ def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int
     if total > 1:
         parts = plan(total, both, radius, choices)
         some = candidates(search, parts, radius, fine_radius, similarity)
-        links = verified(some.select("a", "b").distinct(), docs, units, words, similarity)
+        links = verified(some.select("a", "b").distinct(), docs, units, words, similarity, wide_radius)
         reached = components(links)
         dense = some.where("dense").select("part_no", "key").distinct()
         if not dense.isEmpty():
             reached = written(reached)
             apart = search.join(reached.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("component", "u"))
             rest = candidates(apart.drop("component"), parts, radius, fine_radius, similarity, dense).select("a", "b").distinct()
-            reached = components(links.union(verified(rest, docs, units, words, similarity)))
+            reached = components(links.union(verified(rest, docs, units, words, similarity, wide_radius)))
     of = written(units.join(reached.withColumnRenamed("node", "u"), "u", "left").select("digest", "copies", "least_id", F.coalesce("component", "u").alias("class")))
     named = of.join(of.groupBy("class").agg(F.min("least_id").alias("component_id")), "class").select("digest", "copies", "component_id")
     return join_counted(rows.select("doc_id", "digest"), written(named), "digest").select("doc_id", "component_id")

@@ -40,7 +40,7 @@ def shingle_hashes(parts: list[bytes], words: int) -> list[int]:
     return [digest(joined[s:e], 42) for s, e in zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist())]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The signed 64-bit fingerprint of some hashes: a bit is 1 if over half of them have it; 0 for none."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), BLOCK):

@@ -105,6 +105,39 @@ def test_near_copies_against_all_pairs(spark, dense, monkeypatch):
     assert len(set(got.values())) < len(texts) - 20
 
 
+def test_recall_of_near_copies_at_the_settings_of_the_stage(spark):
+    """Several hundred pairs of 0.8 or more, many of them close to it, by the stage's own radii."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+    texts = []
+    for _ in range(450):
+        words = rng.choices(vocab, k=rng.randint(80, 500))
+        changed = list(words)
+        for k in rng.sample(range(len(words)), max(1, int(len(words) * rng.choice((0.005, 0.01, 0.015, 0.02, 0.025))))):
+            changed[k] = rng.choice(vocab)
+        texts += [" ".join(words), " ".join(changed)]
+    sets = [shingles(t) for t in texts]
+    alike = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    got = {r.doc_id: r.component_id for r in copies.classes(spark.createDataFrame([(i, t, "en", 1, "n") for i, t in enumerate(texts)], DOCS)).collect()}
+    found = [i for i in alike if got[i] == got[i + 1]]
+    assert len(alike) > 350 and len(found) >= 0.95 * len(alike), (len(alike), len(found))
+    assert all(got[i + 1] == i + 1 for i in range(0, len(texts), 2) if i not in alike)
+
+
+def test_wide_fingerprints_of_alike_sets_are_within_the_radius():
+    rng = np.random.default_rng(4)
+    worst = 0
+    for n in (5, 9, 40, 300, 2000):
+        for _ in range(60):
+            both = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            k = int(len(both) * 0.1)
+            a, b = both[k:], both[: len(both) - k] if k else both
+            x, y = (np.frombuffer(copies.wide_fingerprint(v), np.uint64) for v in (a, b))
+            assert len(x) == copies.WIDE // 64
+            worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+    assert worst <= 125
+
+
 def test_near_copies_of_repeated_rows_null_ids_and_no_rows(spark):
     rows = [(7, "same text here for all", "en", 1, "a"), (7, "same text here for all", "en", 1, "b"), (3, "same text here for all", "en", 1, "c"), (None, "same text here for all", "en", 1, "d"), (9, None, "en", 1, "e"), (9, None, None, 1, "e")]
     docs = spark.createDataFrame(rows, DOCS)
