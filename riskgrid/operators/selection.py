@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import V_STRENGTHS, class_of
+from ..sources.files import once
 from .association import chi2_of, correlation_matrix, cramers, kruskal_of, pair_counts, value_counts, without_fold
+from .order import average_ranks, melted
 
 
 def listed(spark, variables: Sequence[str]) -> DataFrame:
@@ -27,16 +31,16 @@ def cramers_by_fold(df: DataFrame, variables: Sequence[str], target: str, folds:
     return found.select("left_out", "variable", cramers(found, corrected=True).alias("v"))
 
 
-def keep_associated(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], alpha: float = 0.05) -> DataFrame:
-    """(variable, place, worst_p, kept): kept if the Kruskal-Wallis p is below alpha whichever fold is left out."""
-    found = kruskal_by_fold(df, variables, target, folds).groupBy("variable").agg(F.max("p_value").alias("worst_p"), F.count("p_value").alias("_n"))
+def keep_associated(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], alpha: float = 0.05, p_values: DataFrame | None = None) -> DataFrame:
+    """(variable, place, worst_p, kept): kept if the Kruskal-Wallis p is below alpha whichever fold is left out. p_values: kruskal_by_fold(), where it is known."""
+    found = (kruskal_by_fold(df, variables, target, folds) if p_values is None else p_values).groupBy("variable").agg(F.max("p_value").alias("worst_p"), F.count("p_value").alias("_n"))
     out = listed(df.sparkSession, variables).join(found, "variable", "left")
     return out.select("variable", "place", "worst_p", F.coalesce((F.col("_n") == len(folds)) & (F.col("worst_p") < alpha), F.lit(False)).alias("kept"))
 
 
-def keep_categorical(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], low: float = 0.10) -> DataFrame:
-    """(variable, place, mean_v, strength, kept): kept if the corrected V is at least low whichever fold is left out."""
-    found = cramers_by_fold(df, variables, target, folds).groupBy("variable").agg(F.avg("v").alias("mean_v"), F.min("v").alias("_least"), F.count("v").alias("_n"))
+def keep_categorical(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], low: float = 0.10, v_values: DataFrame | None = None) -> DataFrame:
+    """(variable, place, mean_v, strength, kept): kept if the corrected V is at least low whichever fold is left out. v_values: cramers_by_fold(), where it is known."""
+    found = (cramers_by_fold(df, variables, target, folds) if v_values is None else v_values).groupBy("variable").agg(F.avg("v").alias("mean_v"), F.min("v").alias("_least"), F.count("v").alias("_n"))
     out = listed(df.sparkSession, variables).join(found, "variable", "left")
     kept = F.coalesce((F.col("_n") == len(folds)) & (F.col("_least") >= low), F.lit(False))
     return out.select("variable", "place", "mean_v", class_of(F.col("mean_v"), V_STRENGTHS).alias("strength"), kept.alias("kept"))
@@ -58,32 +62,105 @@ def kept_after(order: DataFrame, dropped: DataFrame) -> DataFrame:
     return order.join(dropped.withColumn("_d", F.lit(True)), "variable", "left").select("variable", "place", F.col("_d").isNull().alias("kept"))
 
 
-def drop_correlated(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], threshold: float = 0.7, fold: str = "fold") -> DataFrame:
+def spearman_by_fold(df: DataFrame, variables: Sequence[str], folds: Sequence[int], fold: str = "fold") -> DataFrame:
+    """(left_out, a, b, r) over the rows outside each fold, for variables without missing values.
+
+    A value's ranks outside every fold come from one table of counts and are joined to the rows once, as a map by fold; no row
+    is repeated for a fold.
+    """
+    rows = once(df.select(F.col(fold).alias("_fold"), *variables).withColumn("_row", F.monotonically_increasing_id()))  # a row keeps its number
+    long = melted(rows, variables, ["_fold", "_row"])
+    counts = long.groupBy("_fold", "variable", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(""))
+    ranks = average_ranks(without_fold(counts, folds, "_fold").groupBy("left_out", "variable", "value").agg(F.sum("n").alias("n")), ["left_out", "variable"])
+    by_value = ranks.groupBy("variable", "value").agg(F.map_from_entries(F.collect_list(F.struct("left_out", "rank"))).alias("ranks"))  # an entry a fold
+    wide = long.join(by_value, ["variable", "value"]).groupBy("_row", "_fold").agg(*[F.first(F.when(F.col("variable") == v, F.col("ranks")), True).alias(v) for v in variables])
+    pairs = [(a, b, i) for k, a in enumerate(variables) for b in variables[k + 1 :] for i in folds]
+
+    def rank(v: str, i: int) -> Column:
+        return F.when(F.col("_fold") != i, F.col(v)[i])
+
+    found = wide.agg(*[F.corr(rank(a, i), rank(b, i)).alias(f"c{k}") for k, (a, b, i) in enumerate(pairs)])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(i).alias("left_out"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b, i) in enumerate(pairs)])).alias("p")).select("p.*")
+
+
+def drop_correlated(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], threshold: float = 0.7, fold: str = "fold", p_values: DataFrame | None = None) -> DataFrame:
     """(variable, place, kept): of two variables whose |Spearman| reaches threshold outside some fold, the one of larger p goes.
 
     Every pair is judged by itself: a variable that goes can still evict another. The correlation of a pair uses the
-    rows that have both.
+    rows that have both. p_values: kruskal_by_fold(), where it is known.
     """
     order = listed(df.sparkSession, variables)
-    parts = df.select(fold, *variables).withColumn("left_out", F.explode(F.filter(F.array(*[F.lit(i) for i in folds]), lambda i: i != F.col(fold))))
     holes = df.agg(*[F.max(F.col(v).isNull()).alias(v) for v in variables]).first()
     full = [v for v in variables if not holes[v]]
-    groups = [full] if len(full) > 1 else []  # without missing values, ranks serve all pairs
-    groups += [[a, b] for i, a in enumerate(variables) for b in variables[i + 1 :] if holes[a] or holes[b]]
-    strong = None
-    for group in groups:
-        r = correlation_matrix(parts, group, "spearman", ["left_out"]).where((F.col("a") != F.col("b")) & (F.abs("r") >= threshold)).select("left_out", "a", "b")
-        strong = r if strong is None else strong.union(r)
-    if strong is None:
+    broken = [[a, b] for i, a in enumerate(variables) for b in variables[i + 1 :] if holes[a] or holes[b]]
+    found = [spearman_by_fold(df, full, folds, fold)] if len(full) > 1 else []  # without missing values, ranks serve all pairs
+    if broken:
+        parts = df.select(fold, *variables).withColumn("left_out", F.explode(F.filter(F.array(*[F.lit(i) for i in folds]), lambda i: i != F.col(fold))))
+        found += [correlation_matrix(parts, pair, "spearman", ["left_out"]).where(F.col("a") != F.col("b")) for pair in broken]
+    if not found:
         return order.select("variable", "place", F.lit(True).alias("kept"))
-    p = kruskal_by_fold(df, variables, target, folds, fold).select("left_out", "variable", (-F.coalesce("p_value", F.lit(1.0))).alias("merit"))
-    return kept_after(order, evicted(strong, p, order))
+    strong = functools.reduce(DataFrame.unionByName, found).where(F.abs("r") >= threshold).select("left_out", "a", "b")
+    p = kruskal_by_fold(df, variables, target, folds, fold) if p_values is None else p_values.where(F.col("variable").isin(list(variables)))
+    return kept_after(order, evicted(strong, p.select("left_out", "variable", (-F.coalesce("p_value", F.lit(1.0))).alias("merit")), order))
 
 
-def drop_correlated_categorical(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], threshold: float = 0.5, fold: str = "fold") -> DataFrame:
-    """(variable, place, kept): of two variables whose corrected V reaches threshold outside some fold, the one of lower mean V with the target goes."""
+def drop_correlated_categorical(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], threshold: float = 0.5, fold: str = "fold", v_values: DataFrame | None = None) -> DataFrame:
+    """(variable, place, kept): of two variables whose corrected V reaches threshold outside some fold, the one of lower mean V with the target goes.
+
+    v_values: cramers_by_fold(), where it is known.
+    """
     order = listed(df.sparkSession, variables)
     found = chi2_of(without_fold(pair_counts(df, variables, [fold]), folds, fold), ["left_out", "a", "b"])
     strong = found.where(F.col("a") != F.col("b")).where(cramers(found, corrected=True) >= threshold).select("a", "b").distinct()
-    merit = cramers_by_fold(df, variables, target, folds, fold).groupBy("variable").agg(F.avg("v").alias("merit"))
-    return kept_after(order, evicted(strong, merit, order))
+    v = cramers_by_fold(df, variables, target, folds, fold) if v_values is None else v_values.where(F.col("variable").isin(list(variables)))
+    return kept_after(order, evicted(strong, v.groupBy("variable").agg(F.avg("v").alias("merit")), order))
+
+
+@dataclass
+class Selection:
+    """decisions: (kind, place, variable, associated, kept) of every variable; continuous and categorical: those kept, in the order given."""
+
+    decisions: DataFrame
+    continuous: list[str]
+    categorical: list[str]
+
+
+def select(
+    df: DataFrame, continuous: Sequence[str], categorical: Sequence[str], folds: Sequence[int], target: str = "def_year", eviction_target: str = "def", fold: str = "fold",
+    alpha: float = 0.05, low: float = 0.10, correlation: float = 0.5, high: float = 0.50,
+) -> Selection:
+    """The four rules in turn: associated continuous variables, associated categorical ones, and of either those that no other evicts.
+
+    The rules judge by target; of two correlated continuous variables the one of larger p against eviction_target goes. df is read once; one
+    table of counts by (fold, variable, value, target, eviction target) of each kind gives all tests with a target.
+    """
+    columns = dict.fromkeys([fold, target, eviction_target, *continuous, *categorical])
+    slim = once(df.select(*columns))
+
+    def counted(variables: Sequence[str], kind: str) -> DataFrame:
+        return once(value_counts(slim.withColumn("_evict", F.col(eviction_target)), variables, target, [fold, "_evict"], kind))
+
+    def by(counts: DataFrame, level: str) -> DataFrame:
+        return counts.where(F.col(level).isNotNull()).groupBy(fold, "variable", "value", F.col(level).cast("string").alias("level")).agg(F.sum("n").alias("n"))
+
+    spark, tables, kept = df.sparkSession, [], {"continuous": [], "categorical": []}
+
+    def decided(kind: str, first: DataFrame, second: Callable[[list[str]], DataFrame]) -> None:
+        stay = [r["variable"] for r in first.where("kept").orderBy("place").collect()]  # a row a variable
+        last = second(stay) if stay else listed(spark, []).withColumn("kept", F.lit(True))
+        table = once(first.select("place", "variable", F.col("kept").alias("associated")).join(last.select("variable", F.col("kept").alias("_k")), "variable", "left").select(F.lit(kind).alias("kind"), "place", "variable", "associated", F.coalesce("_k", F.lit(False)).alias("kept")))
+        kept[kind] = [r["variable"] for r in table.where("kept").orderBy("place").collect()]
+        tables.append(table)
+
+    if continuous:
+        numbers = counted(continuous, "double")
+        p = kruskal_of(without_fold(by(numbers, "level"), folds, fold), ["left_out", "variable"])
+        against = kruskal_of(without_fold(by(numbers, "_evict"), folds, fold), ["left_out", "variable"])
+        decided("continuous", keep_associated(slim, continuous, target, folds, alpha, p), lambda stay: drop_correlated(slim, stay, eviction_target, folds, correlation, fold, against))
+    if categorical:
+        found = chi2_of(without_fold(by(counted(categorical, "string"), "level"), folds, fold), ["left_out", "variable"])
+        v = once(found.select("left_out", "variable", cramers(found, corrected=True).alias("v")))
+        decided("categorical", keep_categorical(slim, categorical, target, folds, low, v), lambda stay: drop_correlated_categorical(slim, stay, target, folds, high, fold, v))
+    if not tables:
+        raise ValueError("no variables to select from")
+    return Selection(functools.reduce(DataFrame.unionByName, tables), kept["continuous"], kept["categorical"])

@@ -40,17 +40,19 @@ def discretized(loans: DataFrame, continuous: Sequence[str], target: str = "def"
 def scorecard_of(
     loans: DataFrame, continuous: Sequence[str], categorical: Sequence[str], row_key: Sequence[str], constants: dict[str, float], medians: Sequence[str], folds: Sequence[int], size: int = 3, target: str = "def", period: str = "year"
 ) -> Scorecard:
-    """Winsorize, impute and discretize on the training sample, keep associated variables, fit all models of up to `size`
+    """Winsorize and impute on the training sample, select variables there by all four rules, discretize, fit all models of up to `size`
     variables, take the best that passes the checks (or the best of all if none passes), and build its scorecard.
 
     loans: the variables, target, period, dataset (Train, Test, OOT) and fold. Rows stay in Spark throughout; what comes to
     the driver are edges, medians, names and the patterns of the chosen variables.
     """
     ready = preparation.impute(preparation.winsorize(loans, continuous), constants, medians)  # outliers first: the medians are those of clipped values
-    train = ready.where("dataset = 'Train'")
-    kept = selection.keep_associated(train, continuous, target, folds).where("kept").orderBy("place")
-    binned = discretized(ready, [r["variable"] for r in kept.collect()], target)
-    candidates = [c for c in binned.columns if c.endswith("_dis")] + list(categorical)
+    train = ready.where("dataset = 'Train'").withColumn("_target_period", F.concat_ws("_", target, period))
+    kept = selection.select(train, continuous, categorical, folds, "_target_period", target)
+    binned = discretized(ready, kept.continuous, target)
+    candidates = [f"{v}_dis" for v in kept.continuous if f"{v}_dis" in binned.columns] + kept.categorical
+    if not candidates:
+        raise ValueError("the rules keep no variable")
     binned = binned.withColumns({c: as_modality(F.col(c)) for c in candidates})
     results = logit.search(binned, candidates, range(1, size + 1), target).persist()
     try:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, distributions, metrics, scorecard, summaries, woe
+from ..functions import scalar
+from ..operators import binning, distributions, metrics, scorecard, selection, summaries, woe
 from ..sources import files
 from ..sources.loanbook import lines, loan_book
-from .catalogue import MODAL, MODEL, modalities, query
-from .oracle import BOOK, CURVE, stacked
+from .catalogue import IDS, LEFT, MODAL, MODEL, modalities, query
+from .oracle import BOOK, CHI2, CURVE, KRUSKAL, chi2_sf, stacked
 
 BOXED = ["l_extendedprice", "l_quantity", "emp_like", "rate_like"]
 
@@ -104,3 +105,31 @@ def lm17_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT dataset, round(sum((n - e) * (tp - e / 2.0)) / (any_value(pos) * any_value(neg)), 6) AS auc FROM cur GROUP BY dataset""")
 def me3_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.area(metrics.short_roc(loan_book(spark, sf_dir), "l_extendedprice", by=["dataset"]), ["dataset"]).drop("points")
+
+
+SELECTED, SELECTED_TEXT = ["l_quantity", "q_noise", "l_tax", "q_tax", "key_noise"], ["o_orderpriority", "c_mktsegment", "l_linestatus", "p3", "o_orderstatus"]
+
+
+def sql_keyed(prefix: str, columns: list[str], level: str, kind: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{prefix}/{c}/' || i AS key, CAST({c} AS {kind}) AS value, CAST({level} AS VARCHAR) AS level FROM mix" for c in columns)
+
+
+@query("vs_selection_chain", BOOK + LEFT + """
+, mix AS (SELECT *, def || '_' || year AS dy, l_quantity * 2 + u % 7 AS q_noise, l_quantity + l_tax * 50 AS q_tax, k3 % 97 AS key_noise, CASE o_orderpriority WHEN '1-URGENT' THEN 'u' WHEN '5-LOW' THEN 'l' ELSE 'm' END AS p3 FROM parts),
+obs AS (""" + sql_keyed("y", SELECTED, "dy", "DOUBLE") + " UNION ALL " + sql_keyed("d", SELECTED, "def", "DOUBLE") + ")" + KRUSKAL + """
+, kp AS (SELECT key, """ + chi2_sf("h", "df") + """ AS p FROM kw),
+k1 AS (SELECT split_part(key, '/', 2) AS variable, max(p) < 0.05 AS associated FROM kp WHERE key LIKE 'y/%' GROUP BY 1),
+rk AS (SELECT i, """ + ", ".join(f"rank() OVER (PARTITION BY i ORDER BY {v}) + (count(*) OVER (PARTITION BY i, {v}) - 1) / 2.0 AS {v}" for v in SELECTED) + """ FROM mix),
+pr AS (""" + " UNION ALL ".join(f"SELECT i, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM rk GROUP BY i" for k, a in enumerate(SELECTED) for b in SELECTED[k + 1:]) + """),
+gone AS (SELECT CASE WHEN kb.p > ka.p THEN b ELSE a END AS v FROM pr JOIN kp ka ON ka.key = 'd/' || a || '/' || i JOIN kp kb ON kb.key = 'd/' || b || '/' || i
+  WHERE abs(r) >= 0.5 AND a IN (SELECT variable FROM k1 WHERE associated) AND b IN (SELECT variable FROM k1 WHERE associated)),
+obs2 AS (""" + sql_keyed("y", SELECTED_TEXT, "dy", "VARCHAR") + " UNION ALL " + " UNION ALL ".join(sql_keyed(f"p/{b}", [a], b, "VARCHAR") for k, a in enumerate(SELECTED_TEXT) for b in SELECTED_TEXT[k + 1:]) + ")" + CHI2.replace("obs", "obs2") + """
+, k2 AS (SELECT split_part(key, '/', 2) AS variable, min(vc) >= 0.1 AS associated, avg(vc) AS v FROM vs WHERE key LIKE 'y/%' GROUP BY 1),
+p2 AS (SELECT split_part(key, '/', 3) AS a, split_part(key, '/', 2) AS b FROM vs WHERE key LIKE 'p/%' GROUP BY ALL HAVING max(vc) >= 0.5),
+gone2 AS (SELECT CASE WHEN kb.v < ka.v THEN b ELSE a END AS v FROM p2 JOIN k2 ka ON ka.variable = a AND ka.associated JOIN k2 kb ON kb.variable = b AND kb.associated)
+SELECT 'continuous' AS kind, variable, associated, associated AND variable NOT IN (SELECT v FROM gone) AS kept FROM k1
+UNION ALL SELECT 'categorical', variable, associated, associated AND variable NOT IN (SELECT v FROM gone2) FROM k2""")
+def vs_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p3 = F.coalesce(scalar.mapped(F.col("o_orderpriority"), {"1-URGENT": "u", "5-LOW": "l"}), F.lit("m"))
+    book = loan_book(spark, sf_dir).withColumns({"def_year": F.concat_ws("_", "def", "year"), "q_noise": F.col("l_quantity") * 2 + F.col("u") % 7, "q_tax": F.col("l_quantity") + F.col("l_tax") * 50, "key_noise": F.col("k3") % 97, "p3": p3})
+    return selection.select(book, SELECTED, SELECTED_TEXT, IDS).decisions.drop("place")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.operators import association, binning, folds, logit, metrics, models, order, preparation, scorecard, stability, summaries, woe
+from riskgrid.operators import association, binning, distributions, folds, logit, metrics, models, order, preparation, scorecard, selection, stability, summaries, woe
 from riskgrid.plans.catalogue import MODEL
 
 
@@ -289,3 +289,108 @@ def test_models_saved_and_scored_together(spark, tmp_path):
     with pytest.raises(ValueError, match="no model"):
         models.model_named(known, "v9")
     assert models.score_all(odd, known.limit(0)).count() == 0
+
+
+def test_box_statistics_match_pandas(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 900), "x": rng.standard_t(2, 900), "y": rng.integers(0, 4, 900).astype(float)})
+    pdf.loc[::17, "x"] = None
+    got = {(r["g"], r["variable"]): r for r in distributions.box_statistics(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x double, y double"), ["x", "y"], ["g"]).collect()}
+    assert len(got) == 4
+    for (g, v), r in got.items():
+        x = pdf.loc[pdf["g"] == g, v].dropna()
+        q1, q2, q3 = x.quantile([0.25, 0.5, 0.75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        want = [len(x), x.mean(), q1, q2, q3, x[x >= low].min(), x[x <= high].max(), (x < low).sum(), (x > high).sum()]
+        assert [r[c] for c in ("n", "mean", "q1", "median", "q3", "low_whisker", "high_whisker", "n_below", "n_above")] == pytest.approx(want)
+    assert distributions.box_statistics(spark.createDataFrame([], "x double"), ["x"]).count() == 0
+
+
+def test_densities_keep_to_their_stated_error(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(0, 1, 4000), rng.normal(6, 0.5, 1000)))
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("one", 3.0), ("same", 2.0), ("same", 2.0), ("a", None), (None, 1.0)], "g string, x double")
+    w = x.std(ddof=1) * len(x) ** -0.2
+    for fine in (1 << 14, 200):
+        got = {g: f.sort_values("x") for g, f in distributions.density(df, "x", ["g"], points=50, fine=fine).toPandas().groupby("g")}
+        at = got["a"]["x"].to_numpy()
+        assert at[0] == pytest.approx(x.min() - 3 * w) and at[-1] == pytest.approx(x.max() + 3 * w)
+        want = np.exp(-(((at[:, None] - x[None, :]) / w) ** 2) / 2).sum(axis=1) / (len(x) * w * np.sqrt(2 * np.pi))
+        assert np.abs(got["a"]["density"] - want).max() <= ((x.max() - x.min()) / fine / w) ** 2 / 8 * 0.4 / w
+        assert (got["one"]["density"] == 0).all() and (got["same"]["density"] == 0).all() and set(got) == {"a", "one", "same"}
+    few = distributions.density(spark.createDataFrame([(float(v),) for v in [1, 1, 2, 5] * 9], "x double"), "x", points=9).toPandas()
+    s = np.array([1, 1, 2, 5] * 9, float)
+    w = s.std(ddof=1) * len(s) ** -0.2
+    assert np.abs(few["density"] - np.exp(-(((few["x"].to_numpy()[:, None] - s) / w) ** 2) / 2).sum(axis=1) / (len(s) * w * np.sqrt(2 * np.pi))).max() < 1e-12
+    assert distributions.density(df.limit(0), "x", ["g"]).count() == 0 and distributions.density(df.limit(0), "x").count() == 0
+
+
+def test_intervals_read_back_give_the_same_bins(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=800).round(3), "z": rng.gamma(2, 3, 800).round(2), "def": rng.integers(0, 2, 800)}))
+    table = woe.woe_table(df, ["x", "z"])
+    woe.intervals(table).write.parquet(str(tmp_path / "i"))
+    saved = spark.read.parquet(str(tmp_path / "i"))
+    text = saved.select("variable", binning.interval_text(F.col("interval")).alias("interval"))
+    for v in ("x", "z"):
+        want = [r["b"] for r in binning.apply_cutoffs(df, v, woe.cutoffs(table, v), "b").collect()]
+        for known in (saved, text):
+            assert [r["b"] for r in binning.apply_cutoffs(df, v, binning.uppers_of(known, v), "b").collect()] == want
+    for bad, why in (([], "no cutoff"), (["(1, 2]", "(3, 4]"], "side by side"), (["(2, 1]"], "side by side"), (["[1, 2)"], "no interval")):
+        with pytest.raises(ValueError, match=why):
+            binning.uppers_of(spark.createDataFrame([("x", t) for t in bad], "variable string, interval string"), "x")
+
+
+def test_labels_start_at_the_riskiest_end(spark):
+    rows = [(float(k), float(-k), 1.0, int(k * 7 % 100 < k)) for k in range(100)]
+    table = woe.woe_table(spark.createDataFrame(rows, "up double, down double, flat double, def int"), ["up", "down", "flat"])
+    assert {r["variable"]: r["direction"] for r in woe.label_directions(table).collect()} == {"up": "down", "down": "up"}
+
+
+def test_declared_categories_without_rows_stay(spark):
+    df = spark.createDataFrame([("b", 1), ("b", 0), ("x", 1), (None, 0), ("a", 0)], "c string, def int")
+    got = [(r["category"], r["n"], r["n_def"], r["default_rate"]) for r in summaries.default_summary(df, "c", sort_by="category", ascending=True, declared=["b", "none", "a"]).orderBy("row").collect()]
+    assert got == [("b", 2, 1, 0.5), ("none", 0, 0, None), ("a", 1, 0, 0.0), ("Total", 3, 1, pytest.approx(1 / 3))]
+    got = [r["category"] for r in summaries.default_summary(df, "c", sort_by="default_rate", include_missing=True, declared=["b", "none", "a"]).orderBy("row").collect()]
+    assert got == ["b", "Missing", "a", "none", "Total"] or got == ["Missing", "b", "a", "none", "Total"]
+
+
+def test_short_curves_have_the_same_area(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", round(float(v), 2), int(v + rng.normal() > 0)) for v in rng.normal(size=1500)] + [("b", float(k), int(k > 6)) for k in range(12)]
+    df = spark.createDataFrame(rows, "g string, s double, def int")
+    long = {r["g"]: r["n"] for r in metrics.roc(df, "s", by=["g"]).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {r["g"]: r["auc"] for r in metrics.metrics(df, "s", by=["g"]).collect()}
+    got = {r["g"]: r for r in metrics.area(metrics.short_roc(df, "s", by=["g"]), ["g"]).collect()}
+    assert {g: r["auc"] for g, r in got.items()} == {g: pytest.approx(a, abs=1e-12) for g, a in want.items()}
+    assert got["a"]["points"] < long["a"]
+
+
+def test_vingtiles_of_keys_that_repeat_or_are_missing(spark):
+    rows = [(k % 3 if k % 5 else None, k // 2, 1.0 if k < 90 else float(k)) for k in range(120)]
+    df = spark.createDataFrame(rows, "a int, b int, s double")
+    got = binning.vingtiles(df, "s", ["a", "b"]).toPandas()
+    assert len(got) == 120 and set(got["score_vingtile"]) <= set(range(1, 21))
+    assert (got.groupby(["a", "b", "s"], dropna=False)["score_vingtile"].nunique() == 1).all()
+    ordered = got.sort_values(["s", "a", "b"], na_position="first")["score_vingtile"].to_numpy()
+    assert (np.diff(ordered) >= 0).all() and np.bincount(ordered)[1:].max() <= 8
+
+
+def test_selection_is_the_four_rules_in_turn(spark):
+    rng = np.random.default_rng(10)
+    n = 1200
+    x = rng.normal(size=n)
+    pdf = pd.DataFrame({"x": x, "x2": x * 2 + rng.normal(size=n) * 0.1, "noise": rng.normal(size=n), "holes": x + rng.normal(size=n), "c": np.where(x > 0, "h", "l"), "c2": np.where(x > 0.1, "h", "l"), "dull": rng.choice(["p", "q"], n)})
+    pdf["def"], pdf["year"], pdf["fold"] = (x + rng.normal(size=n) > 0.5).astype(int), rng.integers(2020, 2022, n), rng.integers(0, 4, n)
+    df = spark.createDataFrame(pdf).withColumn("def_year", F.concat_ws("_", "def", "year")).withColumn("holes", F.when(F.col("x") < 1.5, F.col("holes")))
+    continuous, categorical = ["x", "x2", "noise", "holes"], ["c", "c2", "dull"]
+    made = selection.select(df, continuous, categorical, range(4))
+    first = [r["variable"] for r in selection.keep_associated(df, continuous, "def_year", range(4)).where("kept").orderBy("place").collect()]
+    second = [r["variable"] for r in selection.keep_categorical(df, categorical, "def_year", range(4)).where("kept").orderBy("place").collect()]
+    assert first == ["x", "x2", "holes"] and second == ["c", "c2"]
+    assert made.continuous == [r["variable"] for r in selection.drop_correlated(df, first, "def", range(4), 0.5).where("kept").orderBy("place").collect()]
+    assert made.categorical == [r["variable"] for r in selection.drop_correlated_categorical(df, second, "def_year", range(4), 0.5).where("kept").orderBy("place").collect()]
+    assert len(made.continuous) < 3 and len(made.categorical) == 1
+    assert {r["variable"]: r["associated"] for r in made.decisions.collect()} == {v: v in first + second for v in continuous + categorical}
+    with pytest.raises(ValueError, match="no variables"):
+        selection.select(df, [], [], range(4))
