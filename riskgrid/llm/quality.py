@@ -139,15 +139,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5)
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
+    """(u, x): the features of each text, beside the number _u that the row was drawn by."""
+
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"x": [features(t).tolist() for t in frame["text"]]})
+            yield pd.DataFrame({"u": frame["_u"], "x": [features(t).tolist() for t in frame["text"]]})
 
-    return docs.select("text").mapInPandas(of, "x array<float>")
+    return docs.select("_u", "text").mapInPandas(of, "u double, x array<float>")
 
 
 def train(docs: DataFrame, positive_ids: DataFrame, eligible: Column, positives: int = 6000, unlabelled: int = 12000, prior: float | None = None) -> Scorer | None:
-    """Fit a scorer on bounded samples: at most the given numbers of trusted positives and of unlabelled documents.
+    """Fit a scorer on bounded samples: at most the given numbers of rows of trusted positives and of unlabelled documents.
 
     positive_ids: doc_id of the trusted documents. Only documents for which eligible holds are used. Both samples are
     those of smallest hash of doc_id, so reruns agree. None where either has fewer than 10.
@@ -161,8 +163,13 @@ def train(docs: DataFrame, positive_ids: DataFrame, eligible: Column, positives:
     few = ids.where(u < share(ids.count(), positives)).orderBy(u, "doc_id").limit(positives)  # bounded, so it may be broadcast
     pool = docs.where(eligible)
     some = pool.where(u < share(pool.count(), unlabelled))
-    x = [feature_rows(rows).limit(n).collect() for rows, n in ((pool.join(F.broadcast(few), "doc_id", "left_semi"), 2 * positives), (some, 2 * unlabelled))]
-    p, q = (np.array([row[0] for row in rows], np.float32).reshape(len(rows), WIDTH) for rows in x)
+
+    def sampled(rows: DataFrame, n: int) -> np.ndarray:
+        got = feature_rows(rows.withColumn("_u", u)).limit(2 * n).toArrow()  # some 1.2 n rows at most, unless ids repeat
+        x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+        return x[np.argsort(got["u"].to_numpy(), kind="stable")[:n]]
+
+    p, q = sampled(pool.join(F.broadcast(few), "doc_id", "left_semi"), positives), sampled(some, unlabelled)
     if min(len(p), len(q)) < 10:
         return None
     return fit(p, q, prior or estimate_prior(p, q))
