@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
@@ -66,7 +67,7 @@ def cut_by_year(df: DataFrame, last_train: int, oot: int, year: str = "year") ->
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path that driver and executors share: below spark.checkpoint.dir where that is set, else (one machine) below a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='riskgrid-')}/{name}-{uuid.uuid4().hex}"
 
