@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,27 @@ ENCODINGS = (
     ("upper36", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", _UP + _DIGITS),
     ("lower36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _LOW + _DIGITS),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*$", _UP + _LOW + _DIGITS + "+/-_"),
+    ("lower", r"^[a-z]+=*$", _LOW),
+    ("upper", r"^[A-Z]+=*$", _UP),
+    ("letters", r"^[A-Za-z]+=*$", _UP + _LOW),
 )
+#: Words that the model of names learns from: letters alone, shorter than a token, and not a piece of one.
+WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,19}+(?![A-Za-z0-9+/_=-])"
+#: Percentages of the letters a to z in English text.
+ENGLISH = (
+    8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074,
+)
+#: How often, in a name, a lower-case letter, capital, digit or sign follows the start or a character of such a class.
+FOLLOWS = {
+    "start": (0.50, 0.35, 0.10, 0.05),
+    "lower": (0.80, 0.10, 0.06, 0.04),
+    "capital": (0.50, 0.35, 0.10, 0.05),
+    "digit": (0.10, 0.10, 0.70, 0.10),
+    "sign": (0.40, 0.30, 0.25, 0.05),
+}
+CHARACTERS = _LOW + _UP + _DIGITS + "+/-_"
+PRIOR = 200.0  # pairs of letters that the English percentages count for
+ANY = 0.1  # share of letters that follow no habit of words, which bounds what a single rare pair can say
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 STEP = 0.05  # of -log10 p, in which p-values are counted
 
@@ -123,10 +145,56 @@ def battery(token: Column, encoding: Column) -> Column:
     return let(let(letters, places), lambda of: let(F.size(of["x"]).cast("double"), lambda n: tests(of["x"], n, of["width"])))
 
 
+def letter_pairs(text: DataFrame) -> np.ndarray:
+    """How often each letter (column) follows the start of a word (row 0) or another letter in the words of text (column text), in either case."""
+    words = text.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    at = F.transform(F.filter(F.split(F.lower("word"), ""), lambda c: c != ""), lambda c: F.call_function("instr", F.lit(_LOW), c))
+    pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(at, 1, F.size(at) - 1)), at, lambda a, b: a * 27 + b)
+    out = np.zeros((27, 27))
+    for pair, c in words.select(F.explode(pairs).alias("pair"), "c").groupBy("pair").agg(F.sum("c")).collect():  # 27 x 26 rows at most
+        out[divmod(pair, 27)] = c
+    return out[:, 1:]
+
+
+def name_model(pairs: np.ndarray) -> np.ndarray:
+    """log10 of how likely each of CHARACTERS (column) follows the start (row 0) or another of them in a name of words and numbers.
+
+    The class of a character depends on the class before it (FOLLOWS), and a letter within a word on the letter before
+    it, by the pairs counted; a capital after a small letter begins a word, as does a letter after a digit or sign.
+    """
+    english = np.array(ENGLISH) / sum(ENGLISH)
+    follows = (pairs + PRIOR * english) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
+    follows = (1 - ANY) * follows + ANY / 26
+    ends = (26, 52, 62, 66)
+    out = np.zeros((67, 66))
+    for before in range(67):
+        kind = "start" if before == 0 else next(name for name, end in zip(("lower", "capital", "digit", "sign"), ends) if before <= end)
+        inside = follows[(before - 1) % 26 + 1] if kind in ("lower", "capital") else follows[0]
+        lower, capital, digit, sign = FOLLOWS[kind]
+        out[before] = np.concatenate((lower * inside, capital * (follows[0] if kind == "lower" else inside), np.full(10, digit / 10), np.full(4, sign / 4)))
+    return np.log10(out)
+
+
+def evidence(token: Column, encoding: Column, model: np.ndarray) -> Column:
+    """log10 of how much likelier a token is as even draws from its alphabet than as a name by the model.
+
+    Of a name the ratio is 1 on average, so ratios are e-values against the hypothesis that the token is a name.
+    """
+    width = F.lit(0.0)
+    for name, _, of in ENCODINGS:
+        width = F.when(encoding == name, F.lit(math.log10(len(of)))).otherwise(width)
+    table = F.split(F.lit(",".join(f"{v:.6f}" for v in model.ravel())), ",").cast("array<double>")
+    solid = F.filter(F.split(token, ""), lambda c: (c != "") & (c != "="))
+    places = F.transform(solid, lambda c: F.call_function("instr", F.lit(CHARACTERS), c))
+    terms = let(places, lambda x: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(x, 1, F.size(x) - 1)), x, lambda a, b: F.get(table, a * 66 + b - 1)))
+    return let(terms, lambda t: -total(t) - F.size(t) * width)
+
+
 def rejected_above(tokens: DataFrame, rate: float) -> dict[str, float]:
-    """For each class of tokens (encoding and length) the -log10 p from which Benjamini and Hochberg's rule rejects.
+    """For each class of tokens (encoding and length) the score from which Benjamini and Hochberg's rule rejects.
 
-    tokens: class, score (= -log10 p). P-values are counted in steps of STEP, rounded up, so that the counts are few
+    tokens: class, score (-log10 of a p-value, or log10 of an e-value, for which the rule is the same and holds under
+    any dependence). Scores are counted in steps of STEP, rounded down, so that the counts are few
     whatever the number of tokens; a class that rejects none has no entry.
     """
     counts = tokens.groupBy("class", F.floor(F.col("score") / STEP).alias("step")).agg(F.count(F.lit(1)).alias("c"))
@@ -144,12 +212,15 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     texts without spans have the digest of the empty string and empty spans. A null doc_id stays null. Spans are
     kind:start:end in code points, end exclusive, by start and then kind (assign, access, hex, random).
 
-    A token of 20 or more characters (padding by '=' at its end included) beside the base spans, whose characters fit an encoding (hexadecimal, base 32,
-    36 or 64), is tested against that encoding's alphabet. Within each class of encoding and length (half powers of
-    two, as the tests gain power with length) the false-discovery rate of calling random tokens structured is held to
-    rate over the whole corpus; tokens that are not called so are reported as random.
+    A token of 20 or more characters (padding by '=' at its end included) beside the base spans, whose characters fit an
+    encoding (hexadecimal, base 32, 36 or 64, letters), is tested twice, within its class of encoding and length (half powers of
+    two, as the tests gain power with length), over the whole corpus. First, the randomness battery of its encoding: what it
+    calls structured is out, and the false-discovery rate of calling random tokens structured is held to rate. Second,
+    of what is left the evidence against a name made of words and numbers must be such that names are at most rate of the tokens reported
+    in the class; how names look is learnt from the letter pairs of all words of the corpus.
     """
     text = F.coalesce("text", F.lit(""))
+    model = name_model(letter_pairs(docs.select(text.alias("text"))))
     base = F.concat(*[spans(text, pattern, hint, group, least, kind, rank) for rank, (kind, pattern, hint, group, least) in enumerate(BASE)])
     rows = docs.select("doc_id", F.array_sort(base).alias("base"), spans(text, TOKEN, TOKEN_HINT, 0, 20, "random", len(BASE)).alias("tokens"), text.alias("text"))
     beside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
@@ -157,20 +228,32 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     def classed(t: Column, token: Column, encoding: Column) -> Column:
         band = F.floor(2 * F.log2(F.length(token).cast("double"))).cast("string")
         score = F.when(encoding.isNotNull(), -F.log10(F.greatest(battery(token, encoding), F.lit(1e-40))))
-        return F.struct(t.alias("span"), F.concat_ws("/", encoding, band).alias("class"), score.alias("score"))
+        ratio = F.when(encoding.isNotNull(), evidence(token, encoding, model))
+        return F.struct(t.alias("span"), F.concat_ws("/", encoding, band).alias("class"), score.alias("score"), ratio.alias("evidence"))
 
     def tested(t: Column) -> Column:
         token = F.substring("text", t["start"] + 1, t["end"] - t["start"])
         return let(token, lambda token: let(encoding_of(token), lambda encoding: classed(t, token, encoding)))
 
+    def steps(limits: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map(F.lit(""), F.lit(0.0))
+
+    def stepped(score: Column) -> Column:
+        return F.floor(score / STEP) * STEP
+
     tokens = F.when(F.size("tokens") > 0, F.filter(F.transform(beside, tested), lambda t: t["score"].isNotNull()))
     slim = checkpointed(rows.select("doc_id", "base", tokens.alias("tokens")))
-    limits = rejected_above(slim.select(F.explode("tokens").alias("t")).select("t.class", "t.score"), rate)
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map(F.lit(""), F.lit(0.0))
-    random = F.coalesce(
-        F.transform(F.filter("tokens", lambda t: F.floor(t["score"] / STEP) * STEP < F.coalesce(limit[t["class"]], F.lit(1e9))), lambda t: t["span"]),
-        F.array().cast(f"array<{SPAN}>"),
-    )
+    each = slim.select(F.explode("tokens").alias("t")).select("t.*")
+    uneven = steps(rejected_above(each, rate))
+
+    def even(t: Column) -> Column:
+        return stepped(t["score"]) < F.coalesce(uneven[t["class"]], F.lit(1e9))
+
+    # What the battery calls structured has no evidence left, which keeps the others' ratios e-values.
+    left = F.when(even(F.struct("score", "class")), F.col("evidence")).otherwise(F.lit(-1e6))
+    unlike = steps(rejected_above(each.select("class", left.alias("score")), rate))
+    found = F.filter("tokens", lambda t: even(t) & (stepped(t["evidence"]) >= F.coalesce(unlike[t["class"]], F.lit(1e9)) - STEP / 2))
+    random = F.coalesce(F.transform(found, lambda t: t["span"]), F.array().cast(f"array<{SPAN}>"))
 
     def listed(of: Column) -> Column:
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from riskgrid.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -55,3 +58,77 @@ def test_values_behind_an_equals_sign_are_tokens_of_their_own(spark):
 
 def test_no_rows(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_battery(token, alphabet):
+    from math import erfc, exp, log, sqrt
+
+    x = np.array([alphabet.index(c) for c in token.rstrip("=")], float)
+    n, w = len(x), len(alphabet)
+    counts = np.bincount(x.astype(int), minlength=w)
+    z = [(((counts - n / w) ** 2 / (n / w)).sum() - (w - 1)) / sqrt(2 * (w - 1) * (n - 1) / n)]
+    high = x >= w / 2
+    n1 = int(high.sum())
+    mean = 2 * n1 * (n - n1) / n + 1
+    z.append(((high[1:] != high[:-1]).sum() + 1 - mean) / sqrt(max((mean - 1) * (mean - 2) / (n - 1), 0.25)))
+    d = x - x.mean()
+    z.append(((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9) + 1 / n) * sqrt(n))
+    tail = [erfc(v / sqrt(2)) / 2 for v in z]
+    p = [tail[0]] + [min(2 * (t if v > 0 else 1 - t), 1) for t, v in zip(tail[1:], z[1:])]
+    half = -sum(log(max(v, 1e-30)) for v in p)
+    return exp(-half) * (1 + half + half * half / 2)
+
+
+def made_up(rng, n, of, length):
+    return ["".join(rng.choice(list(of), length)) for _ in range(n)]
+
+
+def test_battery_and_evidence_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    alphabets = {name: of for name, _, of in secrets.ENCODINGS}
+    tokens = [t for of in alphabets.values() for t in made_up(rng, 6, of, int(rng.integers(20, 70)))] + ["getUserAccountById2000", "a" * 40 + "1", "zz9" * 12]
+    model = secrets.name_model(rng.integers(0, 50, (27, 26)).astype(float))
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string").withColumn("encoding", secrets.encoding_of(F.col("token"))).where("encoding is not null")
+    got = frame.select("*", secrets.battery(F.col("token"), F.col("encoding")).alias("p"), secrets.evidence(F.col("token"), F.col("encoding"), model).alias("e")).collect()
+    assert len(got) >= 45
+    for r in got:
+        assert abs(r.p - plain_battery(r.token, alphabets[r.encoding])) < 1e-5
+        at = [0] + [secrets.CHARACTERS.index(c) + 1 for c in r.token]
+        want = -sum(model[a, b - 1] for a, b in zip(at, at[1:])) - len(r.token) * np.log10(len(alphabets[r.encoding]))
+        assert abs(r.e - want) < 1e-3
+
+
+def test_names_model_sums_to_one():
+    assert np.allclose((10 ** secrets.name_model(np.zeros((27, 26)))).sum(axis=1), 1)
+
+
+def test_letter_pairs_are_of_whole_words(spark):
+    got = secrets.letter_pairs(spark.createDataFrame([("ab Ab, x abq9 k_ab abcdefghijklmnopqrstuvwxyz",), ("",)], "text string"))
+    assert got.sum() == 4 and got[0, 0] == 2 and got[1, 1] == 2
+
+
+def test_names_are_at_most_the_rate_of_what_is_reported(spark):
+    """1 000 random tokens of each of four kinds, and 1 000 names each of four styles, made of words of the corpus."""
+    rng = np.random.default_rng(9)
+    words = (
+        "account user value part number revision get set create delete update order status handler factory service request response client server "
+        "customer invoice report template manager builder session network message queue worker thread image document shipping address payment total"
+    ).split()
+
+    def name(style):
+        out = ""
+        while len(out) < 22:
+            w = str(rng.choice(words))
+            out += {0: w.capitalize(), 1: w, 2: w.capitalize() if out else w, 3: w.upper()}[style]
+        return out + (str(rng.integers(1, 9999)) if style != 1 and rng.random() < 0.8 else "")
+
+    names = [name(k) for k in range(4) for _ in range(1000)] + ["getUserAccountById2000", "PartNumberXR500B20Rev3A"]
+    tokens = [t for of in (secrets.CHARACTERS[:62], "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789") for t in made_up(rng, 1000, of, 24)]
+    prose = [" ".join(rng.choice(words, 12)) for _ in range(len(names) + len(tokens))]
+    rows = [(i, f"{p} {t} {p}") for i, (p, t) in enumerate(zip(prose, names + tokens))]
+    got = {r.doc_id: r.n_random for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    false = sum(got[i] for i in range(len(names)))
+    true = sum(got[i] for i in range(len(names), len(rows)))
+    assert got[4000] == got[4001] == 0
+    assert true >= 0.97 * len(tokens)
+    assert false <= 0.05 * (false + true)
