@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 #: Atoms are ranges of the digest of the text; a power of two.
 ATOMS = 1 << 17
-#: Rows of a shard are numbered within so many cells, dealt by a hash of doc_id.
+#: Rows of a shard are numbered within cells, dealt by a hash of doc_id: at least so many, and more where those of the largest shard would hold above CELL_ROWS rows.
 CELLS = 64
+CELL_ROWS = 50_000
+#: The first slots of so many cells (some 3 MB) are broadcast; those of more are joined on the keys by which the cells are shuffled anyway.
+BROADCAST_CELLS = 100_000
 OVERHEAD = 8
 
 
@@ -95,8 +98,8 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
     need, and cuts them under it as even as it can. A group of equal texts above the mean shard size is a shard of its own size, as no law that keeps it whole can
     split it. Rows of equal texts and ids, and those with a null id, are numbered one by one. An empty table gives no rows.
 
-    Slots need no sort of a whole shard: rows are numbered within cells of a shard by a hash of doc_id, and the cells'
-    counts (shards * 64 numbers) give each cell its first slot.
+    Slots need no sort of a whole shard: rows are numbered within cells of a shard by a hash of doc_id, whose number goes
+    with the rows of the largest shard, and the cells' counts give each cell its first slot.
     """
     mine = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_atom", "_cell", "_first"]
     width = 5
@@ -105,19 +108,18 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS) -> DataFrame:
         "text_crc32": F.crc32(F.coalesce("text", F.lit(""))),
         "law": F.lit("bytes"),
         "_atom": F.floor(F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, width), 16, 10).cast("long") * atoms / (1 << 4 * width)).cast("int"),
-        "_cell": F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(CELLS)).cast("int"),
     })
-    rows = base.groupBy("_atom").agg(F.sum("size").alias("s")).orderBy("_atom").collect()  # at most atoms rows
+    rows = base.groupBy("_atom").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("_atom").collect()  # at most atoms rows
     at, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     firsts = [int(at[e]) for e in minimax_cuts(sizes, shards)[:-1]]
-    base = base.withColumn("shard", number_of(F.col("_atom"), firsts).cast("int"))
-    counts = base.groupBy("shard", "_cell").count().collect()  # at most shards * CELLS rows
-    first, offsets = dict.fromkeys(range(shards), 0), []
-    for number, cell, n in sorted(map(tuple, counts)):
-        offsets.append((number, cell, first[number]))
-        first[number] += n
-    offsets = docs.sparkSession.createDataFrame(offsets, "shard int, _cell int, _first long")
+    held = np.bincount(np.searchsorted(np.array(firsts, np.int64), at, side="right"), weights=[r[2] for r in rows], minlength=1)
+    cells = max(CELLS, -(-int(held.max()) // CELL_ROWS))
+    base = base.withColumns({"shard": number_of(F.col("_atom"), firsts).cast("int"), "_cell": F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(cells)).cast("int")})
+    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = base.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("shard", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    offsets = F.broadcast(offsets) if shards * cells <= BROADCAST_CELLS else offsets
     within = Window.partitionBy("shard", "_cell").orderBy("doc_id", "text_crc32", "size")
-    out = base.join(F.broadcast(offsets), ["shard", "_cell"]).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
+    out = base.join(offsets, ["shard", "_cell"]).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
     kept = [c for c in docs.columns if c not in mine]
     return out.select(*kept, "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

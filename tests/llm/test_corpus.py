@@ -310,6 +310,24 @@ def test_shards_are_even_whole_and_numbered(spark):
     assert sharding.shard(docs.limit(0)).count() == 0 and sharding.shard(docs.limit(1)).first()["slot"] == 0
 
 
+def test_slots_of_many_cells(spark, monkeypatch):
+    """Cells follow the rows of the largest shard; their first slots are the same by a join of tables as by a broadcast."""
+    rng = random.Random(18)
+    rows = [(i, prose(rng, rng.randint(0, 30)) if i % 3 else "one text of a third of all rows", "en", "s", 1) for i in range(2000)] + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sharding.shard(docs).toPandas()
+    monkeypatch.setattr(sharding, "CELL_ROWS", 5)
+    slots = []
+    for most in (0, 100_000):
+        monkeypatch.setattr(sharding, "BROADCAST_CELLS", most)
+        got = sharding.shard(docs).toPandas()
+        assert sorted(got["shard"]) == sorted(want["shard"]) and len(got) == len(rows)
+        for _, part in got.groupby("shard"):
+            assert sorted(part["slot"]) == list(range(len(part)))
+        slots.append(got[got["doc_id"].notna()].set_index("doc_id")[["shard", "slot"]].sort_index())
+    assert slots[0].equals(slots[1]) and len(got[got["text"] == rows[0][1]]["shard"].unique()) == 1
+
+
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style><script>var t = "</p>no";</script></head><body>
 <nav><ul><li><a href="/a">Home</a><li><a href="/b">About</a></ul></nav><div class="cookie-banner">We use cookies, accept.</div>
 <article><h1>Caf&eacute; &amp; more</h1><p>First   para\n with <b>bold</b> and <a href=x>link</a>.<p>Second &lt;one&gt; par<br>goes on here.<div class="advert">Buy now, sponsored.</div>
