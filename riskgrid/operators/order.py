@@ -106,13 +106,16 @@ def average_ranks(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataF
     return running(counts, keys, "value", [n]).withColumn("rank", F.col(f"cum_{n}") - (F.col(n) - 1) / 2).drop(f"cum_{n}")
 
 
-def positions(df: DataFrame, strata: Sequence[str], cell: str, ties: Sequence[str], out: str = "position") -> DataFrame:
+def positions(df: DataFrame, strata: Sequence[str], cell: str, ties: Sequence[str], out: str = "position", keep: Sequence[str] | None = None) -> DataFrame:
     """Add out: 1, 2, ... within each stratum in the order of cell (a whole number of few values), then ties.
 
-    Only rows of equal stratum and cell are ordered by one task.
+    Only rows of equal stratum and cell are ordered by one task. df is evaluated once and written with their places there; counts by
+    stratum and cell, and all that reads the result, scan that. keep: the columns wanted besides strata and cell; all, if none are named.
     """
-    counts = df.groupBy(*strata, cell).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*strata).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*strata, cell, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*strata, cell).orderBy(*ties)
-    return df.withColumn(out, F.row_number().over(within)).join(offsets, [*strata, cell]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+    columns = list(dict.fromkeys([*strata, cell, *(df.columns if keep is None else keep)]))
+    placed = once(df.withColumn(out, F.row_number().over(within)).select(*columns, out))
+    counts = placed.groupBy(*strata, cell).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*strata).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = once(counts.select(*strata, cell, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")))  # written, so that its size is known to the join
+    return placed.join(offsets, [*strata, cell]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")

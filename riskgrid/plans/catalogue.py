@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +70,7 @@ def ag1_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ag2_distribution_summary", BOOK + """
 SELECT coalesce(dataset, 'Total') AS dataset, count(*) AS n, CAST(sum(def) AS BIGINT) AS n_def, round(avg(def), 6) AS default_rate FROM book GROUP BY ROLLUP (dataset)""")
 def ag2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.distribution_summary(loan_book(spark, sf_dir))
+    return summaries.distribution_summary(loan_book(spark, sf_dir, []))
 
 
 @query("ag3_defaults_per_year", BOOK + "SELECT year, count(*) AS n, CAST(sum(def) AS BIGINT) AS n_def, round(avg(def), 6) AS default_rate FROM loans GROUP BY year")
@@ -140,11 +140,12 @@ def ag11(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT dataset, variable, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1,
   round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max FROM x GROUP BY 1, 2""")
 def ag12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.describe(loan_book(spark, sf_dir), [*CONTINUOUS, "emp_like"], ["dataset"])
+    return summaries.describe(loan_book(spark, sf_dir, [*CONTINUOUS, "emp_like"]), [*CONTINUOUS, "emp_like"], ["dataset"])
 
 
-def fixed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loan_book(spark, sf_dir).withColumn("s", (6 * F.col("l_quantity") + 1500 * F.col("l_discount")) / 500)
+def fixed_score(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ()) -> DataFrame:
+    """The loan book's score s and dataset, with these columns of lines()."""
+    return loan_book(spark, sf_dir, [*columns, "l_quantity", "l_discount"]).withColumn("s", (6 * F.col("l_quantity") + 1500 * F.col("l_discount")) / 500)
 
 
 @query("ag13_scored_profile", SCORED + "SELECT dataset, count(*) AS n, round(min(s), 6) AS min_score, round(avg(s), 6) AS mean_score, round(max(s), 6) AS max_score, round(avg(def), 6) AS default_rate FROM scored GROUP BY 1")
@@ -241,7 +242,7 @@ ving AS (SELECT rk.*, 1 + len(list_filter(ed, lambda x: x < rk)) AS score_vingti
 
 @query("bn6_vingtiles", SCORED + VINGTILE.format(score="s", rows="scored") + "SELECT k1, k2, k3, k4, round(k5, 6) AS k5, score_vingtile FROM ving")
 def bn6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.vingtiles(fixed_score(spark, sf_dir), "s", KEYS).select(*KEYS, "score_vingtile")
+    return binning.vingtiles(fixed_score(spark, sf_dir, KEYS), "s", KEYS).select(*KEYS, "score_vingtile")
 
 
 @query("dp1_bounds_table", BOOK + f", x AS ({stacked('loans', CONTINUOUS, '', 'DOUBLE')}) SELECT variable, round(quantile_cont(value, 0.01), 6) AS lower, round(quantile_cont(value, 0.99), 6) AS upper FROM x GROUP BY 1")
@@ -256,7 +257,7 @@ w AS (SELECT book.*, CASE WHEN emp_like < a - 1.5 * (b - a) THEN a - 1.5 * (b -
 SELECT k1, k2, k3, k4, round(k5, 6) AS k5, round(e2, 6) AS emp_like, round(p2, 6) AS l_extendedprice FROM w""")
 def dp2(spark: SparkSession, sf_dir: str) -> DataFrame:
     # bounds from a narrow part of the training sample, so that many rows are clipped
-    book = loan_book(spark, sf_dir).withColumn("part", F.when((F.col("dataset") == "Train") & F.col("l_quantity").between(10, 20), "Train").otherwise("rest"))
+    book = loan_book(spark, sf_dir, [*KEYS, "emp_like", "l_extendedprice", "l_quantity"]).withColumn("part", F.when((F.col("dataset") == "Train") & F.col("l_quantity").between(10, 20), "Train").otherwise("rest"))
     return preparation.winsorize(book.withColumn("emp_like", F.col("emp_like").cast("double")), ["emp_like", "l_extendedprice"], "part").select(*KEYS, "emp_like", "l_extendedprice")
 
 
@@ -264,7 +265,7 @@ def dp2(spark: SparkSession, sf_dir: str) -> DataFrame:
 , q AS (SELECT quantile_cont(rate_like, 0.5) AS m FROM book WHERE dataset = 'Train')
 SELECT k1, k2, k3, k4, round(k5, 6) AS k5, CAST(emp_like IS NULL AS BIGINT) AS emp_like_missing, CAST(rate_like IS NULL AS BIGINT) AS rate_like_missing, round(coalesce(emp_like, 0), 6) AS emp_like, round(coalesce(rate_like, m), 6) AS rate_like FROM book, q""")
 def dp3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loan_book(spark, sf_dir).withColumn("emp_like", F.col("emp_like").cast("double"))
+    book = loan_book(spark, sf_dir, [*KEYS, "emp_like", "rate_like"]).withColumn("emp_like", F.col("emp_like").cast("double"))
     return preparation.impute(book, {"emp_like": 0.0}, ["rate_like"]).select(*KEYS, "emp_like_missing", "rate_like_missing", "emp_like", "rate_like")
 
 
@@ -298,7 +299,7 @@ def pr1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("io8_folds_written_and_read", BOOK + "SELECT CAST(f AS BIGINT) AS fold, count(*) FILTER (WHERE fold <> f) AS n_train, CAST(sum(def) FILTER (WHERE fold <> f) AS BIGINT) AS d_train, count(*) FILTER (WHERE fold = f) AS n_valid, CAST(sum(def) FILTER (WHERE fold = f) AS BIGINT) AS d_valid FROM book, range(4) AS t(f) GROUP BY f")
 def io8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.scratch(spark, "folds")
-    files.save_folds(loan_book(spark, sf_dir).select("def", "fold"), folder)
+    files.save_folds(loan_book(spark, sf_dir, []).select("def", "fold"), folder)
     out = []
     for i, (train, valid) in files.load_folds(spark, folder).items():
         sides = [side.agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum("def").alias(f"d_{name}")) for side, name in ((train, "train"), (valid, "valid"))]
@@ -393,7 +394,8 @@ def ps6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ps7_psi_between_samples", BOOK + psi(SAMPLES, ["l_extendedprice", "l_quantity", "c_acctbal"], ["c_mktsegment", "o_orderpriority"], "dataset", 10) + "SELECT ref, curr, variable, round(psi, 6) AS psi FROM psis")
 def ps7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stability.psi(loan_book(spark, sf_dir), "dataset", SAMPLES, ["l_extendedprice", "l_quantity", "c_acctbal"], ["c_mktsegment", "o_orderpriority"])
+    continuous, qualitative = ["l_extendedprice", "l_quantity", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]
+    return stability.psi(loan_book(spark, sf_dir, [*continuous, *qualitative]), "dataset", SAMPLES, continuous, qualitative)
 
 
 WOE = """
@@ -429,7 +431,7 @@ def wo1_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sm_stratified_positions", BOOK + "SELECT k1, k2, k3, k4, round(k5, 6) AS k5, CAST(fold AS BIGINT) AS fold, dataset FROM book")
 def sm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loan_book(spark, sf_dir).select(*KEYS, "fold", "dataset")
+    return loan_book(spark, sf_dir, KEYS).select(*KEYS, "fold", "dataset")
 
 
 STRATUM = BOOK + ", x AS (SELECT def, year, count(*) AS n FROM loans GROUP BY 1, 2) "
@@ -437,13 +439,13 @@ STRATUM = BOOK + ", x AS (SELECT def, year, count(*) AS n FROM loans GROUP BY 1,
 
 @query("sm1_stratified_split", STRATUM + "SELECT CAST(def AS BIGINT) AS def, CAST(year AS BIGINT) AS year, n, CAST(floor(n * 0.2) AS BIGINT) AS n_test FROM x")
 def sm1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = folds.stratified_split(lines(spark, sf_dir), ["def", "year"], KEYS)
+    split = folds.stratified_split(lines(spark, sf_dir).select("def", "year", *KEYS), ["def", "year"], KEYS)
     return split.groupBy("def", "year").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_test"), 1)).alias("n_test"))
 
 
 for first in (0, 1):
     query(f"sm{2 + first}_stratified_folds_from_{first}", STRATUM + f"SELECT CAST(def AS BIGINT) AS def, CAST(year AS BIGINT) AS year, CAST(f + {first} AS BIGINT) AS fold, CAST((n - f + 3) // 4 AS BIGINT) AS n FROM x, range(4) AS t(f)")(
-        lambda spark, sf_dir, first=first: folds.stratified_folds(lines(spark, sf_dir), 4, ["def", "year"], KEYS, first).groupBy("def", "year", "fold").agg(F.count(F.lit(1)).alias("n"))
+        lambda spark, sf_dir, first=first: folds.stratified_folds(lines(spark, sf_dir).select("def", "year", *KEYS), 4, ["def", "year"], KEYS, first).groupBy("def", "year", "fold").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -472,12 +474,12 @@ def fold_obs(columns: list[str], level: str, kind: str) -> str:
 
 @query("vs1_keep_associated", BOOK + LEFT + fold_obs(MIXED, "def", "DOUBLE") + KRUSKAL + f"SELECT split_part(key, '/', 1) AS variable, max({sql_log10p('h', 'df')}) AS log10_p, max({sql_log10p('h', 'df')}) < log10(0.05) AS kept FROM kw GROUP BY 1")
 def vs1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.keep_associated(loan_book(spark, sf_dir), MIXED, "def", IDS).select("variable", log10p("worst_p").alias("log10_p"), "kept")
+    return selection.keep_associated(loan_book(spark, sf_dir, MIXED), MIXED, "def", IDS).select("variable", log10p("worst_p").alias("log10_p"), "kept")
 
 
 @query("vs2_keep_categorical", BOOK + LEFT + fold_obs(CATEGORICAL, "def", "VARCHAR") + CHI2 + "SELECT split_part(key, '/', 1) AS variable, round(avg(vc), 6) AS mean_v, min(vc) >= 0.1 AS kept FROM vs GROUP BY 1")
 def vs2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.keep_categorical(loan_book(spark, sf_dir), CATEGORICAL, "def", IDS).select("variable", "mean_v", "kept")
+    return selection.keep_categorical(loan_book(spark, sf_dir, CATEGORICAL), CATEGORICAL, "def", IDS).select("variable", "mean_v", "kept")
 
 
 @query("vs4_drop_correlated", BOOK + LEFT + ", mix AS (SELECT *, l_quantity + l_tax * 50 AS q_tax, l_quantity * 2 + u % 7 AS q_noise FROM parts)" + fold_obs(["l_quantity", "q_tax", "q_noise"], "def", "DOUBLE").replace("FROM parts", "FROM mix") + KRUSKAL + """
@@ -488,7 +490,7 @@ kp AS (SELECT key, """ + sql_chi2_sf("h", "df") + """ AS p FROM kw),
 gone AS (SELECT CASE WHEN kb.p > ka.p THEN b ELSE a END AS v FROM pr JOIN kp ka ON ka.key = a || '/' || i JOIN kp kb ON kb.key = b || '/' || i)
 SELECT variable, variable NOT IN (SELECT v FROM gone) AS kept FROM (VALUES ('l_quantity'), ('q_tax'), ('q_noise')) AS t(variable)""")
 def vs4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loan_book(spark, sf_dir).withColumns({"q_tax": F.col("l_quantity") + F.col("l_tax") * 50, "q_noise": F.col("l_quantity") * 2 + F.col("u") % 7})
+    book = loan_book(spark, sf_dir, ["l_quantity", "l_tax"]).withColumns({"q_tax": F.col("l_quantity") + F.col("l_tax") * 50, "q_noise": F.col("l_quantity") * 2 + F.col("u") % 7})
     return selection.drop_correlated(book, ["l_quantity", "q_tax", "q_noise"], "def", IDS).select("variable", "kept")
 
 
@@ -500,7 +502,7 @@ SELECT variable, NOT ((SELECT hi FROM m WHERE w = 'p') >= 0.5 AND variable = CAS
 FROM (VALUES ('o_orderpriority'), ('p3'), ('c_mktsegment')) AS t(variable)""")
 def vs5(spark: SparkSession, sf_dir: str) -> DataFrame:
     p3 = F.coalesce(scalar.mapped(F.col("o_orderpriority"), {"1-URGENT": "u", "5-LOW": "l"}), F.lit("m"))
-    return selection.drop_correlated_categorical(loan_book(spark, sf_dir).withColumn("p3", p3), ["o_orderpriority", "p3", "c_mktsegment"], "def", IDS).select("variable", "kept")
+    return selection.drop_correlated_categorical(loan_book(spark, sf_dir, ["o_orderpriority", "c_mktsegment"]).withColumn("p3", p3), ["o_orderpriority", "p3", "c_mktsegment"], "def", IDS).select("variable", "kept")
 
 
 # --- metrics ----------------------------------------------------------------------------------------------------
@@ -536,9 +538,9 @@ MODEL = {
 }
 
 
-def modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan book with the fixed model's variables; d3 is missing where rate_like is."""
-    book = loan_book(spark, sf_dir)
+def modalities(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ()) -> DataFrame:
+    """The loan book with the fixed model's variables and these columns of lines(); d3 is missing where rate_like is."""
+    book = loan_book(spark, sf_dir, [*columns, "l_quantity", "rate_like", "l_linestatus", "c_mktsegment"])
     book = binning.apply_cutoffs(book, "l_quantity", [17, 34, 50], "q3", ["1", "2", "3"])
     book = binning.apply_cutoffs(book, "rate_like", [0.03, 0.07, 0.1], "d3", ["1", "2", "3"])
     return book.withColumn("seg3", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_mktsegment")).otherwise("REST"))
@@ -560,7 +562,7 @@ scored AS (SELECT *, round(pq + pd + pl + ps, 6) AS st FROM pts)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.score(modalities(spark, sf_dir), MODEL).withColumn("score_total", F.round("score_total", 6))
+    return scorecard.score(modalities(spark, sf_dir, KEYS), MODEL).withColumn("score_total", F.round("score_total", 6))
 
 
 @query("sc2_points", """
@@ -577,7 +579,7 @@ def sc3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lm16_probability", MODAL + "SELECT k1, k2, k3, k4, round(k5, 6) AS k5, round(1 / (1 + exp(-margin)), 6) AS probability FROM scored")
 def lm16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.probability(modalities(spark, sf_dir), MODEL).select(*KEYS, "probability")
+    return scorecard.probability(modalities(spark, sf_dir, KEYS), MODEL).select(*KEYS, "probability")
 
 
 @query("lm17_evaluate_model", MODAL.replace("scored AS", "scored0 AS") + ", scored AS (SELECT *, 1 / (1 + exp(-margin)) AS p, round(margin, 9) AS s FROM scored0)" + CURVE + """
@@ -669,7 +671,7 @@ def sc11(spark: SparkSession, sf_dir: str) -> DataFrame:
 , t AS (SELECT o_orderpriority AS p, sum(def) AS d, count(*) - sum(def) AS g FROM book WHERE dataset = 'Train' GROUP BY 1), ref AS (SELECT p AS rp, d AS rd, g AS rg FROM t ORDER BY d / (d + g), p LIMIT 1)
 SELECT p AS modality, round(ln((d / g) / (rd / rg)), 6) AS coefficient, round(ln(rd / rg), 6) AS intercept FROM t, ref WHERE p <> rp""")
 def lm_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = logit.search(loan_book(spark, sf_dir), ["o_orderpriority"])
+    found = logit.search(loan_book(spark, sf_dir, ["o_orderpriority"]), ["o_orderpriority"])
     return found.select(F.explode("coefficients").alias("modality", "coefficient"), "intercept").withColumn("modality", F.substring_index("modality", "=", -1))
 
 
@@ -681,11 +683,12 @@ def lm1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lm11_model_search", None)
 def lm11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logit.search(modalities(spark, sf_dir).withColumn("d3", scalar.as_modality(F.col("d3"))), ["q3", "d3", "seg3", "l_linestatus", "o_orderpriority"])
+    return logit.search(modalities(spark, sf_dir, ["o_orderpriority"]).withColumn("d3", scalar.as_modality(F.col("d3"))), ["q3", "d3", "seg3", "l_linestatus", "o_orderpriority"])
 
 
 @query("e2e_scorecard_pipeline", None)
 def e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = loan_book(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "emp_like", "rate_like", "l_extendedprice")})
+    numbers = ["l_quantity", "emp_like", "rate_like", "l_extendedprice"]
+    book = loan_book(spark, sf_dir, [*KEYS, *numbers, "l_linestatus", "o_orderpriority"]).withColumns({c: F.col(c).cast("double") for c in numbers})
     made = scorecard_of(book, ["l_quantity", "rate_like", "l_extendedprice"], ["l_linestatus", "o_orderpriority"], KEYS, {"emp_like": 0.0}, ["rate_like"], IDS)
     return made.classes

@@ -32,7 +32,7 @@ llr AS (SELECT variable, 2 * (sum(s * ln(s / n) + (n - s) * ln(1 - s / n)) - (su
 
 
 def single_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logit.search(modalities(spark, sf_dir).withColumn("q3_line", F.concat_ws("/", "q3", "l_linestatus")), SINGLE, [1])
+    return logit.search(modalities(spark, sf_dir, ["o_orderpriority"]).withColumn("q3_line", F.concat_ws("/", "q3", "l_linestatus")), SINGLE, [1])
 
 
 @query("lm5_single_model_checks", CELLS + f"""
@@ -83,7 +83,7 @@ subset(model, variable) AS (VALUES """ + ", ".join(f"('{'+'.join(c)}', '{v}')" f
 SELECT model, variable, m AS modality, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS events, round(CAST(s AS DOUBLE), 4) AS fitted FROM subset JOIN cell USING (variable)""")
 def lm2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expected events of each modality of each fitted model, which at the maximum of the likelihood, and only there, are the observed ones."""
-    book = modalities(spark, sf_dir).withColumns({v: scalar.as_modality(F.col(v)) for v in CANDIDATES})
+    book = modalities(spark, sf_dir, ["o_orderpriority"]).withColumns({v: scalar.as_modality(F.col(v)) for v in CANDIDATES})
     train = book.where("dataset = 'Train'")
     found = models.found_models(logit.search(book, CANDIDATES, [1, 2, 3]), logit.reference_modalities(train, CANDIDATES))
     rated = models.score_all(train.groupBy(*CANDIDATES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("def").cast("long")).alias("events")), found)
@@ -103,7 +103,7 @@ UNION ALL SELECT k1, k2, k3, k4, round(k5, 6), 'second', round(1000 * (CASE q3 W
 def lm15(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "models")
     models.save_models(models.model_rows(spark, {"first": MODEL, "second": SECOND}), path)
-    return models.score_all(modalities(spark, sf_dir), models.load_models(spark, path)).select(*KEYS, "model", "score_total", "missing_any", "probability")
+    return models.score_all(modalities(spark, sf_dir, KEYS), models.load_models(spark, path)).select(*KEYS, "model", "score_total", "missing_any", "probability")
 
 
 def spread(v: str, points: dict[str, float]) -> str:

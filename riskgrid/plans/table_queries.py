@@ -104,7 +104,7 @@ def lm17_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("me3_area_of_short_roc_of_many_scores", BOOK + ", scored AS (SELECT *, l_extendedprice AS s FROM book)" + CURVE + """
 SELECT dataset, round(sum((n - e) * (tp - e / 2.0)) / (any_value(pos) * any_value(neg)), 6) AS auc FROM cur GROUP BY dataset""")
 def me3_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.area(metrics.short_roc(loan_book(spark, sf_dir), "l_extendedprice", by=["dataset"]), ["dataset"]).drop("points")
+    return metrics.area(metrics.short_roc(loan_book(spark, sf_dir, ["l_extendedprice"]), "l_extendedprice", by=["dataset"]), ["dataset"]).drop("points")
 
 
 SELECTED, SELECTED_TEXT = ["l_quantity", "q_noise", "l_tax", "q_tax", "key_noise"], ["o_orderpriority", "c_mktsegment", "l_linestatus", "p3", "o_orderstatus"]
@@ -131,5 +131,5 @@ SELECT 'continuous' AS kind, variable, associated, associated AND variable NOT I
 UNION ALL SELECT 'categorical', variable, associated, associated AND variable NOT IN (SELECT v FROM gone2) FROM k2""")
 def vs_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     p3 = F.coalesce(scalar.mapped(F.col("o_orderpriority"), {"1-URGENT": "u", "5-LOW": "l"}), F.lit("m"))
-    book = loan_book(spark, sf_dir).withColumns({"def_year": F.concat_ws("_", "def", "year"), "q_noise": F.col("l_quantity") * 2 + F.col("u") % 7, "q_tax": F.col("l_quantity") + F.col("l_tax") * 50, "key_noise": F.col("k3") % 97, "p3": p3})
+    book = loan_book(spark, sf_dir, ["k3", "l_quantity", "l_tax", "o_orderpriority", "c_mktsegment", "l_linestatus", "o_orderstatus"]).withColumns({"def_year": F.concat_ws("_", "def", "year"), "q_noise": F.col("l_quantity") * 2 + F.col("u") % 7, "q_tax": F.col("l_quantity") + F.col("l_tax") * 50, "key_noise": F.col("k3") % 97, "p3": p3})
     return selection.select(book, SELECTED, SELECTED_TEXT, IDS).decisions.drop("place")
