@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import once
 from .binning import displayed_edges, edges_of, place
 from .order import melted
 
@@ -36,8 +37,9 @@ def woe_table(df: DataFrame, variables: Sequence[str], target: str = "def", bins
 
     Groups are quantile bins or the raw values; woe = ln(share of events / share of non-events), so that above 0 is riskier;
     iv is the group's part. upper is the bin's upper edge as displayed (see binning.displayed_edges), null for raw
-    values. Missing values don't count.
+    values. Missing values don't count. df is evaluated once and its target and variables are written, as edges take several passes.
     """
+    df = once(df.select(*dict.fromkeys([target, *variables])))
     edges = fitted_edges(df, variables, bins)
     groups, uppers = [], []
     for v in variables:
