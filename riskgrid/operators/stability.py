@@ -17,28 +17,28 @@ def pairs_of(samples: Sequence[object]) -> list[tuple[str, str]]:
     return [(str(a), str(b)) for a, b in zip(samples, samples[1:])]
 
 
-def bin_of(value: Column, edges: Column, most: int) -> Column:
-    """The number of the right-closed bin (a, b] between distinct ascending edges, at most `most` of them; null at or below the first and above the last.
+def bin_of(value: Column, edges: Sequence[float]) -> Column:
+    """The number of the right-closed bin (a, b] between distinct ascending edges; null at or below the first and above the last.
 
     So the least value of the reference sample falls in no bin, as in the index that is reproduced here.
     """
     above = F.lit(0)
-    for j in range(most):
-        above = above + F.when(F.get(edges, F.lit(j)) < value, 1).otherwise(0)
-    return F.when((above >= 1) & (above < F.size(edges)), above)
+    for e in edges:
+        above = above + F.when(F.lit(e) < value, 1).otherwise(0)
+    return F.when((above >= 1) & (above < len(edges)), above)
 
 
-def compared(df: DataFrame, sample: str, pairs: Sequence[tuple[str, str]], columns: Sequence[str], kind: str) -> DataFrame:
-    """Each row once for each pair its sample is in: (ref, curr, is_ref, variable, value)."""
+def compared(counts: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Each count (_sample, ..., n) once for each pair its sample is in: (ref, curr, is_ref, ..., n)."""
     sides = F.array(*[F.struct(F.lit(a).alias("ref"), F.lit(b).alias("curr"), F.lit(side == a).alias("is_ref"), F.lit(side).alias("_s")) for a, b in pairs for side in (a, b)])
-    long = melted(df.withColumn("_sample", F.col(sample).cast("string")), columns, ["_sample"], kind).where("value is not null")
+    rest = [c for c in counts.columns if c != "_sample"]
     mine = F.filter(sides, lambda s: s["_s"] == F.col("_sample"))
-    return long.select("variable", "value", F.explode(mine).alias("p")).select("p.ref", "p.curr", "p.is_ref", "variable", "value")
+    return counts.select(*rest, F.explode(mine).alias("p")).select("p.ref", "p.curr", "p.is_ref", *rest)
 
 
 def shares(rows: DataFrame) -> DataFrame:
-    """(ref, curr, variable, bin, r, c) shares of both samples per bin, from rows with a bin."""
-    counts = rows.groupBy("ref", "curr", "variable", "bin").agg(F.count(F.when(F.col("is_ref"), 1)).alias("_r"), F.count(F.when(~F.col("is_ref"), 1)).alias("_c"))
+    """(ref, curr, variable, bin, r, c) shares of both samples per bin, from counts (ref, curr, is_ref, variable, bin, n)."""
+    counts = rows.groupBy("ref", "curr", "variable", "bin").agg(F.sum(F.when(F.col("is_ref"), F.col("n")).otherwise(0)).alias("_r"), F.sum(F.when(~F.col("is_ref"), F.col("n")).otherwise(0)).alias("_c"))
     totals = counts.groupBy("ref", "curr", "variable").agg(F.sum("_r").alias("_rn"), F.sum("_c").alias("_cn"))
     joined = counts.join(totals, ["ref", "curr", "variable"])
     return joined.select("ref", "curr", "variable", "bin", F.try_divide(F.col("_r").cast("double"), F.col("_rn")).alias("r"), F.try_divide(F.col("_c").cast("double"), F.col("_cn")).alias("c"))
@@ -52,14 +52,23 @@ def psi_of(table: DataFrame) -> DataFrame:
 
 
 def binned_shares(df: DataFrame, sample: str, pairs: Sequence[tuple[str, str]], continuous: Sequence[str], bins: int) -> DataFrame:
-    """shares() of continuous variables in the quantile bins of each pair's reference sample."""
-    rows = compared(df, sample, pairs, continuous, "double")
-    keys = ["ref", "curr", "variable"]
-    refs = sorted({a for a, _ in pairs})
-    long = melted(df.select(F.col(sample).cast("string").alias("ref"), *continuous).where(F.col("ref").isin(refs)), continuous, ["ref"])
+    """shares() of continuous variables in the quantile bins of each pair's reference sample.
+
+    Edges are numbers on the driver. Rows are counted by their bins of all reference samples, of which a variable has no more
+    combinations than edges, before a count is repeated for the pairs.
+    """
+    refs, keys = sorted({a for a, _ in pairs}), ["ref", "curr", "variable"]
+    rows = df.select(F.col(sample).cast("string").alias("_sample"), *continuous)
+    long = melted(rows.where(F.col("_sample").isin(refs)).withColumnRenamed("_sample", "ref"), continuous, ["ref"])
     own = quantiles(long, ["ref", "variable"], [k / bins for k in range(bins + 1)]).select("ref", "variable", F.array_distinct("q").alias("_edges"))
-    edges = own.join(F.broadcast(df.sparkSession.createDataFrame(pairs, "ref string, curr string")), "ref")  # a row per pair
-    placed = rows.join(F.broadcast(edges), keys).withColumn("bin", bin_of(F.col("value"), F.col("_edges"), bins + 1).cast("string")).where("bin is not null")
+    found = own.collect()  # a row per reference sample and variable
+    at = {(r["ref"], r["variable"]): r["_edges"] for r in found}
+    each = [F.struct(F.lit(v).alias("variable"), *[(bin_of(F.col(v).cast("double"), at[a, v]) if (a, v) in at else F.lit(None).cast("int")).alias(f"b{k}") for k, a in enumerate(refs)]) for v in continuous]
+    counts = rows.select("_sample", F.explode(F.array(*each)).alias("p")).groupBy("_sample", "p.variable", *[f"p.b{k}" for k in range(len(refs))]).agg(F.count(F.lit(1)).alias("n"))
+    paired = compared(counts, pairs)
+    number = F.coalesce(*[F.when(F.col("ref") == a, F.col(f"b{k}")) for k, a in enumerate(refs)])
+    placed = paired.select(*keys, "is_ref", "n", number.cast("string").alias("bin")).where("bin is not null")
+    edges = df.sparkSession.createDataFrame(found, own.schema).join(F.broadcast(df.sparkSession.createDataFrame(pairs, "ref string, curr string")), "ref")  # a row per pair
     known = edges.select(*keys, F.explode(F.sequence(F.lit(1), F.size("_edges") - 1).cast("array<string>")).alias("bin"))
     return known.join(shares(placed), [*keys, "bin"], "left").fillna(0.0, ["r", "c"])
 
@@ -74,7 +83,8 @@ def psi(df: DataFrame, sample: str, pairs: Sequence[tuple[str, str]], continuous
     if continuous:
         tables.append(binned_shares(df, sample, pairs, continuous, bins))
     if qualitative:
-        tables.append(shares(compared(df, sample, pairs, qualitative, "string").withColumnRenamed("value", "bin")))
+        long = melted(df.withColumn("_sample", F.col(sample).cast("string")), qualitative, ["_sample"], "string").where("value is not null")
+        tables.append(shares(compared(long.groupBy("_sample", "variable", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n")), pairs)))
     table = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
     if on_empty == "raise":
         bad = table.where("r = 0 or c = 0").select("variable", "ref", "curr", "bin").limit(20).collect()
