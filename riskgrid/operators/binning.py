@@ -153,7 +153,7 @@ def keys_at(rows: DataFrame, row_key: Sequence[str], wanted: Sequence[tuple[floa
 
     Rows are counted in cells of the first key column where that is a number, and only the cells that hold a wanted place are ordered.
     """
-    rows = rows.where(F.col("_s").isin(sorted({s for s, _ in wanted})))
+    rows = once(rows.where(F.col("_s").isin(sorted({s for s, _ in wanted}))))
     numeric = isinstance(rows.schema[row_key[0]].dataType, NumericType)
     placed = cells(rows, ["_s"], row_key[0]) if numeric else rows.withColumn("_cell", F.lit(0))
     before = Window.partitionBy("_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -168,11 +168,11 @@ def keys_at(rows: DataFrame, row_key: Sequence[str], wanted: Sequence[tuple[floa
 def vingtiles(df: DataFrame, score: str, row_key: Sequence[str], bins: int = 20, out: str = "score_vingtile") -> DataFrame:
     """Add out: the bin of a row's rank by score, ties in the order of row_key; null for a null score.
 
-    df is evaluated once and written (select what is needed before). Counts by score tell the score at each of the
+    df is read for the counts, for the keys at the edges and for the result, and is not written: give it written (sources.files.once) if it
+    takes more than a scan. Counts by score tell the score at each of the
     bins - 1 inner edges, and of a score that an edge parts, the row_key at the edge is looked up; every row is then binned by
     comparing its score and row_key with at most bins - 1 of them. Rows that are equal in both share a bin.
     """
-    df = once(df)
     value = F.col(score).cast("double")
     slim = df.where(F.col(score).isNotNull()).select(value.alias("_s"), *row_key)
     upto = running(slim.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")), [], "_s", ["_n"])
