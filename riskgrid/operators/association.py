@@ -14,6 +14,10 @@ from .order import average_ranks, melted
 from .summaries import contingency
 
 
+#: A table of at most so many values of a variable (some 30 MB with a rank for each of four folds) is sent to every task.
+BROADCAST_VALUES = 500_000
+
+
 def value_counts(df: DataFrame, variables: Sequence[str], target: str, keep: Sequence[str] = (), kind: str = "double") -> DataFrame:
     """(keep..., variable, value, level, n): counts of each variable's values by the target's levels, in one shuffle.
 
@@ -35,7 +39,7 @@ def kruskal_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     H uses average ranks and the correction for ties. Fewer than two levels, or values that are all equal, give nulls.
     """
-    keys = list(keys)
+    keys, counts = list(keys), once(counts)  # read for the ranks and for the levels
     values = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     ranks = average_ranks(values, keys).withColumn("n", F.col("n").cast("double"))
     whole = ranks.groupBy(*keys).agg(F.sum("n").alias("_all"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("_ties"))
@@ -59,7 +63,7 @@ def chi2_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     Cells that don't occur count as 0: their share of the statistic is what is left of n after the expected counts of the
     others. A 2 x 2 table gets the continuity correction, for which its four cells are named. One row or column gives nulls.
     """
-    keys = list(keys)
+    keys, counts = list(keys), once(counts)  # read for both margins and for the cells
     a = counts.groupBy(*keys, "value").agg(F.sum("n").alias("_a"))
     b = counts.groupBy(*keys, "level").agg(F.sum("n").alias("_b"))
     whole = a.groupBy(*keys).agg(F.sum("_a").cast("double").alias("n"), F.count(F.lit(1)).alias("rows"))
@@ -120,16 +124,30 @@ def contingency_analysis(df: DataFrame, a: str, b: str, normalize: str = "index"
     return contingency_test(rows, a, b), table
 
 
+def looked_up(rows: DataFrame, variables: Sequence[str], table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """rows with <c>_<v> for each variable v, a double, and each further column c of table (keys..., variable, value, c...): what the table says of v's value; null if nothing.
+
+    A variable of at most BROADCAST_VALUES values has its part of the table sent to every task, so its rows stay where they are; by others
+    rows are dealt once each, without being repeated for the variables.
+    """
+    table, keys = once(table), list(keys)
+    more = [c for c in table.columns if c not in (*keys, "variable", "value")]
+    sizes = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}  # a row a variable
+    for v in variables:
+        own = table.where(F.col("variable") == v).select(*keys, F.col("value").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in more])
+        rows = rows.join(F.broadcast(own) if sizes.get(v, 0) <= BROADCAST_VALUES else own, [*keys, v], "left")
+    return rows
+
+
 def ranked(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., variables...): each variable replaced by its average rank within keys. Rows without any value are left out.
 
-    All variables are ranked, and joined with their ranks, as one table of (row, variable, value).
+    Values are counted and ranked in one table for all variables, which each variable's column then looks up (see looked_up).
     """
-    rows = once(df.select(*keys, *variables).withColumn("_row", F.monotonically_increasing_id()))  # a row keeps its number
-    long = melted(rows, variables, [*keys, "_row"]).where("value is not null")
-    ranks = average_ranks(long.groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n")), [*keys, "variable"]).select(*keys, "variable", "value", "rank")
-    back = long.join(ranks, [*keys, "variable", "value"]).groupBy(*keys, "_row")
-    return back.agg(*[F.max(F.when(F.col("variable") == v, F.col("rank"))).alias(v) for v in variables]).drop("_row")
+    rows = once(df.select(*keys, *[F.col(v).cast("double").alias(v) for v in variables]))
+    counts = melted(rows, variables, keys).where("value is not null").groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = looked_up(rows, variables, average_ranks(counts, [*keys, "variable"]).select(*keys, "variable", "value", "rank"), keys)
+    return found.dropna("all", subset=[f"rank_{v}" for v in variables]).select(*keys, *[F.col(f"rank_{v}").alias(v) for v in variables])
 
 
 def correlation_matrix(df: DataFrame, variables: Sequence[str], method: str = "pearson", by: Sequence[str] = (), percent: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import V_STRENGTHS, class_of
 from ..sources.files import once
-from .association import chi2_of, correlation_matrix, cramers, kruskal_of, pair_counts, value_counts, without_fold
+from .association import chi2_of, correlation_matrix, cramers, kruskal_of, looked_up, pair_counts, value_counts, without_fold
 from .order import average_ranks, melted
 
 
@@ -65,30 +65,31 @@ def kept_after(order: DataFrame, dropped: DataFrame) -> DataFrame:
 def spearman_by_fold(df: DataFrame, variables: Sequence[str], folds: Sequence[int], fold: str = "fold") -> DataFrame:
     """(left_out, a, b, r) over the rows outside each fold, for variables without missing values.
 
-    A value's ranks outside every fold come from one table of counts and are joined to the rows once, as a map by fold; no row
-    is repeated for a fold.
+    A value's ranks outside every fold come from one table of counts, which rows look up (see association.looked_up); no row is
+    repeated for a fold or a variable.
     """
-    rows = once(df.select(F.col(fold).alias("_fold"), *variables).withColumn("_row", F.monotonically_increasing_id()))  # a row keeps its number
-    long = melted(rows, variables, ["_fold", "_row"])
-    counts = long.groupBy("_fold", "variable", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(""))
-    ranks = average_ranks(without_fold(counts, folds, "_fold").groupBy("left_out", "variable", "value").agg(F.sum("n").alias("n")), ["left_out", "variable"])
-    by_value = ranks.groupBy("variable", "value").agg(F.map_from_entries(F.collect_list(F.struct("left_out", "rank"))).alias("ranks"))  # an entry a fold
-    wide = long.join(by_value, ["variable", "value"]).groupBy("_row", "_fold").agg(*[F.first(F.when(F.col("variable") == v, F.col("ranks")), True).alias(v) for v in variables])
-    pairs = [(a, b, i) for k, a in enumerate(variables) for b in variables[k + 1 :] for i in folds]
+    rows = df.select(F.col(fold).alias("_fold"), *[F.col(v).cast("double").alias(v) for v in variables])
+    counts = melted(rows, variables, ["_fold"]).groupBy("_fold", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = average_ranks(without_fold(counts, folds, "_fold"), ["left_out", "variable"])
+    by_value = ranks.groupBy("variable", "value").agg(*[F.max(F.when(F.col("left_out") == i, F.col("rank"))).alias(f"rank{k}") for k, i in enumerate(folds)])
+    wide = looked_up(rows, variables, by_value)
+    pairs = [(a, b, k, i) for n, a in enumerate(variables) for b in variables[n + 1 :] for k, i in enumerate(folds)]
 
-    def rank(v: str, i: int) -> Column:
-        return F.when(F.col("_fold") != i, F.col(v)[i])
+    def rank(v: str, k: int, i: int) -> Column:
+        return F.when(F.col("_fold") != i, F.col(f"rank{k}_{v}"))
 
-    found = wide.agg(*[F.corr(rank(a, i), rank(b, i)).alias(f"c{k}") for k, (a, b, i) in enumerate(pairs)])
-    return found.select(F.explode(F.array(*[F.struct(F.lit(i).alias("left_out"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b, i) in enumerate(pairs)])).alias("p")).select("p.*")
+    found = wide.agg(*[F.corr(rank(a, k, i), rank(b, k, i)).alias(f"c{n}") for n, (a, b, k, i) in enumerate(pairs)])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(i).alias("left_out"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{n}").alias("r")) for n, (a, b, _, i) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
 def drop_correlated(df: DataFrame, variables: Sequence[str], target: str, folds: Sequence[int], threshold: float = 0.7, fold: str = "fold", p_values: DataFrame | None = None) -> DataFrame:
     """(variable, place, kept): of two variables whose |Spearman| reaches threshold outside some fold, the one of larger p goes.
 
     Every pair is judged by itself: a variable that goes can still evict another. The correlation of a pair uses the
-    rows that have both. p_values: kruskal_by_fold(), where it is known.
+    rows that have both. p_values: kruskal_by_fold(), where it is known; where not, df is evaluated once and what is needed of it written.
     """
+    if p_values is None:
+        df = once(df.select(*dict.fromkeys([fold, target, *variables])))
     order = listed(df.sparkSession, variables)
     holes = df.agg(*[F.max(F.col(v).isNull()).alias(v) for v in variables]).first()
     full = [v for v in variables if not holes[v]]

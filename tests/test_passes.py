@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.operators import order, preparation
-from riskgrid.sources import loanbook
+from riskgrid.operators import association, binning, order, preparation, selection, stability, woe
+from riskgrid.sources import files, loanbook
 
 
 def counted(df, acc):
@@ -41,3 +41,49 @@ def test_positions_keep_the_wanted_columns_and_read_rows_once(spark, seen):
     assert seen.value == 500 and set(rows.columns) == {"k", "c", "other", "position"}
     for _, part in rows.groupby("k"):
         assert sorted(part["position"]) == list(range(1, len(part) + 1))
+
+
+def hundreds(spark, n: int = 400):
+    x = F.col("id")
+    return spark.range(n).select((x * 7 % 101).cast("double").alias("a"), (x * 13 % 57).cast("double").alias("b"), (x * 7 % 101 + x % 3).cast("double").alias("c"), (x * 31 % 5 < 2).cast("int").alias("def"), (x % 4).cast("int").alias("fold"))
+
+
+def test_woe_table_reads_its_rows_once(spark, seen):
+    table = woe.woe_table(counted(hundreds(spark), seen), ["a", "b"])
+    assert table.groupBy("variable").agg(F.sum("n").alias("n")).where("n = 400").count() == 2
+    assert seen.value == 400
+
+
+def test_tests_of_association_read_their_rows_once(spark, seen):
+    assert association.kruskal(counted(hundreds(spark), seen), ["a", "b"], "def").count() == 2 and seen.value == 400
+    assert association.cramers_v_with_target(counted(hundreds(spark), seen), ["a", "b"], "def").count() == 2 and seen.value == 800
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_correlated_variables_look_their_ranks_up(spark, seen, monkeypatch, most):
+    monkeypatch.setattr(association, "BROADCAST_VALUES", most)
+    out = selection.drop_correlated(counted(hundreds(spark), seen), ["a", "b", "c"], "def", range(4))
+    kept = {r["variable"]: r["kept"] for r in out.collect()}
+    assert kept["b"] and not (kept["a"] and kept["c"]) and seen.value == 400
+    pdf = hundreds(spark).toPandas()
+    for r in selection.spearman_by_fold(hundreds(spark), ["a", "b", "c"], range(4)).collect():
+        assert r["r"] == pytest.approx(pdf[pdf["fold"] != r["left_out"]][[r["a"], r["b"]]].corr("spearman").iloc[0, 1])
+    ranks = association.ranked(hundreds(spark), ["a", "b"], ["fold"]).toPandas()
+    want = pdf[["a", "b"]].groupby(pdf["fold"]).rank().assign(fold=pdf["fold"])
+    assert sorted(map(tuple, ranks[["fold", "a", "b"]].to_numpy())) == sorted(map(tuple, want[["fold", "a", "b"]].to_numpy()))
+
+
+def test_vingtiles_write_no_rows_but_those_at_edges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(binning, "once", lambda df: written.append(df.count()) or files.once(df))
+    df = spark.range(4000).select("id", (F.col("id") % 1000).cast("double").alias("s"))
+    assert binning.vingtiles(df, "s", ["id"]).groupBy("score_vingtile").count().where("count = 200").count() == 20
+    assert sum(written) <= 4 * 19
+
+
+def test_stability_repeats_counts_for_pairs_and_not_rows(spark, monkeypatch):
+    compared, repeated = stability.compared, []
+    monkeypatch.setattr(stability, "compared", lambda counts, pairs: repeated.append(counts.count()) or compared(counts, pairs))
+    df = hundreds(spark).withColumn("dataset", F.concat(F.lit("s"), F.col("fold") % 3))
+    found = stability.psi(df, "dataset", [("s0", "s1"), ("s1", "s2")], ["a", "b"], ["def"], bins=4)
+    assert found.where("psi is not null").count() == 6 and max(repeated) <= 3 * 2 * 12
