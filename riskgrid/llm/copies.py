@@ -25,6 +25,10 @@ DENSE = 4
 BROADCAST_GROUPS = 1_000_000
 #: Fingerprints of so many bits are compared before whole sets are.
 WIDE = 512
+#: So many rows of a tile meet all its others at once.
+ROWS_AT_ONCE = 256
+#: A shingle that at most so many units of the dense tiles have is rare, and all its pairs are looked at.
+RARE = 8
 FACTORS = np.random.default_rng(8).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 TILE = ["part_no", "key", "tile_lo", "tile_hi"]
@@ -56,15 +60,17 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, whole: bool) -> Iterator[pd.DataFrame]:
     """Pairs of each tile within radius bits and fine_radius bits of fine, in different components so far, and near enough in size.
 
-    A pair comes from the first part that holds it only, and there from the own key of its smaller unit only.
-    Unless whole is set, a tile with more than DENSE pairs for each row gives the first and the last partner of each row only, and
-    its pairs are marked dense.
+    A pair comes from the first part that holds it only, and there from the own key of its smaller unit only. Where rows have
+    rare (see rare_shingles), pairs that are similar only if they share a rare shingle are left to sharing().
+    Unless whole is set, a tile with more than DENSE pairs for each row gives the first and the last partner of each row only, or the
+    partner of the least share of rare ones, and its pairs are marked dense.
     """
     masks = [(np.uint64(sum(1 << (63 - b) for b in bits)), t) for bits, t in parts]
     for block in whole_groups(frames, TILE):
         fp, own = block["fp"].to_numpy().view(np.uint64), block["own"].to_numpy()
         u, n, fine = block["u"].to_numpy(), block["n"].to_numpy().astype(np.float64), block["fine"].to_numpy().view(np.uint64)
-        comp, part = (block["comp"].to_numpy() if whole else u), block["part_no"].to_numpy()
+        comp, part = (block["comp"].to_numpy() if "comp" in block else u), block["part_no"].to_numpy()
+        most = n - block["rare"].to_numpy() if "rare" in block else n  # what a set may share without a rare shingle
         change = np.zeros(len(block), bool)
         change[0] = True
         for name in TILE:
@@ -76,15 +82,24 @@ def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int],
             mine = s + np.flatnonzero(own[s:e])
             if e - s < 2 or not len(mine):
                 continue
-            i, j = np.nonzero(np.bitwise_count(fp[mine][:, None] ^ fp[None, s:e]) <= radius)
-            i, j = mine[i], s + j
-            good = (u[i] < u[j]) & (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
-            good &= np.bitwise_count(fine[i] ^ fine[j]) <= fine_radius
-            for mask, t in masks[: part[s]]:
-                good &= np.bitwise_count((fp[i] ^ fp[j]) & mask).astype(np.int64) > t
-            i, j = i[good], j[good]
+            found = []
+            for at in range(0, len(mine), ROWS_AT_ONCE):
+                rows = mine[at : at + ROWS_AT_ONCE]
+                i, j = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[None, s:e]) <= radius)
+                i, j = rows[i], s + j
+                good = (u[i] < u[j]) & (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
+                i, j = i[good], j[good]
+                good = np.bitwise_count(fine[i] ^ fine[j]) <= fine_radius
+                good &= np.minimum(most[i], most[j]) * (1 + ratio) >= ratio * (n[i] + n[j]) - 1e-9
+                for mask, t in masks[: part[s]]:
+                    good &= np.bitwise_count((fp[i] ^ fp[j]) & mask).astype(np.int64) > t
+                found.append((i[good], j[good]))
+            i, j = (np.concatenate(x) for x in zip(*found))
             dense = not whole and len(i) > DENSE * (e - s)
-            if dense:  # i ascends, so that these are the first and the last partner of each j
+            if dense and "rare" in block:
+                some = np.concatenate([best_partner(x, y, most / n) for x, y in ((i, j), (j, i))])
+                i, j = i[some], j[some]
+            elif dense:  # i ascends, so that these are the first and the last partner of each j
                 some = np.unique(np.concatenate((np.unique(j, return_index=True)[1], len(j) - 1 - np.unique(j[::-1], return_index=True)[1])))
                 i, j = i[some], j[some]
             left.append(i)
@@ -95,15 +110,20 @@ def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int],
             yield pd.DataFrame({"part_no": part[i], "key": block["key"].to_numpy()[i], "a": np.minimum(u[i], u[j]), "b": np.maximum(u[i], u[j]), "dense": np.concatenate(marks)})
 
 
-def candidates(units: DataFrame, parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, among: DataFrame | None = None) -> DataFrame:
-    """(part_no, key, a, b, dense) from units (u, fp, fine, n); with among (part_no, key), from these groups only and whole, and units have comp."""
-    others = ["fine", "u", "n", *(["comp"] if among is not None else [])]
+def best_partner(x: np.ndarray, y: np.ndarray, merit: np.ndarray) -> np.ndarray:
+    """Of the pairs (x, y), for each x the place of that whose y has the most merit, the first on ties."""
+    order = np.lexsort((y, -merit[y], x))
+    return order[np.unique(x[order], return_index=True)[1]]
+
+
+def candidates(units: DataFrame, parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, among: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(part_no, key, a, b, dense) from units (u, fp, fine, n); with among (part_no, key), from these groups only, and units have comp and rare."""
+    others = ["fine", "u", "n", *(["comp", "rare"] if among is not None else [])]
     keys = probes(units, parts, *others)
     if among is not None:
         keys = keys.join(among, ["part_no", "key"], "left_semi")
     tiles = tiled(keys, ["part_no", "key"], "u", broadcast_up_to=BROADCAST_GROUPS).select(*TILE, "own", "fp", *others)
     tiles = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
-    whole = among is not None
     return written(tiles.mapInPandas(lambda frames: tile_candidates(frames, parts, radius, fine_radius, ratio, whole), "part_no int, key long, a long, b long, dense boolean"))
 
 
@@ -118,15 +138,15 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return np.array(out, np.int64).tobytes()
 
 
-def needed_sets(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
-    """(u, wide, shingles) of each unit of the pairs (a, b), from the text of one of its documents."""
+def needed_sets(wanted: DataFrame, docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
+    """(u, wide, shingles) of each unit of wanted (u), from the text of one of its documents."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [shingle_set(t, words) for t in frame["text"]]
             yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "wide": [wide_fingerprint(x) for x in found], "shingles": [x.tobytes() for x in found]})
 
-    needed = written(units.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi").select("u", "digest", "least_id"))
+    needed = written(units.join(wanted.distinct(), "u", "left_semi").select("u", "digest", "least_id"))
     holders = needed.select(F.col("least_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -134,13 +154,36 @@ def needed_sets(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int)
     return written(known.dropDuplicates(["digest"]).select("u", "wide", "shingles"))
 
 
+def rare_shingles(wanted: DataFrame, docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
+    """(shingle, u) of the units of wanted (u), each shingle that at most RARE of them have."""
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [np.frombuffer(x, np.int64) for x in frame["shingles"]]
+            yield pd.DataFrame({"u": np.repeat(frame["u"].to_numpy(), list(map(len, found))), "shingle": np.concatenate(found)})
+
+    rows = needed_sets(wanted, docs, units, words).select("u", "shingles").mapInPandas(listed, "u long, shingle long")
+    rows = written(rows)
+    return written(rows.join(rows.groupBy("shingle").count().where(F.col("count") <= RARE).select("shingle"), "shingle"))
+
+
+def sharing(rare: DataFrame, units: DataFrame, radius: int, fine_radius: int, ratio: float) -> DataFrame:
+    """The pairs (a, b) of units (u, fp, fine, n, comp) that share a rare shingle, by the rules of tile_candidates()."""
+    pairs = rare.select("shingle", F.col("u").alias("a")).join(rare.select("shingle", F.col("u").alias("b")), "shingle").where("a < b").select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(units.select(F.col("u").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("fp", "fine", "n", "comp")]), end)
+    x, y = ({c: F.col(f"{end}_{c}") for c in ("fp", "fine", "n", "comp")} for end in ("a", "b"))
+    near = (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius) & (F.bit_count(x["fine"].bitwiseXOR(y["fine"])) <= fine_radius)
+    return pairs.where((x["comp"] != y["comp"]) & (F.least(x["n"], y["n"]) >= ratio * F.greatest(x["n"], y["n"])) & near).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int, similarity: float, wide_radius: int) -> DataFrame:
     """The pairs (a, b) of units whose shingle sets have at least the Jaccard similarity.
 
     First the pairs meet fingerprints of WIDE bits, and those that differ in more than wide_radius go. For the others, the set of b
     is sent once a pair, and that of a once for all its pairs.
     """
-    known = needed_sets(pairs, docs, units, words)
+    known = needed_sets(pairs.select(F.explode(F.array("a", "b")).alias("u")), docs, units, words)
     near = pairs
     for end in ("a", "b"):
         near = near.join(known.select(F.col("u").alias(end), F.col("wide").alias(f"{end}_wide")), end)
@@ -180,7 +223,9 @@ def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int
     none below it link. component_id is the smallest doc_id of the class; a null doc_id stays null and is a
     component_id only of a class that has no other. An empty table gives no rows.
 
-    Candidates of large groups are not all paired at once: in a tile of many pairs each unit meets two partners first, and only units that
+    Candidates of large groups are not all paired at once: in a tile of many pairs each unit meets two partners first. Of the units of such
+    tiles the rare shingles are then found. Pairs that share one come from a join by them; any other pair shares common shingles only, of which most near
+    copies with changes of their own have too few. Pairs that have enough meet by the unit of the least share of rare ones first, and only units that
     these links leave apart meet all others of their tile. So the result is the same as from all pairs.
     """
     with shuffles_removed(docs.sparkSession):
@@ -203,10 +248,19 @@ def found_classes(docs: DataFrame, radius: int, fine_radius: int, words: int, si
         reached = components(links)
         dense = some.where("dense").select("part_no", "key").distinct()
         if not dense.isEmpty():
-            reached = written(reached)
-            apart = search.join(reached.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("component", "u"))
-            rest = candidates(apart.drop("component"), parts, radius, fine_radius, similarity, dense).select("a", "b").distinct()
-            reached = components(links.union(verified(rest, docs, units, words, similarity, wide_radius)))
+            dense = written(dense)
+            held = probes(search, parts, "u").join(dense, ["part_no", "key"], "left_semi").select("u")
+            rare = rare_shingles(held, docs, units, words)
+            search = written(search.join(rare.groupBy("u").agg(F.count(F.lit(1)).alias("rare")), "u", "left").fillna(0, ["rare"]))
+            for whole in (False, True):
+                reached = written(reached)
+                apart = search.join(reached.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("component", "u")).drop("component")
+                rest = candidates(apart, parts, radius, fine_radius, similarity, dense, whole).select("a", "b")
+                if whole:
+                    rest = rest.union(sharing(rare, apart, radius, fine_radius, similarity))
+                rest = written(rest.distinct())
+                links = links.union(verified(rest, docs, units, words, similarity, wide_radius))
+                reached = components(links)
     of = written(units.join(reached.withColumnRenamed("node", "u"), "u", "left").select("digest", "copies", "least_id", F.coalesce("component", "u").alias("class")))
     named = of.join(of.groupBy("class").agg(F.min("least_id").alias("component_id")), "class").select("digest", "copies", "component_id")
     return join_counted(rows.select("doc_id", "digest"), written(named), "digest").select("doc_id", "component_id")

@@ -105,6 +105,33 @@ def test_near_copies_against_all_pairs(spark, dense, monkeypatch):
     assert len(set(got.values())) < len(texts) - 20
 
 
+def test_pairs_of_a_large_group_of_near_copies_grow_with_its_texts(spark, monkeypatch):
+    """Copies of one text with changes of their own, most of them alike to few others; some share changes with up to 12 others and link by those only."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+    base = rng.choices(vocab, k=150)
+
+    def changed(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(words)), n):
+            out[k] = rng.choice(vocab)
+        return out
+
+    texts = [changed(base, rng.randint(0, 9)) for _ in range(240)]
+    for n in (2, 5, 12):
+        own = changed(base, 7)
+        texts += [changed(own, 1) for _ in range(n)]
+    rng.shuffle(texts)
+    sets = {i: shingles(" ".join(t)) for i, t in enumerate(texts)}
+    asked, verified = [], copies.verified
+    monkeypatch.setattr(copies, "verified", lambda pairs, *others: asked.append(pairs.count()) or verified(pairs, *others))
+    docs = spark.createDataFrame([(i, " ".join(t), "en", 1, "n") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in copies.classes(docs, radius=12, fine_radius=26, choices=(5,)).collect()}
+    assert got == classes(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert 80 < len(set(got.values())) < 220
+    assert sum(asked[1:]) < 12 * len(texts), asked  # after the first turn, which takes up to DENSE pairs a row of each tile; all pairs: 33 411
+
+
 def test_recall_of_near_copies_at_the_settings_of_the_stage(spark):
     """Several hundred pairs of 0.8 or more, many of them close to it, by the stage's own radii."""
     rng = random.Random(11)
