@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,15 @@ from ..sources.files import once
 ACCURACY = 10_000
 #: Values of a key are dealt to 2 ** CELL_BITS cells of about equal weight.
 CELL_BITS = 8
+#: Rows that one task sorts or holds at once, about: some 90 MB, which stays in memory.
+ROWS_A_TASK = 500_000
+
+
+def parted(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """df dealt by keys to tasks of about ROWS_A_TASK rows, so that what sorts them by more columns doesn't spill however many there are; a df of fewer rows is left as it is."""
+    if rows <= ROWS_A_TASK:
+        return df
+    return df.repartition(max(math.ceil(rows / ROWS_A_TASK), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def melted(df: DataFrame, variables: Sequence[str], keep: Sequence[str] = (), kind: str = "double") -> DataFrame:
@@ -106,14 +116,16 @@ def average_ranks(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataF
     return running(counts, keys, "value", [n]).withColumn("rank", F.col(f"cum_{n}") - (F.col(n) - 1) / 2).drop(f"cum_{n}")
 
 
-def positions(df: DataFrame, strata: Sequence[str], cell: str, ties: Sequence[str], out: str = "position", keep: Sequence[str] | None = None) -> DataFrame:
+def positions(df: DataFrame, strata: Sequence[str], cell: str, ties: Sequence[str], out: str = "position", keep: Sequence[str] | None = None, rows: int = 0) -> DataFrame:
     """Add out: 1, 2, ... within each stratum in the order of cell (a whole number of few values), then ties.
 
     Only rows of equal stratum and cell are ordered by one task. df is evaluated once and written with their places there; counts by
     stratum and cell, and all that reads the result, scan that. keep: the columns wanted besides strata and cell; all, if none are named.
+    rows: how many rows df has at most, where it is known (see parted).
     """
     within = Window.partitionBy(*strata, cell).orderBy(*ties)
     columns = list(dict.fromkeys([*strata, cell, *(df.columns if keep is None else keep)]))
+    df = parted(df.select(*dict.fromkeys([*columns, *ties])), rows, *strata, cell)
     placed = once(df.withColumn(out, F.row_number().over(within)).select(*columns, out))
     counts = placed.groupBy(*strata, cell).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*strata).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)

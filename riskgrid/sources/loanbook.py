@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.order import positions
+from ..operators.order import parted, positions
 
 KEYS = ["k1", "k2", "k3", "k4", "k5"]
 CONTINUOUS = ["l_extendedprice", "l_quantity", "c_acctbal"]
@@ -19,8 +19,9 @@ FOLDS = 4
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per loan: five key columns, u (noise 0..999), def (target), year, features, two of them with missing values."""
     item, orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
-    # orders meet their customers first, as they are a fraction of the items: so each item is moved for one join
-    joined = item.join(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
+    # orders meet their customers first, as they are a fraction of the items: so each item is moved for one join, and as orders are hashed, items are not sorted for it
+    owned = parted(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), n := item.count(), "o_orderkey").hint("shuffle_hash")
+    joined = parted(item, n, "l_orderkey").join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
     shift = F.when(F.col("o_orderpriority") == "1-URGENT", 120).when(F.col("o_orderpriority") == "5-LOW", -40).otherwise(0)
     noise = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31) % 1000
     book = joined.select(
@@ -43,6 +44,7 @@ def loan_book(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None =
     columns: those of lines() that are wanted besides def, year and u; all, if none are named. The tables are joined once and the
     book is written (see operators.order.positions), so each pass over it is a scan.
     """
-    book = positions(lines(spark, sf_dir), ["def", "year"], "u", KEYS, "_position", columns)
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    book = positions(lines(spark, sf_dir), ["def", "year"], "u", KEYS, "_position", columns, items)
     dataset = F.when(F.col("year") == OOT_YEAR, "OOT").when(F.col("_position") % 5 == 0, "Test").otherwise("Train")
     return book.withColumns({"fold": (F.col("_position") % FOLDS).cast("int"), "dataset": dataset}).drop("_position")

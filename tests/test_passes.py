@@ -87,3 +87,15 @@ def test_stability_repeats_counts_for_pairs_and_not_rows(spark, monkeypatch):
     df = hundreds(spark).withColumn("dataset", F.concat(F.lit("s"), F.col("fold") % 3))
     found = stability.psi(df, "dataset", [("s0", "s1"), ("s1", "s2")], ["a", "b"], ["def"], bins=4)
     assert found.where("psi is not null").count() == 6 and max(repeated) <= 3 * 2 * 12
+
+
+def test_rows_beyond_a_task_are_dealt_to_more_tasks_and_items_are_not_sorted_for_their_join(spark, monkeypatch):
+    rows = {c: [r[c] for r in loanbook.loan_book(spark, "/root/testdata/sf0.001", ["k1", "k2"]).orderBy("k1", "k2", "u", "fold").collect()] for c in ("k1", "fold", "dataset")}
+    monkeypatch.setattr(order, "ROWS_A_TASK", 500)
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    lines = loanbook.lines(spark, "/root/testdata/sf0.001")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2 and lines.rdd.getNumPartitions() == -(-items // 500)
+    again = loanbook.loan_book(spark, "/root/testdata/sf0.001", ["k1", "k2"]).orderBy("k1", "k2", "u", "fold").collect()
+    assert all([r[c] for r in again] == rows[c] for c in rows)
