@@ -27,7 +27,7 @@ BROADCAST_GROUPS = 1_000_000
 WIDE = 512
 #: So many rows of a tile meet all its others at once.
 ROWS_AT_ONCE = 256
-#: A shingle that at most so many units of the dense tiles have is rare, and all its pairs are looked at.
+#: A shingle that at most so many of the units left apart in dense tiles have is rare, and all its pairs are looked at.
 RARE = 8
 FACTORS = np.random.default_rng(8).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIXER = np.uint64(0x9E3779B97F4A7C15)
@@ -57,13 +57,13 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(of, "doc_id long, digest binary, fp long, fine long, n int")
 
 
-def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, whole: bool) -> Iterator[pd.DataFrame]:
+def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, whole: bool, ends: bool = False) -> Iterator[pd.DataFrame]:
     """Pairs of each tile within radius bits and fine_radius bits of fine, in different components so far, and near enough in size.
 
     A pair comes from the first part that holds it only, and there from the own key of its smaller unit only. Where rows have
     rare (see rare_shingles), pairs that are similar only if they share a rare shingle are left to sharing().
     Unless whole is set, a tile with more than DENSE pairs for each row gives the first and the last partner of each row only, or the
-    partner of the least share of rare ones, and its pairs are marked dense.
+    partner of the least share of rare ones, and its pairs are marked dense. If ends is set, only the units (u) that have a pair are given.
     """
     masks = [(np.uint64(sum(1 << (63 - b) for b in bits)), t) for bits, t in parts]
     for block in whole_groups(frames, TILE):
@@ -77,7 +77,7 @@ def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int],
             v = block[name].to_numpy()
             change[1:] |= v[1:] != v[:-1]
         starts = np.flatnonzero(change)
-        left, right, marks = [], [], []
+        left, right, marks, paired = [], [], [], np.zeros(len(block), bool)
         for s, e in zip(starts, np.append(starts[1:], len(block))):
             mine = s + np.flatnonzero(own[s:e])
             if e - s < 2 or not len(mine):
@@ -93,7 +93,12 @@ def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int],
                 good &= np.minimum(most[i], most[j]) * (1 + ratio) >= ratio * (n[i] + n[j]) - 1e-9
                 for mask, t in masks[: part[s]]:
                     good &= np.bitwise_count((fp[i] ^ fp[j]) & mask).astype(np.int64) > t
-                found.append((i[good], j[good]))
+                if ends:
+                    paired[i[good]] = paired[j[good]] = True
+                else:
+                    found.append((i[good], j[good]))
+            if ends:
+                continue
             i, j = (np.concatenate(x) for x in zip(*found))
             dense = not whole and len(i) > DENSE * (e - s)
             if dense and "rare" in block:
@@ -105,6 +110,8 @@ def tile_candidates(frames: Iterator[pd.DataFrame], parts: list[tuple[list[int],
             left.append(i)
             right.append(j)
             marks.append(np.full(len(i), dense))
+        if paired.any():
+            yield pd.DataFrame({"u": np.unique(u[paired])})
         if left and sum(map(len, left)):
             i, j = np.concatenate(left), np.concatenate(right)
             yield pd.DataFrame({"part_no": part[i], "key": block["key"].to_numpy()[i], "a": np.minimum(u[i], u[j]), "b": np.maximum(u[i], u[j]), "dense": np.concatenate(marks)})
@@ -116,15 +123,25 @@ def best_partner(x: np.ndarray, y: np.ndarray, merit: np.ndarray) -> np.ndarray:
     return order[np.unique(x[order], return_index=True)[1]]
 
 
-def candidates(units: DataFrame, parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, among: DataFrame | None = None, whole: bool = False) -> DataFrame:
-    """(part_no, key, a, b, dense) from units (u, fp, fine, n); with among (part_no, key), from these groups only, and units have comp and rare."""
-    others = ["fine", "u", "n", *(["comp", "rare"] if among is not None else [])]
-    keys = probes(units, parts, *others)
+def tiles(units: DataFrame, parts: list[tuple[list[int], int]], among: DataFrame | None, *others: str) -> DataFrame:
+    """The rows of units (u, fp, fine, n, others) in the tiles where they meet, sorted by tile; with among (part_no, key), in these groups only."""
+    keys = probes(units, parts, "fine", "u", "n", *others)
     if among is not None:
         keys = keys.join(among, ["part_no", "key"], "left_semi")
-    tiles = tiled(keys, ["part_no", "key"], "u", broadcast_up_to=BROADCAST_GROUPS).select(*TILE, "own", "fp", *others)
-    tiles = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
-    return written(tiles.mapInPandas(lambda frames: tile_candidates(frames, parts, radius, fine_radius, ratio, whole), "part_no int, key long, a long, b long, dense boolean"))
+    dealt = tiled(keys, ["part_no", "key"], "u", broadcast_up_to=BROADCAST_GROUPS).select(*TILE, "own", "fp", "fine", "u", "n", *others)
+    return dealt.repartition(*TILE).sortWithinPartitions(*TILE)
+
+
+def candidates(units: DataFrame, parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, among: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(part_no, key, a, b, dense) from units (u, fp, fine, n); with among (part_no, key), from these groups only, and units have comp and rare."""
+    met = tiles(units, parts, among, *(["comp", "rare"] if among is not None else []))
+    return written(met.mapInPandas(lambda frames: tile_candidates(frames, parts, radius, fine_radius, ratio, whole), "part_no int, key long, a long, b long, dense boolean"))
+
+
+def apart_units(units: DataFrame, parts: list[tuple[list[int], int]], radius: int, fine_radius: int, ratio: float, among: DataFrame) -> DataFrame:
+    """(u) of the units (u, fp, fine, n, comp) that have a pair in these groups with one of another component."""
+    met = tiles(units, parts, among, "comp")
+    return written(met.mapInPandas(lambda frames: tile_candidates(frames, parts, radius, fine_radius, ratio, True, ends=True), "u long").distinct())
 
 
 def wide_fingerprint(shingles: np.ndarray) -> bytes:
@@ -154,8 +171,8 @@ def needed_sets(wanted: DataFrame, docs: DataFrame, units: DataFrame, words: int
     return written(known.dropDuplicates(["digest"]).select("u", "wide", "shingles"))
 
 
-def rare_shingles(wanted: DataFrame, docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
-    """(shingle, u) of the units of wanted (u), each shingle that at most RARE of them have."""
+def rare_shingles(wanted: DataFrame, docs: DataFrame, units: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of the units of wanted (u), of shingles that at most RARE of them have: (shingle, u) of those that two or more have; (u, rare), how many each unit has."""
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -164,7 +181,11 @@ def rare_shingles(wanted: DataFrame, docs: DataFrame, units: DataFrame, words: i
 
     rows = needed_sets(wanted, docs, units, words).select("u", "shingles").mapInPandas(listed, "u long, shingle long")
     rows = written(rows)
-    return written(rows.join(rows.groupBy("shingle").count().where(F.col("count") <= RARE).select("shingle"), "shingle"))
+    # a shingle of one unit is counted for it without a join
+    few = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("units"), F.min("u").alias("u")).where(F.col("units") <= RARE))
+    shared = written(rows.join(few.where("units > 1").select("shingle"), "shingle"))
+    counts = few.where("units = 1").select("u").union(shared.select("u")).groupBy("u").agg(F.count(F.lit(1)).alias("rare"))
+    return shared, counts
 
 
 def sharing(rare: DataFrame, units: DataFrame, radius: int, fine_radius: int, ratio: float) -> DataFrame:
@@ -224,7 +245,7 @@ def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int
     component_id only of a class that has no other. An empty table gives no rows.
 
     Candidates of large groups are not all paired at once: in a tile of many pairs each unit meets two partners first. Of the units of such
-    tiles the rare shingles are then found. Pairs that share one come from a join by them; any other pair shares common shingles only, of which most near
+    tiles that still have a candidate in another component, and of no others, the rare shingles are then found. Pairs that share one come from a join by them; any other pair shares common shingles only, of which most near
     copies with changes of their own have too few. Pairs that have enough meet by the unit of the least share of rare ones first, and only units that
     these links leave apart meet all others of their tile. So the result is the same as from all pairs.
     """
@@ -232,6 +253,11 @@ def classes(docs: DataFrame, radius: int = 7, fine_radius: int = 20, words: int
         return found_classes(docs, radius, fine_radius, words, similarity, choices, wide_radius)
 
 
+def with_components(units: DataFrame, reached: DataFrame) -> DataFrame:
+    """units with comp, the component that reached (node, component) has for u, or else u itself."""
+    return units.join(reached.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("component", "u")).drop("component")
+
+
 def found_classes(docs: DataFrame, radius: int, fine_radius: int, words: int, similarity: float, choices: tuple[int, ...], wide_radius: int) -> DataFrame:
     """What classes() says."""
     rows = written(described(docs, words))
@@ -248,19 +274,20 @@ def found_classes(docs: DataFrame, radius: int, fine_radius: int, words: int, si
         reached = components(links)
         dense = some.where("dense").select("part_no", "key").distinct()
         if not dense.isEmpty():
-            dense = written(dense)
-            held = probes(search, parts, "u").join(dense, ["part_no", "key"], "left_semi").select("u")
-            rare = rare_shingles(held, docs, units, words)
-            search = written(search.join(rare.groupBy("u").agg(F.count(F.lit(1)).alias("rare")), "u", "left").fillna(0, ["rare"]))
-            for whole in (False, True):
-                reached = written(reached)
-                apart = search.join(reached.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("component", "u")).drop("component")
+            dense, reached = written(dense), written(reached)
+            held = apart_units(with_components(search, reached), parts, radius, fine_radius, similarity, dense)
+            turns = () if held.isEmpty() else (False, True)
+            if turns:
+                rare, counts = rare_shingles(held, docs, units, words)
+                search = written(search.join(held, "u").join(counts, "u", "left").fillna(0, ["rare"]))
+            for whole in turns:
+                apart = with_components(search, reached)
                 rest = candidates(apart, parts, radius, fine_radius, similarity, dense, whole).select("a", "b")
                 if whole:
                     rest = rest.union(sharing(rare, apart, radius, fine_radius, similarity))
                 rest = written(rest.distinct())
                 links = links.union(verified(rest, docs, units, words, similarity, wide_radius))
-                reached = components(links)
+                reached = written(components(links))
     of = written(units.join(reached.withColumnRenamed("node", "u"), "u", "left").select("digest", "copies", "least_id", F.coalesce("component", "u").alias("class")))
     named = of.join(of.groupBy("class").agg(F.min("least_id").alias("component_id")), "class").select("digest", "copies", "component_id")
     return join_counted(rows.select("doc_id", "digest"), written(named), "digest").select("doc_id", "component_id")

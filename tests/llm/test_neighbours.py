@@ -132,6 +132,39 @@ def test_pairs_of_a_large_group_of_near_copies_grow_with_its_texts(spark, monkey
     assert sum(asked[1:]) < 12 * len(texts), asked  # after the first turn, which takes up to DENSE pairs a row of each tile; all pairs: 33 411
 
 
+def test_shingles_are_listed_of_units_left_apart_only(spark, monkeypatch):
+    """Groups of near copies that the first turn links need no shingles, and of two groups that it leaves apart shingles of one text alone meet nothing."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+
+    def changed(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(words)), n):
+            out[k] = rng.choice(vocab)
+        return out
+
+    bases = [rng.choices(vocab, k=150) for _ in range(6)]
+    texts = [changed(base, 1) for base in bases for _ in range(12)]
+    far = [changed(bases[0], 8) for _ in range(8)]  # each changed in up to 40 of its 146 shingles, less alike than 0.8 to one another
+    monkeypatch.setattr(copies, "DENSE", 0)
+    listed, rare_shingles = [], copies.rare_shingles
+
+    def seen(wanted, *others):
+        shared, counts = rare_shingles(wanted, *others)
+        listed.append((wanted.count(), shared.count(), counts.agg(F.sum("rare")).first()[0]))
+        return shared, counts
+
+    monkeypatch.setattr(copies, "rare_shingles", seen)
+    for rows in (texts, texts + far):
+        sets = {i: shingles(" ".join(t)) for i, t in enumerate(rows)}
+        docs = spark.createDataFrame([(i, " ".join(t), "en", 1, "n") for i, t in enumerate(rows)], DOCS)
+        got = {r.doc_id: r.component_id for r in copies.classes(docs, radius=12, fine_radius=26, choices=(5,)).collect()}
+        assert got == classes(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(listed) == 1  # nothing is left apart in the first
+    wanted, shared, rare = listed[0]
+    assert 8 <= wanted <= 20 and shared < rare / 2, listed
+
+
 def test_recall_of_near_copies_at_the_settings_of_the_stage(spark):
     """Several hundred pairs of 0.8 or more, many of them close to it, by the stage's own radii."""
     rng = random.Random(11)
