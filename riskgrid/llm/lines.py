@@ -70,9 +70,12 @@ def rarity(docs: DataFrame) -> tuple[Column, int]:
 
 
 def codes(text: Column, levels: Column, buckets: int) -> Column:
-    """The distinct tokens of a line as numbers in order of rarity: the level of the token above 57 bits of its hash."""
+    """The distinct tokens of a line as numbers in order of rarity: the level of the token above 57 bits of its hash.
+
+    Levels are given as not null, so that the numbers are sorted as such and not as objects.
+    """
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(text, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), F.lit(0).cast("long")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def parity(codes: Column, at: int) -> Column:
@@ -125,10 +128,22 @@ def pairs_of_all(postings: DataFrame, threshold: float) -> DataFrame:
 def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The (did, line) of each x of the pairs that share enough tokens and whose sets have at least the Jaccard similarity threshold.
 
-    Tokens are compared as text, read again for the wanted lines only.
+    One similar y is enough for x: each meets the y that it shares most postings with first, and only those still in doubt meet all others.
     """
     ids = ["x_did", "x_line", "y_did", "y_line"]
-    found = written(found.groupBy(*ids, "least").count().where("count >= least").select(*ids))
+    found = written(found.groupBy(*ids, "least").agg(F.count(F.lit(1)).alias("shared")).where("shared >= least").select(*ids, "shared"))
+    best = found.groupBy("x_did", "x_line").agg(F.max(F.struct("shared", "y_did", "y_line")).alias("y")).select("x_did", "x_line", "y.y_did", "y.y_line")
+    near = similar(written(best), docs, threshold)
+    gone = small(near.select(F.col("did").alias("x_did"), F.col("line").alias("x_line")))
+    rest = found.select(*ids).join(gone, ["x_did", "x_line"], "left_anti").join(best, ids, "left_anti")
+    return near.union(similar(written(rest), docs, threshold))
+
+
+def similar(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The (did, line) of each x of found whose set has at least the Jaccard similarity threshold with that of y.
+
+    Tokens are compared as text, read again for the wanted lines only.
+    """
     ends = [found.select(F.col(f"{side}_did").alias("did"), F.col(f"{side}_line").alias("line")) for side in "xy"]
     wanted = written(ends[0].union(ends[1]).distinct())
     some = line_rows(docs.join(small(wanted.select(F.col("did").alias("doc_id")).distinct()), "doc_id", "left_semi")).join(small(wanted), ["did", "line"])

@@ -317,6 +317,24 @@ def test_repeated_rows_do_not_repeat_their_own_lines(spark):
     assert lines.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_pairs_of_similar_lines_grow_with_the_lines(spark, monkeypatch):
+    """Of a group of near lines each meets one other; lines near to a third only meet the others after that."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for k in rng.sample(range(40), 1 if i < 60 else 4):  # two lines with four changes each share too little
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    met, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda found, *others: met.append(found.count()) or similar(found, *others))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [int(k) for k in r.removed.split(",") if k] for r in lines.repeated_lines(docs).collect()}
+    assert got == removed_lines(rows) and sum(map(bool, got.values())) >= 59
+    assert sum(met) < 10 * len(rows), met  # all pairs: 2415
+
+
 def test_codes_of_the_most_frequent_tokens_come_last(spark):
     """Levels fill six bits at most: a code of bit 63 would sort before all."""
     levels = F.from_json(F.lit(str([63] * (1 << 16))), "array<bigint>")
