@@ -13,18 +13,22 @@ from .common import shuffles_removed, written
 #: Blanks other than space between tokens.
 TABS = "\t\x0b\x0c\r"
 #: Tokens are counted in buckets of their hash, 2 ** BUCKET_BITS[0] to 2 ** BUCKET_BITS[1] of them, some eight a document; the counts' levels become one constant of the plan.
-BUCKET_BITS = (16, 20)
+BUCKET_BITS = (16, 18)
 #: Tokens that more sets have in their prefixes are hot: their sets are compared with HEADS of them first.
 HOT = 1024
 HEADS = 4
 #: Prefix tokens are counted in so many buckets to find the hot ones.
 PREFIX_BUCKETS = 1 << 16
+#: Each line is first compared with the earliest line of each of its so many rarest tokens.
+RAREST = 2
+#: Sizes of sets within this ratio are one band; sets meet only in bands that similar ones can share.
+BAND = 1.5
 #: Up to so many rows (some 40 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sets of more tokens have more parity bits.
 FEW_TOKENS = 64
 #: A set of n tokens must share one token with another in their prefixes, and one more for each EACH of its tokens, with prefixes that much longer.
-EACH = 40
+EACH = 80
 #: Prefix tokens are joined in so many turns, by their last bits, so that the shuffles of one turn only are on disk at a time.
 TURNS = 2
 SLACK = 1e-9
@@ -75,16 +79,23 @@ def codes(text: Column, levels: Column, buckets: int) -> Column:
     Levels are given as not null, so that the numbers are sorted as such and not as objects.
     """
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(text, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(buckets - 1).cast("int")), F.lit(0).cast("long")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(buckets - 1)), F.lit(0).cast("long")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def parity(codes: Column, at: int) -> Column:
     """64 bits, each the parity of how many of the codes name it by their six bits from `at` on: two sets that differ in k tokens differ in at most k bits."""
 
-    def bit(c: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(c, at) if at else c).bitwiseAND(63).cast("int"))
+    masks = F.from_json(F.lit(str([1 << k for k in range(63)] + [-(1 << 63)])), "array<bigint>")  # looked up faster than a cast and a shift
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.get(masks, (F.shiftright(c, at) if at else c).bitwiseAND(63))))
 
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+def placed(lines: DataFrame) -> Column:
+    """One number for each (did, line), in their order: a long if all fit."""
+    low, high, last = lines.agg(F.min("did"), F.max("did"), F.max("line")).first()
+    bits = max(last or 0, 1).bit_length()
+    if (max(abs(low or 0), abs(high or 0)) + 1) << bits < 1 << 63:
+        return F.col("did") * (1 << bits) + F.col("line")
+    return (F.col("did").cast("decimal(38,0)") * (1 << 32) + F.col("line")).cast("decimal(38,0)")
 
 
 def pairs(x: DataFrame, y: DataFrame, threshold: float, *keys: str, sized: bool = False) -> DataFrame:
@@ -92,12 +103,14 @@ def pairs(x: DataFrame, y: DataFrame, threshold: float, *keys: str, sized: bool
 
     Filters: lengths; positions (what is left of both sets after the token, and what may be shared before it, may suffice); and the bits
     of parity(), which bound how much the sets differ. Pairs are taken with the later line of x; or, if sized, with the larger
-    set of x (of equal ones the later) and the smaller of y, whose prefixes may then be short.
+    set of x (of equal ones the later) and the smaller of y, whose prefixes may then be short. Sized, pairs whose later line is `known` are left out.
     """
     c = F.col
     before = (c("y.did") < c("x.did")) | ((c("y.did") == c("x.did")) & (c("y.line") < c("x.line")))
     same = (c("y.did") == c("x.did")) & (c("y.line") == c("x.line"))
     on = (c("x.token") == c("y.token")) & (((c("x.n") > c("y.n")) & ~same | (c("x.n") == c("y.n")) & before) if sized else before)
+    if sized:
+        on = on & ~F.when(before, c("x.known")).otherwise(c("y.known"))
     for key in keys:
         on = on & (c(f"x.{key}") == c(f"y.{key}"))
     total, smaller = c("x.n") + c("y.n"), c("y.n") if sized else F.least("x.n", "y.n")
@@ -115,28 +128,41 @@ def pairs_of_all(postings: DataFrame, threshold: float) -> DataFrame:
     """The pairs within postings, written; a larger set's whole prefix against a smaller one's short prefix, some of the tokens at a time.
 
     As the larger set has at least as many tokens, a pair shares 2 t / (1 + t) of the smaller one, whose prefix is the shorter for it.
+    The band of sizes is part of the key: the larger set stands in its own, the smaller one in each that a similar larger set can have.
     """
     n = F.col("n")
-    short = n - F.ceil(2 * threshold / (1 + threshold) * n - SLACK) + shares(n)
+    least = F.greatest(n, F.pow(F.lit(BAND), F.col("band")) * (1 - SLACK))  # size of a larger set in the band
+    short = n - F.ceil(threshold / (1 + threshold) * (n + least) - SLACK) + shares(n)
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size) / math.log(BAND)).cast("int")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("token", F.col("token").bitwiseXOR(F.call_function("shiftleft", F.col("band").cast("long"), F.lit(51)))).drop("band")
+
     found = []
     for turn in range(TURNS):
         some = postings.where(F.col("token").bitwiseAND(TURNS - 1) == turn)
-        found.append(written(pairs(some, some.where(F.col("i") < short).hint("shuffle_hash"), threshold, sized=True)))
+        larger = keyed(some.withColumn("band", band(n.cast("double"))))
+        bands = F.sequence(band(n.cast("double")), band((n + SLACK) / threshold * (1 + SLACK)))
+        smaller = keyed(some.withColumn("band", F.explode(bands)).where(F.col("i") < short))
+        found.append(written(pairs(larger, smaller.hint("shuffle_hash"), threshold, sized=True)))
     return reduce(DataFrame.union, found)
 
 
-def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The (did, line) of each x of the pairs that share enough tokens and whose sets have at least the Jaccard similarity threshold.
+def near_rarest(able: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The (did, line) of lines similar to the earliest line of one of their RAREST rarest tokens: most near copies, without the pairs among them."""
+    rows = able.select("did", "line", "n", "bits", "more_bits", F.posexplode(F.slice("prefix", 1, RAREST)).alias("i", "token")).repartition("token")
+    heads = rows.groupBy("token").agg(F.min(F.struct("did", "line", "n", "bits", "more_bits", "i")).alias("h"), F.count(F.lit(1)).alias("rows"))
+    heads = heads.where("rows > 1").select("token", "h.*")
+    return similar(written(pairs(rows, heads.hint("shuffle_hash"), threshold).drop("least").distinct()), docs, threshold)
 
-    One similar y is enough for x: each meets the y that it shares most postings with first, and only those still in doubt meet all others.
-    """
+
+def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The (did, line) of each x of the pairs that share enough tokens and whose sets have at least the Jaccard similarity threshold."""
     ids = ["x_did", "x_line", "y_did", "y_line"]
-    found = written(found.groupBy(*ids, "least").agg(F.count(F.lit(1)).alias("shared")).where("shared >= least").select(*ids, "shared"))
-    best = found.groupBy("x_did", "x_line").agg(F.max(F.struct("shared", "y_did", "y_line")).alias("y")).select("x_did", "x_line", "y.y_did", "y.y_line")
-    near = similar(written(best), docs, threshold)
-    gone = small(near.select(F.col("did").alias("x_did"), F.col("line").alias("x_line")))
-    rest = found.select(*ids).join(gone, ["x_did", "x_line"], "left_anti").join(best, ids, "left_anti")
-    return near.union(similar(written(rest), docs, threshold))
+    shared = found.groupBy(*ids, "least").agg(F.count(F.lit(1)).alias("shared"))
+    return similar(written(shared.where("shared >= least").select(*ids)), docs, threshold)
 
 
 def similar(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -176,23 +202,27 @@ def searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     digests = [F.xxhash64("codes").alias("d1"), F.xxhash64(F.lit(1), F.col("codes")).alias("d2")]
     lines = written(ranked.select("did", "line", n.alias("n"), *digests, *bits, prefix.alias("prefix"))).where("n > 0")
     # the place is one number, so that the least of a set needs no sort; the join back has a key of its own for each line, however often a set repeats
-    place = F.col("did").cast("decimal(38,0)") * (1 << 32) + F.col("line")
-    firsts = lines.groupBy("d1", "d2").agg(F.min(place.cast("decimal(38,0)")).alias("place")).select("place", "d1", F.lit(True).alias("first"))
-    lines = lines.withColumn("place", place.cast("decimal(38,0)")).join(firsts.hint("shuffle_hash"), ["place", "d1"], "left")
+    lines = lines.withColumn("place", placed(lines))
+    firsts = lines.groupBy("d1", "d2").agg(F.min("place").alias("place")).select("place", "d1", F.lit(True).alias("first"))
+    lines = lines.join(firsts.hint("shuffle_hash"), ["place", "d1"], "left")
     lines = written(lines.select("did", "line", "n", "bits", "more_bits", "prefix", F.coalesce("first", F.lit(False)).alias("first")))
 
     # a set of n tokens is similar to another only if all of its tokens, and one more, would be
     able = lines.where(F.col("first") & (F.col("n") >= threshold * (F.col("n") + 1) - SLACK))
-    postings = able.select("did", "line", "n", "bits", "more_bits", F.posexplode("prefix").alias("i", "token"))
-    hot = hot_tokens(able.select(F.explode("prefix").alias("token")))
+    known = near_rarest(able, docs, threshold)
+    few = known.count() <= BROADCAST_ROWS
+    able = able.join(small(known.withColumn("known", F.lit(True))), ["did", "line"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    able = able if few else written(able)
+    postings = able.select("did", "line", "n", "bits", "more_bits", "known", F.posexplode("prefix").alias("i", "token"))
+    hot = hot_tokens(lines.where(F.col("first")).select(F.explode("prefix").alias("token")))
     if hot is None:
-        return lines, verified(pairs_of_all(postings, threshold), docs, threshold)
+        return lines, known.union(verified(pairs_of_all(postings, threshold), docs, threshold))
     hot = small(hot)
     cool, wide = postings.join(hot, "token", "left_anti"), written(postings.join(hot, "token", "left_semi"))
     slot = F.pmod(F.xxhash64("did", "line"), F.lit(HEADS))
     heads = written(wide.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("did", "line", "n", "bits", "more_bits", "i")).alias("h")).select("token", "h.*"))
     cool_pairs = pairs_of_all(cool, threshold)
-    near = verified(cool_pairs.union(pairs(wide, small(heads), threshold)), docs, threshold)
+    near = known.union(verified(cool_pairs.union(pairs(wide.where(~F.col("known")), small(heads), threshold)), docs, threshold))
     doubtful = wide.join(small(near), ["did", "line"], "left_anti")
     cool_pairs = cool_pairs.join(small(near.select(F.col("did").alias("x_did"), F.col("line").alias("x_line"))), ["x_did", "x_line"], "left_anti")
     # by size as well, so that a hot token is many keys; a similar set's size is in the same band or one beside it
@@ -229,7 +259,9 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     again = lines.where(~F.col("first")).select("did", "line", F.lit(True).alias("again"))
     gone = again.union(near.select("did", "line", F.lit(False))).groupBy("did")
     gone = gone.agg(F.collect_set(F.when(F.col("again"), F.col("line"))).alias("same"), F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near"))  # of one document
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     same = F.coalesce("same", none)
     close = F.array_except(F.coalesce("near", none), same)

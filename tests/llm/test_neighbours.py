@@ -335,6 +335,48 @@ def test_pairs_of_similar_lines_grow_with_the_lines(spark, monkeypatch):
     assert sum(met) < 10 * len(rows), met  # all pairs: 2415
 
 
+def test_joined_postings_grow_with_the_lines(spark, monkeypatch):
+    """Near copies whose rare tokens are shared leave the join."""
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for k in rng.sample(range(40), 1 if i < 60 else 4):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([f"v{k}" for k in range(5 * i, 5 * i + 5)])) for i in range(6)] + [(200 + i, " ".join([f"v{k}" for k in range(5 * i, 5 * i + 4)])) for i in range(6)]
+    made, pairs = [], lines.pairs_of_all
+    monkeypatch.setattr(lines, "pairs_of_all", lambda *given: (found := pairs(*given), made.append(found.count()))[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [int(k) for k in r.removed.split(",") if k] for r in lines.repeated_lines(docs).collect()}
+    assert got == removed_lines(rows) and sum(map(bool, got.values())) >= 65
+    assert sum(made) < 10 * len(rows), made
+
+
+@pytest.mark.parametrize(("ratio", "threshold"), [(1.1, 0.8), (1.5, 0.5), (2.0, 0.8)])
+def test_sizes_of_similar_lines_share_a_band(spark, monkeypatch, ratio, threshold):
+    """A line of every size and copies with tokens added, up to and beyond the threshold."""
+    monkeypatch.setattr(lines, "BAND", ratio)
+    monkeypatch.setattr(lines, "RAREST", 1)
+    rows = []
+    for n in (4, 5, 7, 8, 11, 12, 16, 24, 33, 48, 100):
+        for more in (0, int(n / threshold) - n, int(n / threshold) - n + 1):
+            words = [f"s{n}w{k}" for k in range(n)] + [f"s{n}m{more}x{k}" for k in range(more)]
+            rows.append((len(rows), " ".join(words if len(rows) % 2 else words[::-1])))
+    random.Random(3).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [int(k) for k in r.removed.split(",") if k] for r in lines.repeated_lines(docs, threshold).collect()}
+    assert got == removed_lines(rows, threshold) and sum(map(bool, got.values())) >= 11
+
+
+def test_lines_of_documents_with_ids_at_either_end(spark):
+    rows = [(-(1 << 63), "one two three four five"), (-5, "one two three four five"), (3, "six one two three four five"), ((1 << 63) - 1, "one two three four five\nnew")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [int(k) for k in r.removed.split(",") if k] for r in lines.repeated_lines(docs).collect()}
+    assert got == removed_lines(rows) == {rows[0][0]: [], -5: [0], 3: [0], rows[3][0]: [0]}
+
+
 def test_codes_of_the_most_frequent_tokens_come_last(spark):
     """Levels fill six bits at most: a code of bit 63 would sort before all."""
     levels = F.from_json(F.lit(str([63] * (1 << 16))), "array<bigint>")
