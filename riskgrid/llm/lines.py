@@ -249,7 +249,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Tokens are ordered by rarity in the corpus (counted in buckets of their hash; any one order gives the same result), and
     the first lines of two token sets that share a token in their prefixes are candidates if lengths, positions
     and parity bits allow. The prefix of the larger set of n tokens is n - ceil(t n) + 1 long, that of the smaller n - ceil(2 t n / (1 + t)) + 1,
-    for the threshold t, both by one longer for each further token that is asked for. The sets of a token that up to HOT share are all compared there. Where more share it, every set is first compared
+    for the threshold t, both by one longer for each further token that is asked for. Before that each meets the earliest set of its RAREST
+    rarest tokens, and what is found similar there is in no pair as the later one. The sets of a token that up to HOT share are all compared there. Where more share it, every set is first compared
     with up to HEADS of them, which removes most of a large group of near copies without comparing all its pairs; sets
     still in doubt are then joined with all others, so the result is exact. Candidates are verified on the tokens themselves.
     Before that, token sets are told apart by 128 bits of a hash, and tokens by 57 besides their level.
