@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import ArrayType, NumericType, StringType
 
-from ..functions.scalar import interval_label
+from ..functions.scalar import interval_label, mapped
 from ..sources.files import once
-from .order import cells, melted, positions, quantiles, running
+from .order import ROWS_A_TASK, melted, positions, quantiles, running
+
+#: Ranges that keys_at() counts a group's rows in.
+RANGES = 512
 
 
 def edges_of(df: DataFrame, variables: Sequence[str], bins: int) -> dict[str, list[float]]:
@@ -148,21 +151,46 @@ def vingtile_edges(n: int, bins: int = 20) -> list[float]:
     return out
 
 
-def keys_at(rows: DataFrame, row_key: Sequence[str], wanted: Sequence[tuple[float, int]]) -> dict[tuple[float, int], tuple]:
-    """For each (score, place) the row_key of the row at that place, from 1, among the rows of that score (_s) in the order of row_key.
+def keys_at(rows: DataFrame, row_key: Sequence[str], wanted: Iterable[tuple[int, int]]) -> dict[tuple[int, int], tuple]:
+    """For each (group, place) the row_key of the row at that place, from 1, among the rows of that group (_g) in the order of row_key.
 
-    Rows are counted in cells of the first key column where that is a number, and only the cells that hold a wanted place are ordered.
+    Rows are counted in even ranges of the first key column where that is a number, and only a range that holds a wanted place is
+    ordered. If it has more than ROWS_A_TASK rows it is divided further; where all its rows are equal in that column, by the next one.
     """
-    rows = once(rows.where(F.col("_s").isin(sorted({s for s, _ in wanted}))))
-    numeric = isinstance(rows.schema[row_key[0]].dataType, NumericType)
-    placed = cells(rows, ["_s"], row_key[0]) if numeric else rows.withColumn("_cell", F.lit(0))
-    before = Window.partitionBy("_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = placed.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(before))  # cells, not rows
-    places = F.broadcast(rows.sparkSession.createDataFrame(wanted, "_s double, _place long"))
-    at = counts.join(places, "_s").where("_place <= _upto and _place > _upto - _c").select("_s", "_cell", "_place", (F.col("_upto") - F.col("_c")).alias("_before"))
-    within = Window.partitionBy("_s", "_cell", "_place").orderBy(*row_key)
-    found = placed.join(F.broadcast(at), ["_s", "_cell"]).withColumn("_n", F.row_number().over(within) + F.col("_before")).where("_n = _place")
-    return {(r["_s"], r["_place"]): tuple(r["_k"]) for r in found.select("_s", "_place", F.struct(*row_key).alias("_k")).collect()}  # a row a place
+    spark, first = rows.sparkSession, row_key[0]
+    number = F.col(first).cast("double") if isinstance(rows.schema[first].dataType, NumericType) else F.lit(0.0)
+    plain = F.when(~F.isnan(number), number)
+    spans = rows.groupBy("_g").agg(F.min(plain).alias("_lo"), F.max(plain).alias("_hi"), F.count(F.lit(1)).alias("_all"))
+    spans = spark.createDataFrame(spans.collect(), spans.schema)  # a row a group
+    width = F.col("_hi") - F.col("_lo")
+    place = F.least(F.floor((number - F.col("_lo")) / width * RANGES), F.lit(RANGES - 1))
+    cell = F.when(number.isNull(), -1).when(F.isnan(number), RANGES).when((width > 0) & (width < math.inf), place).otherwise(0).cast("int")
+    placed = rows.join(F.broadcast(spans), "_g").withColumn("_cell", cell)
+    equal = F.min(first).eqNullSafe(F.max(first)) & F.count(first).isin(F.lit(0), F.count(F.lit(1)))
+    counts = placed.groupBy("_g", "_cell", "_all").agg(F.count(F.lit(1)).alias("_c"), F.min(first).alias("_least"), equal.alias("_equal"))
+    before = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = F.broadcast(spark.createDataFrame(sorted(wanted), "_g int, _place long"))
+    at = counts.withColumn("_before", F.sum("_c").over(before) - F.col("_c")).join(places, "_g").where("_place > _before and _place <= _before + _c").collect()  # a row a place
+
+    out = {(r["_g"], r["_place"]): (r["_least"],) for r in at if r["_equal"] and len(row_key) == 1}
+    at = [r for r in at if (r["_g"], r["_place"]) not in out]
+    large = [r for r in at if r["_c"] > ROWS_A_TASK and (r["_equal"] or r["_c"] < r["_all"])]
+    for part, keys in (([r for r in large if not r["_equal"]], row_key), ([r for r in large if r["_equal"]], row_key[1:])):
+        if part:
+            ids = {c: k for k, c in enumerate(sorted({(r["_g"], r["_cell"]) for r in part}))}
+            these = spark.createDataFrame([(*c, k) for c, k in ids.items()], "_g int, _cell int, _k int")
+            inner = once(placed.join(F.broadcast(these), ["_g", "_cell"]).select(F.col("_k").alias("_g"), *keys))
+            found = keys_at(inner, keys, {(ids[r["_g"], r["_cell"]], r["_place"] - r["_before"]) for r in part})
+            for r in part:
+                key = found[ids[r["_g"], r["_cell"]], r["_place"] - r["_before"]]
+                out[r["_g"], r["_place"]] = (r["_least"], *key) if r["_equal"] else key
+    small = [(r["_g"], r["_cell"], r["_place"], r["_place"] - r["_before"]) for r in at if r not in large]
+    if small:
+        within = Window.partitionBy("_g", "_cell", "_place").orderBy(*row_key)
+        near = placed.join(F.broadcast(spark.createDataFrame(small, "_g int, _cell int, _place long, _n long")), ["_g", "_cell"])
+        found = near.withColumn("_r", F.row_number().over(within)).where("_r = _n").select("_g", "_place", F.struct(*row_key).alias("_k"))
+        out |= {(r["_g"], r["_place"]): tuple(r["_k"]) for r in found.collect()}  # a row a place
+    return out
 
 
 def vingtiles(df: DataFrame, score: str, row_key: Sequence[str], bins: int = 20, out: str = "score_vingtile") -> DataFrame:
@@ -171,24 +199,30 @@ def vingtiles(df: DataFrame, score: str, row_key: Sequence[str], bins: int = 20,
     df is read for the counts, for the keys at the edges and for the result, and is not written: give it written (sources.files.once) if it
     takes more than a scan. Counts by score tell the score at each of the
     bins - 1 inner edges, and of a score that an edge parts, the row_key at the edge is looked up; every row is then binned by
-    comparing its score and row_key with at most bins - 1 of them. Rows that are equal in both share a bin.
+    comparing its score with them, and its row_key with those of its score only. Rows that are equal in both share a bin.
     """
     value = F.col(score).cast("double")
     slim = df.where(F.col(score).isNotNull()).select(value.alias("_s"), *row_key)
     upto = running(slim.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")), [], "_s", ["_n"])
     edges = vingtile_edges(upto.agg(F.sum("_n")).first()[0] or 0, bins)[1:-1]
     least = [F.min(F.when(F.col("cum__n") > e, F.struct("_s", (F.col("cum__n") - F.col("_n")).alias("before")))).alias(f"e{k}") for k, e in enumerate(edges)]
-    at = [(e, *x) for e, x in zip(edges, upto.agg(*least).first()) if x is not None]  # of each edge the least score with a rank above it, and the rows before that score
-    parted = {e: (s, math.floor(e) - before) for e, s, before in at if before + 1 <= e}
-    keys = keys_at(slim, row_key, sorted(set(parted.values()))) if parted else {}
+    at = [(e, math.nan if x[0] != x[0] else x[0], x[1]) for e, x in zip(edges, upto.agg(*least).first()) if x is not None]  # of each edge the least score with a rank above it, and the rows before that score
+    places: dict[float, list[int]] = {}  # of each score that edges part: the places of its last rows below them
+    for e, s, before in at:
+        if before + 1 <= e:
+            places.setdefault(s, []).append(math.floor(e) - before)
+    group = {s: k for k, s in enumerate(places)}
     fields = [(c, df.schema[c].dataType) for c in row_key]
-
-    def edge(e: float, s: float) -> Column:
-        of = keys[parted[e]] if e in parted else [None] * len(fields)
-        return F.struct(F.lit(s).alias("s"), F.lit(e in parted).alias("parted"), F.struct(*[F.lit(x).cast(kind).alias(c) for (c, kind), x in zip(fields, of)]).alias("key"))
-
-    passed = F.filter(F.array(*[edge(e, s) for e, s, _ in at]), lambda x: (value > x["s"]) | ((value == x["s"]) & (~x["parted"] | (F.struct(*row_key) > x["key"])))) if at else F.array()
-    number = 1 + F.size(passed)
+    keys = keys_at(slim.where(F.col("_s").isin(list(group))).select(mapped(F.col("_s"), group).alias("_g"), *row_key), row_key, {(group[s], n) for s in places for n in places[s]}) if places else {}
+    key = F.struct(*row_key)
+    alike = ArrayType(df.select(key.alias("k")).schema["k"].dataType)  # of the rows' type to the last, so that no row's edges are cast to it
+    parted = {s: F.array(*[F.struct(*[F.lit(x).cast(kind).alias(c) for (c, kind), x in zip(fields, keys[group[s], n])]) for n in places[s]]).cast(alike) for s in places}
+
+    number = F.lit(1)
+    for e, s, before in at:
+        number = number + F.when(value > s if before + 1 <= e else value >= s, 1).otherwise(0)
+    for k in range(max(map(len, places.values()), default=0)):
+        number = number + F.when(F.get(mapped(value, parted), F.lit(k)) < key, 1).otherwise(0)
     return df.withColumn(out, F.when(F.col(score).isNotNull(), number).cast("int"))
 
 

@@ -105,10 +105,8 @@ def vingtile_rates(rows: DataFrame, score: str, target: str, by: list[str]) -> D
 
 
 def class_number(vingtile: Column, classes: Sequence[tuple[int, int, str]] = CLASSES) -> Column:
-    out = F.lit(None).cast("int")
-    for k, (first, last, _) in enumerate(classes, 1):
-        out = F.when(vingtile.between(first, last), k).otherwise(out)
-    return out
+    """The class of a vingtile; vingtile is an expression over many edges, so it is named once."""
+    return mapped(vingtile, {v: k for k, (first, last, _) in enumerate(classes, 1) for v in range(first, last + 1)})
 
 
 def with_classes(df: DataFrame, row_key: Sequence[str], score: str = "score_total", classes: Sequence[tuple[int, int, str]] = CLASSES) -> DataFrame:
@@ -145,9 +143,10 @@ def class_summary(table: DataFrame) -> DataFrame:
 
 def class_stability(rows: DataFrame, period: str = "year", target: str = "def") -> DataFrame:
     """(period, score_class, n, n_def, default_rate, share of the period's scored rows)."""
-    scored = rows.where("score_class is not null and " + period + " is not null")
-    table = scored.groupBy(F.col(period).alias("period"), "score_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n_def"))
-    return table.withColumns({"default_rate": ratio(F.col("n_def"), F.col("n")), "share": ratio(F.col("n"), F.sum("n").over(Window.partitionBy("period")))})
+    table = rows.groupBy(F.col(period).alias("period"), "score_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n_def"))
+    scored = F.sum(F.when(F.col("score_class").isNotNull(), F.col("n"))).over(Window.partitionBy("period"))
+    table = table.withColumns({"default_rate": ratio(F.col("n_def"), F.col("n")), "share": ratio(F.col("n"), scored)})
+    return table.where("score_class is not null and period is not null")  # after the window, as else every row's class would be found for the filter and again for the groups
 
 
 def class_stability_summary(table: DataFrame) -> DataFrame:

@@ -538,12 +538,16 @@ MODEL = {
 }
 
 
+def with_modalities(loans: DataFrame) -> DataFrame:
+    """loans with the fixed model's variables; d3 is missing where rate_like is."""
+    out = binning.apply_cutoffs(loans, "l_quantity", [17, 34, 50], "q3", ["1", "2", "3"])
+    out = binning.apply_cutoffs(out, "rate_like", [0.03, 0.07, 0.1], "d3", ["1", "2", "3"])
+    return out.withColumn("seg3", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_mktsegment")).otherwise("REST"))
+
+
 def modalities(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ()) -> DataFrame:
-    """The loan book with the fixed model's variables and these columns of lines(); d3 is missing where rate_like is."""
-    book = loan_book(spark, sf_dir, [*columns, "l_quantity", "rate_like", "l_linestatus", "c_mktsegment"])
-    book = binning.apply_cutoffs(book, "l_quantity", [17, 34, 50], "q3", ["1", "2", "3"])
-    book = binning.apply_cutoffs(book, "rate_like", [0.03, 0.07, 0.1], "d3", ["1", "2", "3"])
-    return book.withColumn("seg3", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_mktsegment")).otherwise("REST"))
+    """The loan book with the fixed model's variables and these columns of lines()."""
+    return with_modalities(loan_book(spark, sf_dir, [*columns, "l_quantity", "rate_like", "l_linestatus", "c_mktsegment"]))
 
 
 #: Points by hand: 1000 |c - largest of the variable| / 1.70, where 1.70 = 1.02 + 0.48 + 0.02 + 0.18.
@@ -561,8 +565,18 @@ scored AS (SELECT *, round(pq + pd + pl + ps, 6) AS st FROM pts)
 """
 
 
+def totalled(loans: DataFrame) -> DataFrame:
+    return scorecard.score(loans, MODEL).withColumn("score_total", F.round("score_total", 6))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.score(modalities(spark, sf_dir, KEYS), MODEL).withColumn("score_total", F.round("score_total", 6))
+    """The loans with their score; what reads no sample or fold doesn't have them put in order and numbered for the book."""
+    return totalled(with_modalities(lines(spark, sf_dir)))
+
+
+def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, year, target and score of the loans, written, as vingtiles read them several times."""
+    return files.once(scored(spark, sf_dir).select(*KEYS, "year", "def", "score_total"))
 
 
 @query("sc2_points", """
@@ -602,7 +616,7 @@ def sc4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sc6_vingtile_table", MODAL + VINGTILE.format(score="st", rows="scored") + "SELECT score_vingtile, round(min(st), 6) AS min_score, round(max(st), 6) AS max_score, count(*) AS n, CAST(sum(def) AS BIGINT) AS n_def, round(avg(def), 6) AS default_rate FROM ving GROUP BY 1")
 def sc6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.vingtile_table(scored(spark, sf_dir), KEYS)
+    return scorecard.vingtile_table(scored_once(spark, sf_dir), KEYS)
 
 
 CLASS = """
@@ -611,7 +625,7 @@ CLASS = """
 
 
 def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.with_classes(scored(spark, sf_dir), KEYS)
+    return scorecard.with_classes(scored_once(spark, sf_dir), KEYS)
 
 
 @query("sc7_risk_classes", MODAL + VINGTILE.format(score="st", rows="scored") + CLASS + """
@@ -661,7 +675,7 @@ g AS (SELECT CAST(k AS DOUBLE) * 1000 / 299 AS x FROM range(300) AS t(k))
 SELECT cnt.dataset, CAST(cnt.def AS BIGINT) AS def, round(x, 6) AS x, round(sum(c * exp(-power((x - st) / (sd * power(n, -0.2)), 2) / 2) / (n * sd * power(n, -0.2) * sqrt(2 * pi()))), 6) AS density
 FROM cnt JOIN m ON cnt.dataset = m.dataset AND cnt.def = m.def, g GROUP BY 1, 2, 3""")
 def sc11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.densities(scored(spark, sf_dir))
+    return scorecard.densities(totalled(modalities(spark, sf_dir)))
 
 
 # --- model search -----------------------------------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.operators import association, binning, order, preparation, selection, stability, woe
+from riskgrid.operators import association, binning, order, preparation, scorecard, selection, stability, woe
 from riskgrid.sources import files, loanbook
 
 
@@ -99,3 +101,35 @@ def test_rows_beyond_a_task_are_dealt_to_more_tasks_and_items_are_not_sorted_for
     assert plan.count("REPARTITION_BY_NUM") == 2 and lines.rdd.getNumPartitions() == -(-items // 500)
     again = loanbook.loan_book(spark, "/root/testdata/sf0.001", ["k1", "k2"]).orderBy("k1", "k2", "u", "fold").collect()
     assert all([r[c] for r in again] == rows[c] for c in rows)
+
+
+def test_classes_of_periods_name_the_edges_once(spark):
+    x = F.col("id")
+    df = spark.range(4000).select("id", (x % 1000).cast("double").alias("score_total"), (x % 3).alias("year"), (x * 31 % 5 < 2).cast("int").alias("def"))
+    table = scorecard.class_stability(scorecard.with_classes(df, ["id"]))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("struct(id") <= 2  # found once for each row, and compared with the keys at the edges of its own score
+    assert {r["score_class"]: r["n"] for r in table.groupBy("score_class").agg(F.sum("n").alias("n")).collect()} == {k: 200 * (b - a + 1) for k, (a, b, _) in enumerate(scorecard.CLASSES, 1)}
+
+
+@pytest.mark.parametrize("task", [50, 10**6])
+def test_keys_at_edges_are_found_whatever_the_spread_of_the_keys(spark, monkeypatch, task):
+    monkeypatch.setattr(binning, "ROWS_A_TASK", task)
+    monkeypatch.setattr(binning, "RANGES", 8)
+    rng = np.random.default_rng(4)
+    first = np.concatenate([np.full(1500, 7.0), 2.0 ** rng.integers(-40, 60, 700), rng.normal(size=500), [np.inf, -np.inf, np.nan, np.nan]])
+    rows = [(1.0 if k % 3 else float(k % 2), None if k % 11 == 0 else float(a), int(b), f"r{c}") for k, (a, b, c) in enumerate(zip(first, rng.integers(0, 40, len(first)), rng.permutation(len(first))))]
+    df = spark.createDataFrame(rows, "s double, a double, b int, c string")
+
+    def way(r):
+        a = r[1]
+        return (r[0], a is not None, a is not None and a != a, 0.0 if a is None or a != a else a, r[2], r[3])
+
+    want = {r[3]: int(v) for r, v in zip(sorted(rows, key=way), pd.qcut(np.arange(1, len(rows) + 1), 20, labels=False) + 1)}
+    assert {r["c"]: r["score_vingtile"] for r in binning.vingtiles(df, "s", ["a", "b", "c"]).collect()} == want
+
+
+def test_scores_that_are_no_number_come_last(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id").cast("double")).alias("s"))
+    got = {r["id"]: r["score_vingtile"] for r in binning.vingtiles(df, "s", ["id"]).collect()}
+    assert got == {k: 1 + (k // 2 if k % 2 else 200 + k // 2) // 20 for k in range(400)}

@@ -49,6 +49,13 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", ["sc8_class_stability", "sc8_class_stability_summary", "sc8_share_matrix", "sc8_default_rate_matrix"])
+def test_stability_of_classes_matches_sql_without_the_book_in_order(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(catalogue, "loan_book", None)
+    assert printed(catalogue.QUERIES[name](spark, SF).toPandas()) == printed(duck.execute(catalogue.ORACLES[name]).df())
+
+
 def test_every_query_but_searches_has_sql():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"lm11_model_search", "e2e_scorecard_pipeline"}
 
